@@ -270,7 +270,7 @@ def resolve_created_at(first: Column, second: Column, now: Column) -> Column:
     def one(raw: Column) -> Column:
         n = raw.try_cast("double")
         at = F.when(n.isNotNull(), F.when(n < 1e12, n * 1000).otherwise(n).cast("long")).otherwise(
-            F.unix_millis(F.try_to_timestamp(raw))
+            F.unix_millis(raw.try_cast("timestamp"))
         )
         return F.when((at > 0) & (at <= now), at)
     return F.coalesce(one(first), one(second))

@@ -198,3 +198,15 @@ def qualify_source(facts: DataFrame, rules: DataFrame) -> DataFrame:
         .otherwise(cap_ok & age_ok & (F.col("dex") == "pfamm") & (F.col("kol") >= F.col("min_kol")))
     )
     return joined.withColumn("qualified", F.coalesce(F.col("enabled") & rule, F.lit(False)))
+
+
+def loosest_rule(configs: DataFrame) -> DataFrame:
+    """Widest bounds over the enabled rules of a provider, plus the strictest exit cap among them."""
+    return configs.where("enabled").groupBy("provider").agg(
+        F.max("max_age_minutes").alias("max_age_minutes"), F.min("min_market_cap").alias("min_market_cap"),
+        F.min("min_kol").alias("min_kol"), F.min("exit_market_cap").alias("exit_cap"))
+
+
+def exit_caps(matched: DataFrame, configs: DataFrame) -> DataFrame:
+    """Effective exit cap per token: the smallest among the providers that matched it."""
+    return matched.join(configs, "provider").groupBy("chain", "ca").agg(F.min("exit_market_cap").alias("exit_cap"))

@@ -11,6 +11,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from barloom.plans.blocks import block_of, cover
 from barloom.schemas import POOL
 
 
@@ -140,3 +141,15 @@ def anchor_times(rows: DataFrame, filled: DataFrame, swing: str = "swing") -> Da
         at = points.select(*POOL, F.col("idx").alias(f"_{name}"), F.col("time").alias(f"{name}_time"), F.col("synthetic").alias(f"{name}_synthetic"))
         out = out.withColumn(f"_{name}", F.col(f"{swing}.{name}_idx")).join(at, [*POOL, f"_{name}"], "left").drop(f"_{name}")
     return out
+
+
+def first_breach(pairs: DataFrame, filled: DataFrame, horizon: int, block: int) -> DataFrame:
+    """``breach_idx``: first bar after the high whose close leaves ``[low, high]``, within ``horizon`` bars."""
+    spread = pairs.withColumn("_xb", cover(F.col("high_idx") + 1, F.col("high_idx") + horizon, block))
+    closes = filled.select(*POOL, "idx", "close", block_of(F.col("idx"), block).alias("_xb"))
+    ident = [*POOL, "high_idx", "low_idx"]
+    hits = spread.join(closes, [*POOL, "_xb"]).where(
+        (F.col("idx") > F.col("high_idx")) & (F.col("idx") <= F.col("high_idx") + horizon)
+        & ((F.col("close") > F.col("high")) | (F.col("close") < F.col("low")))
+    )
+    return pairs.join(hits.groupBy(*ident).agg(F.min("idx").alias("breach_idx")), ident, "left")

@@ -211,29 +211,35 @@ def write_results(path: str, **tables: DataFrame) -> None:
         table.write.mode("append").partitionBy("run_id").parquet(f"{path}/{name}")
 
 
-def _text(json: Column, *paths: str) -> Column:
-    """First non-blank string among several JSON fields."""
-    found = [F.get_json_object(json, f"$.{p}") for p in paths]
-    return F.coalesce(*[F.when(F.trim(v) != "", v) for v in found])
+def _parse(df: DataFrame, json: Column, name: str) -> DataFrame:
+    """Parse JSON once into a map of text fields (nested objects stay JSON text; names keep their case).
+
+    Going through ``explode`` of one element keeps the optimizer from copying the parse into every later filter.
+    """
+    return df.select("*", F.explode(F.array(F.from_json(json, "map<string,string>"))).alias(name))
+
+
+def _text(record: str, names: Sequence[str]) -> Column:
+    """First non-blank text among alias fields of a parsed record column."""
+    return F.coalesce(*[F.when(F.trim(F.col(record)[n]) != "", F.col(record)[n]) for n in names])
 
 
 def parse_ticks(messages: DataFrame, now: Column) -> DataFrame:
     """Strict trade messages (``body``) to ticks with ``ok``; a missing or zero market cap stays null."""
-    b = F.col("body")
-    text = lambda name: F.get_json_object(b, f"$.{name}")
-    number = lambda name: F.when(text(name).rlike(DECIMAL_TEXT), text(name).try_cast("double"))
-    time = F.when(text("trade_time").rlike(r"^\d{1,15}$"), text("trade_time").cast("long"))
-    cap = number("market_cap_usd")
-    out = messages.select(
-        "*", text("event_id").alias("id"), text("chain").alias("chain"), text("ca").alias("ca"), text("pair_id").alias("pair_id"),
-        time.alias("time"), number("price_usd").alias("price"), number("volume_usd").alias("volume_usd"),
-        F.when(finite(cap) & (cap > 0), cap).alias("mcap"),
+    raw = _parse(messages, F.col("body"), "_m")
+    field = lambda name: F.col("_m")[name]
+    number = lambda name: F.when(field(name).rlike(DECIMAL_TEXT), field(name).try_cast("double"))
+    out = raw.select(
+        *messages.columns, field("event_id").alias("id"), *[field(n).alias(n) for n in POOL],
+        F.when(field("trade_time").rlike(r"^\d{1,15}$"), field("trade_time").try_cast("long")).alias("time"),
+        number("price_usd").alias("price"), number("volume_usd").alias("volume_usd"), number("market_cap_usd").alias("_cap"),
     )
     ok = (
         (F.trim("id") != "") & F.col("chain").isNotNull() & F.col("ca").isNotNull() & (F.col("pair_id") != "")
         & (F.col("time") <= now + 5000) & finite(F.col("price")) & (F.col("price") > 0) & finite(F.col("volume_usd"))
     )
-    return out.withColumn("ok", F.coalesce(ok, F.lit(False)))
+    cap = F.when(finite(F.col("_cap")) & (F.col("_cap") > 0), F.col("_cap"))
+    return out.withColumn("mcap", cap).withColumn("ok", F.coalesce(ok, F.lit(False))).drop("_cap")
 
 
 def _ms(value: Column) -> Column:
@@ -241,29 +247,43 @@ def _ms(value: Column) -> Column:
     return F.when((n == F.floor(n)) & (n > 1_000_000_000_000) & (n < 8_640_000_000_000_000), n.cast("long"))
 
 
-def _number(json: Column, *paths: str) -> Column:
-    found = [F.get_json_object(json, f"$.{p}").try_cast("double") for p in paths]
+def _number(record: str, names: Sequence[str]) -> Column:
+    found = [F.col(record)[n].try_cast("double") for n in names]
     return F.coalesce(*[F.when(finite(v), v) for v in found])
 
 
+# Alias field names of trade and signal payloads, in order of preference.
+TRADE_ALIASES = {
+    "chain": ("chain", "chainId"), "pair": ("pair_id", "pairId", "pair_address", "pairAddress"),
+    "ca": ("token_address", "tokenAddress", "ca"), "id": ("tx_hash", "txHash", "signature", "id"),
+    "time": ("timestamp", "trade_time", "tradeTime", "time"), "price": ("price_usd", "priceUsd", "priceUSD", "price"),
+    "mcap": ("market_cap_usd", "marketCapUsd", "marketCapUSD", "mc"),
+    "volume": ("usdAmount", "volume_usd", "volumeUsd", "amount_usd", "amountUsd", "total_usd", "totalUsd"),
+}
+SIGNAL_ALIASES = {
+    "chain": ("chain", "chainId"), "source": ("signal_code", "signalCode", "signal_source", "signalSource"), "type": ("type",),
+    "ca": ("ca", "token_address", "tokenAddress", "contract_address", "contractAddress"),
+    "time": ("trigger_time_ms", "triggerTimeMs", "signal_time", "signalTime", "trigger_time", "triggerTime", "timestamp"),
+    "detail": ("detail_id", "detailId", "event_id", "eventId", "id"), "multiple": ("reached_multiple",),
+}
+
+
 def parse_alias_ticks(messages: DataFrame) -> DataFrame:
     """Trade payloads with alias field names, checked against the expected pool of the subscription.
 
     ``messages`` has ``body`` (object or array), ``channel``, ``expected_channel`` and the pool columns.
     """
+    a = TRADE_ALIASES
     body = F.when(F.ltrim("body").startswith("["), F.from_json("body", "array<string>")).otherwise(F.array("body"))
-    rows = messages.where(F.col("channel") == F.col("expected_channel")).withColumn("m", F.explode(body))
-    d = F.coalesce(F.get_json_object("m", "$.data"), F.col("m"))
-    out = rows.select(
-        *POOL, _text(d, "chain", "chainId").alias("_chain"), _text(d, "pair_id", "pairId", "pair_address", "pairAddress").alias("_pair"),
-        _text(d, "token_address", "tokenAddress", "ca").alias("_ca"),
-        _text(d, "tx_hash", "txHash", "signature", "id").alias("id"),
-        _ms(F.coalesce(*[F.get_json_object(d, f"$.{n}") for n in ("timestamp", "trade_time", "tradeTime", "time")])).alias("time"),
-        _number(d, "price_usd", "priceUsd", "priceUSD", "price").alias("price"),
-        _number(d, "market_cap_usd", "marketCapUsd", "marketCapUSD", "mc").alias("_cap"),
-        _number(d, "usdAmount", "volume_usd", "volumeUsd", "amount_usd", "amountUsd", "total_usd", "totalUsd").alias("volume_usd"),
+    rows = messages.where(F.col("channel") == F.col("expected_channel")).select(*POOL, F.explode(body).alias("m"))
+    parsed = _parse(_parse(rows, F.col("m"), "_root"), F.coalesce(F.col("_root")["data"], F.col("m")), "_d")
+    out = parsed.select(
+        *POOL, _text("_d", a["chain"]).alias("_chain"), _text("_d", a["pair"]).alias("_pair"), _text("_d", a["ca"]).alias("_ca"),
+        F.coalesce(_text("_d", a["id"]), _text("_root", ["id"])).alias("id"),
+        _ms(F.coalesce(*[F.col("_d")[n] for n in a["time"]])).alias("time"), _number("_d", a["price"]).alias("price"),
+        _number("_d", a["mcap"]).alias("_cap"), _number("_d", a["volume"]).alias("volume_usd"),
     )
-    same = lambda a, b: F.col(a).isNull() | (F.lower(a) == F.lower(b))
+    same = lambda x, y: F.col(x).isNull() | (F.lower(x) == F.lower(y))
     return out.where(
         same("_chain", "chain") & same("_pair", "pair_id") & same("_ca", "ca") & F.col("id").isNotNull()
         & F.col("time").isNotNull() & (F.col("price") > 0) & (F.col("volume_usd") >= 0)
@@ -272,17 +292,14 @@ def parse_alias_ticks(messages: DataFrame) -> DataFrame:
 
 def parse_signal_events(messages: DataFrame, sources: Sequence[str]) -> DataFrame:
     """Alias-tolerant signal messages; repeats of an original trigger and malformed addresses are dropped."""
-    b = F.col("body")
-    d = F.coalesce(F.get_json_object(b, "$.data"), F.get_json_object(b, "$.payload"), b)
-    codes = ("signal_code", "signalCode", "signal_source", "signalSource")
-    times = ("trigger_time_ms", "triggerTimeMs", "signal_time", "signalTime", "trigger_time", "triggerTime", "timestamp")
-    out = messages.select(
-        F.lower(_text(d, "chain", "chainId")).alias("chain"),
-        F.coalesce(_text(d, *codes), _text(b, *codes), _text(d, "type")).alias("signal_source"),
-        _text(d, "ca", "token_address", "tokenAddress", "contract_address", "contractAddress").alias("_ca"),
-        _ms(F.coalesce(*[F.get_json_object(d, f"$.{n}") for n in times])).alias("signal_time"),
-        F.coalesce(_text(d, "detail_id", "detailId", "event_id", "eventId", "id"), _text(b, "id")).alias("_detail"),
-        F.get_json_object(d, "$.reached_multiple").alias("_multiple"),
+    a = SIGNAL_ALIASES
+    root = F.col("_root")
+    parsed = _parse(_parse(messages.select("body"), F.col("body"), "_root"), F.coalesce(root["data"], root["payload"], F.col("body")), "_d")
+    out = parsed.select(
+        F.lower(_text("_d", a["chain"])).alias("chain"),
+        F.coalesce(_text("_d", a["source"]), _text("_root", a["source"]), _text("_d", a["type"])).alias("signal_source"),
+        _text("_d", a["ca"]).alias("_ca"), _ms(F.coalesce(*[F.col("_d")[n] for n in a["time"]])).alias("signal_time"),
+        F.coalesce(_text("_d", a["detail"]), _text("_root", ["id"])).alias("_detail"), F.col("_d")["reached_multiple"].alias("_multiple"),
     ).where(
         F.col("chain").isin(SIGNAL_CHAINS) & F.col("signal_source").isin(list(sources)) & F.col("_ca").isNotNull()
         & F.col("signal_time").isNotNull()

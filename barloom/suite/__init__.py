@@ -1,4 +1,4 @@
 from barloom.suite.base import ORACLES, QUERIES
-from barloom.suite import market
+from barloom.suite import market, signals
 
 __all__ = ["ORACLES", "QUERIES"]

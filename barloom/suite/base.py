@@ -24,7 +24,7 @@ H4 = 14_400_000
 TICKS = """
 ticks AS (
   SELECT 'c'||(user_id%2) AS chain, 't'||(user_id%4) AS ca, CASE WHEN event_type='click' THEN 'a' ELSE 'b' END AS pair_id,
-    CAST(event_id AS VARCHAR) AS id, epoch_ms(ts) AS time, value AS price,
+    CAST(event_id AS VARCHAR) AS id, epoch_us(ts)//1000 AS time, value AS price,
     CAST(CAST(json_extract_string(props,'$.k') AS INTEGER) AS DOUBLE) AS volume_usd,
     CASE WHEN event_type<>'view' THEN value*1000 END AS mcap
   FROM events WHERE event_type IN ('click','view','purchase'))"""
@@ -66,6 +66,6 @@ def base(step: int = H4) -> str:
 SIGNALS = """
 signals AS (
   SELECT 'c'||(user_id%2) AS chain, 't'||(user_id%4) AS ca, 's'||(user_id%3) AS signal_source, CAST(event_id AS VARCHAR) AS detail_id,
-    CASE WHEN event_type='signup' THEN epoch_ms(ts) END AS signal_time, props AS source_signal
+    CASE WHEN event_type='signup' THEN epoch_us(ts)//1000 END AS signal_time, props AS source_signal
   FROM events WHERE event_type IN ('signup','error')),
 gate AS (SELECT chain, ca, min(signal_time) AS signal_time FROM signals WHERE signal_time>=0 GROUP BY chain, ca)"""

@@ -361,12 +361,13 @@ def _(spark, sf):
     return s.select(k.alias("id"), dex.alias("dex"))
 
 
-@query("b9_resolve_created_at", "SELECT o_orderkey AS id, CASE WHEN o_orderkey%4=3 THEN NULL WHEN o_orderkey%4=1 THEN epoch_ms(o_orderdate) ELSE epoch_ms(o_orderdate) END AS created_at FROM orders")
+@query("b9_resolve_created_at", "SELECT o_orderkey AS id, CASE WHEN o_orderkey%4<>3 THEN epoch_us(o_orderdate)//1000 END AS created_at FROM orders")
 def _(spark, sf):
     o = mapped.table(spark, sf, "orders")
     k, ms = F.col("o_orderkey"), mapped.epoch_ms("o_orderdate")
-    first = F.when(k % 4 == 0, ms.cast("string")).when(k % 4 == 1, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k % 4 == 3, "9999999999999")
-    second = F.when(k % 4 == 2, ms.cast("string")).when(k % 4 == 3, "junk")
+    seconds = (ms / 1000).cast("long").cast("string")
+    first = F.when(k % 4 == 0, seconds).when(k % 4 == 1, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k % 4 == 3, "9999999999999")
+    second = F.when(k % 4 == 2, seconds).when(k % 4 == 3, "junk")
     return o.select(k.alias("id"), quality.resolve_created_at(first, second, F.lit(1900000000000)).alias("created_at"))
 
 
