@@ -133,3 +133,12 @@ def label_exits(
         F.when(at_end, F.col("entry_price")).otherwise(F.col("_exit.price")).alias("exit_price"),
         F.col("_exit.cause").alias("exit_cause"),
     ).withColumn("holding_bars", F.col("exit_idx") - F.col("entry_idx"))
+
+
+def restore_cause(exits: DataFrame, bars: DataFrame, invalidation: Mapping) -> DataFrame:
+    """Rebuild the cause of invalidation exits from the stored bars; refuse where price or time disagree."""
+    at = bars.drop("swing").withColumnRenamed("idx", "exit_idx").withColumnRenamed("time", "_time")
+    rows = exits.join(at, [*POOL, "exit_idx"], "left").withColumn("idx", F.col("exit_idx"))
+    agrees = F.coalesce((F.col("_time") == F.col("exit_time")) & (F.abs(F.col("close") - F.col("exit_price")) <= 1e-9 * F.greatest(F.lit(1.0), F.abs("close"))), F.lit(False))
+    cause = primary_cause(explain_rule(invalidation, F.col("swing")))
+    return rows.select(*exits.columns, F.when(agrees, cause).otherwise("unknown").alias("exit_cause"))

@@ -1,13 +1,294 @@
-"""Order and fill ledgers."""
+"""Order and fill ledgers: position cycles, valuation, audits and comparison with a replay."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import bisect
+from collections.abc import Mapping
 
-# Reasons decided from the bar that just closed.
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
+
+from barloom.functions.candles import finite
+from barloom.functions.levels import stop_level, target_level
+from barloom.plans.blocks import asof, scan
+from barloom.schemas import POOL, TOKEN
+
+# Reasons decided from the bar that just closed, and the quantity tolerance.
 CLOSE_REASONS = ["entry", "add", "invalidation", "timeout"]
+TINY = 1e-9
+ORDER = ["fill_time", "decision_time", "id"]
+DAY = 86_400_000
 
 
 def decision_bucket(time: Column, reason: Column, step: int) -> Column:
     """Bar a decision belongs to; close-time decisions belong to the bar that just closed."""
     return F.floor((time - reason.isin(CLOSE_REASONS).cast("int")) / step) * step
+
+
+def usable_fill() -> Column:
+    positive = lambda c: finite(F.col(c)) & (F.col(c) > 0)
+    cost = lambda c: finite(F.col(c)) & (F.col(c) >= 0)
+    rule = positive("quantity") & positive("gross_amount") & F.col("fill_time").isNotNull() & positive("fill_value")
+    return F.coalesce(rule & cost("fee") & cost("slippage_cost") & cost("tax_cost"), F.lit(False))
+
+
+def step_holding(held: float, quantity: float, buy: bool) -> tuple[float, str]:
+    """One fill applied to a holding. A sell beyond the holding contradicts it and leaves the token flat."""
+    if buy:
+        return held + quantity, "open" if held == 0 else "add"
+    if quantity > held + TINY or held == 0:
+        return 0.0, "contradiction" if held > 0 else "orphan"
+    left = held - quantity
+    return (0.0, "close") if left <= TINY else (left, "partial")
+
+
+def _summarize(rows: pd.DataFrame) -> list[tuple[float, float | None, float]]:
+    """How a block of fills maps an unknown incoming holding: pieces ``(from, constant, shift)`` by ascending bound.
+
+    Above the last bound nothing contradicts and the holding only shifts; below it some sell did, after which the
+    outcome no longer depends on what came in.
+    """
+    pieces: list[list] = []  # [lower bound, constant]
+    need, shift = 0.0, 0.0
+    for quantity, buy, cut in zip(rows["quantity"], rows["side"] == "buy", rows["cut"]):
+        if cut:
+            pieces, need, shift = [[0.0, 0.0]], float("inf"), 0.0
+        for piece in pieces:
+            piece[1] = step_holding(piece[1], quantity, buy)[0]
+        if buy:
+            shift += quantity
+        else:
+            bound = quantity - shift - TINY
+            if bound > need:
+                pieces.append([need, 0.0])
+                need = bound
+            shift -= quantity
+        merged: list[list] = []
+        for piece in pieces:
+            if not merged or merged[-1][1] != piece[1]:
+                merged.append(piece)
+        pieces = merged
+    out = [(low, value, 0.0) for low, value in pieces]
+    return out if need == float("inf") else [*out, (need, None, shift)]
+
+
+def _apply(pieces, held: float) -> float:
+    chosen = None
+    for low, value, shift in pieces:
+        if held >= low:
+            chosen = (value, shift)
+    value, shift = chosen if chosen else (0.0, 0.0)
+    result = value if value is not None else held + shift
+    return 0.0 if result <= TINY else result
+
+
+def holdings(fills: DataFrame, width: int = 90 * DAY) -> DataFrame:
+    """``held_before`` and ``kind`` (open, add, partial, close, contradiction, orphan) of each usable fill.
+
+    A token's fills depend on each other, so they are walked in time blocks: every block is first summarised for
+    any incoming holding, the summaries (one row per block) are folded per token, and every block is then walked
+    once from its known start. No task ever holds a whole token.
+    """
+    rows = fills.where(usable_fill()).withColumn("blk", F.floor(F.col("fill_time") / width).cast("long"))
+    if "position_id" in fills.columns:
+        rows = scan(rows, TOKEN, ORDER, F.col("blk"), {"_pos": ("last", F.col("position_id"))}, exclusive=True)
+        rows = rows.withColumn("cut", F.coalesce(F.col("position_id") != F.col("_pos"), F.lit(False))).drop("_pos")
+    else:
+        rows = rows.withColumn("cut", F.lit(False))
+    key = [*TOKEN, "blk"]
+    slim = rows.select(*key, *ORDER, "quantity", "side", "cut")
+
+    def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
+        pieces = _summarize(pdf.sort_values(ORDER))
+        head = pdf.iloc[0]
+        return pd.DataFrame({
+            "chain": [head["chain"]], "ca": [head["ca"]], "blk": [head["blk"]], "low": [[p[0] for p in pieces]],
+            "value": [[float("nan") if p[1] is None else p[1] for p in pieces]], "shift": [[p[2] for p in pieces]]})
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        held, starts = 0.0, []
+        pdf = pdf.sort_values("blk")
+        for low, value, shift in zip(pdf["low"], pdf["value"], pdf["shift"]):
+            starts.append(held)
+            held = _apply([(a, None if b != b else b, c) for a, b, c in zip(low, value, shift)], held)
+        return pd.DataFrame({"chain": pdf["chain"], "ca": pdf["ca"], "blk": pdf["blk"], "start": starts})
+
+    schema = "chain string, ca string, blk long"
+    pieces = slim.groupBy(*key).applyInPandas(summarize, f"{schema}, low array<double>, value array<double>, shift array<double>")
+    starts = pieces.groupBy(*TOKEN).applyInPandas(fold, f"{schema}, start double")
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(ORDER)
+        held, before, kinds, broken = float(pdf["start"].iloc[0]), [], [], []
+        for quantity, side, cut in zip(pdf["quantity"], pdf["side"], pdf["cut"]):
+            broken.append(bool(cut) and held > 0)
+            held = 0.0 if cut else held
+            before.append(held)
+            held, kind = step_holding(held, quantity, side == "buy")
+            kinds.append(kind)
+        return pd.DataFrame({"chain": pdf["chain"], "ca": pdf["ca"], "id": pdf["id"], "held_before": before, "kind": kinds, "broke": broken})
+
+    id_type = slim.schema["id"].dataType.simpleString()
+    walked = slim.join(starts, key).groupBy(*key).applyInPandas(walk, f"chain string, ca string, id {id_type}, held_before double, kind string, broke boolean")
+    return rows.drop("cut").join(walked, [*TOKEN, "id"])
+
+
+def position_cycles(fills: DataFrame, width: int = 90 * DAY) -> DataFrame:
+    """One row per cycle from flat to flat (or to a contradiction, which makes it incomplete)."""
+    staged = holdings(fills, width)
+    staged = scan(staged, TOKEN, ORDER, F.col("blk"), {"trade_no": ("count", F.when(F.col("kind") == "open", F.lit(1)))})
+    sold = F.col("kind").isin("partial", "close")
+    bought = F.col("kind").isin("open", "add")
+    costs = F.col("fee") + F.col("slippage_cost") + F.col("tax_cost")
+    decay = F.when(F.col("kind") == "partial", F.log(1 - F.col("quantity") / F.col("held_before"))).otherwise(F.lit(0.0))
+    cycle = [*TOKEN, "trade_no"]
+    staged = scan(staged.where("trade_no > 0").withColumn("_cost", costs), cycle, ORDER, F.col("blk"), {"_kept": ("sum", decay)})
+    # A buy that replaces a running position marks the cycle before it as incomplete.
+    broken = staged.where("broke").select(*TOKEN, (F.col("trade_no") - (F.col("kind") == "open").cast("int")).alias("trade_no")).distinct().withColumn("_broken", F.lit(True))
+    last_sale = F.max(F.when(sold, F.struct(*ORDER, F.col("reason").alias("reason"), F.col("fill_value").alias("value"))))
+    buy = lambda c: F.sum(F.when(bought, c))
+    totals = staged.groupBy(*cycle).agg(
+        F.min(F.when(F.col("kind") == "open", F.col("fill_time"))).alias("buy_time"),
+        buy(F.col("gross_amount")).alias("buy_amount"), buy(F.col("_cost")).alias("buy_cost"), buy(F.col("quantity")).alias("buy_quantity"),
+        (buy(F.col("fill_value") * F.col("quantity")) / buy(F.col("quantity"))).alias("buy_value"),
+        F.when(F.count_if(bought & ~F.coalesce(finite(F.col("market_cap")), F.lit(False))) == 0,
+               buy(F.col("market_cap") * F.col("quantity")) / buy(F.col("quantity"))).alias("buy_market_cap"),
+        F.count_if(bought).alias("entry_count"), F.count_if(sold | bought).alias("orders"),
+        F.coalesce(F.sum(F.when(sold, F.col("gross_amount") - F.col("_cost"))), F.lit(0.0)).alias("sell_amount"),
+        F.coalesce(F.sum(F.when(sold, F.col("quantity"))), F.lit(0.0)).alias("sell_quantity"),
+        last_sale.alias("_sale"), F.max(F.col("kind") == "close").alias("_closed"), F.max(F.col("kind") == "contradiction").alias("_bad"),
+        F.max(F.struct(*ORDER, "_kept"))["_kept"].alias("_end"),
+    ).join(broken, cycle, "left")
+    kept = staged.where(bought).join(totals.select(*cycle, "_end"), cycle).groupBy(*cycle).agg(
+        F.sum((F.col("gross_amount") + F.col("_cost")) * F.exp(F.col("_end") - F.col("_kept"))).alias("_left"))
+    closed = F.col("_closed")
+    out = totals.join(kept, cycle).withColumn("remaining_cost", F.when(closed, F.lit(0.0)).otherwise(F.col("_left")))
+    return out.select(
+        *cycle, "buy_time", "buy_amount", "buy_cost", "buy_quantity", "buy_value", "buy_market_cap", "entry_count", "orders",
+        F.col("_sale.fill_time").alias("sell_time"), F.col("_sale.reason").alias("sell_reason"), F.col("_sale.value").alias("sell_value"),
+        "sell_amount", "sell_quantity", F.when(closed, F.lit(0.0)).otherwise(F.col("buy_quantity") - F.col("sell_quantity")).alias("quantity"), "remaining_cost",
+        (F.col("sell_amount") - (F.col("buy_amount") + F.col("buy_cost") - F.col("remaining_cost"))).alias("realized_pnl"),
+        F.when(closed, "closed").when(F.col("_bad") | F.coalesce("_broken", F.lit(False)), "incomplete").otherwise("open").alias("status"),
+    )
+
+
+def ledger_problems(fills: DataFrame, width: int = 90 * DAY) -> DataFrame:
+    """Count of contradicting and unusable fills."""
+    walked = holdings(fills, width).agg(F.count_if(F.col("kind").isin("contradiction", "orphan") | F.col("broke")).alias("contradictions"))
+    return walked.crossJoin(fills.agg(F.count_if(~usable_fill()).alias("unusable")))
+
+
+def value_open(cycles: DataFrame, quotes: DataFrame, now: Column, max_age: int, exits: Mapping, sell_cost_percent: float) -> DataFrame:
+    """Mark open cycles with a fresh quote whose quantity agrees; stale or missing quotes leave the value null."""
+    q = cycles.where("status = 'open'").join(quotes, TOKEN, "left")
+    agrees = F.coalesce(F.abs(F.col("position_quantity") - F.col("quantity")) <= F.greatest(F.lit(1e-8), F.col("quantity") * 0.001), F.lit(False))
+    age = now - F.col("last_trade_at")
+    fresh = agrees & age.between(0, max_age) & finite(F.col("last_price")) & (F.col("last_price") > 0)
+    entry = F.col("position_entry")
+    low, high = F.col("swing_low"), F.col("swing_high")
+    stop = stop_level(exits["stopLoss"], entry, low, high)
+    target = target_level(exits["takeProfit"], entry, stop, low, high)
+    return q.withColumn("status", F.when(agrees, "open").otherwise("incomplete")).withColumn(
+        "unrealized_pnl", F.when(fresh, F.col("quantity") * F.col("last_price") * (1 - sell_cost_percent / 100) - F.col("remaining_cost"))
+    ).withColumn("valuation_time", F.when(fresh, F.col("last_trade_at"))).withColumn(
+        "stop_value", F.when(agrees, F.greatest(stop, F.col("lock_price")))).withColumn("target_value", F.when(agrees & (target > entry), target))
+
+
+def portfolio_summary(cycles: DataFrame, valued: DataFrame) -> DataFrame:
+    opened = valued.where("status = 'open'").agg(
+        F.count(F.lit(1)).alias("open_count"), F.sum("remaining_cost").alias("open_cost"), F.count_if(F.col("unrealized_pnl").isNull()).alias("unpriced_count"),
+        F.when(F.count_if(F.col("unrealized_pnl").isNull()) == 0, F.sum("unrealized_pnl")).alias("unrealized_pnl"))
+    closed = cycles.where("status = 'closed'").agg(
+        F.count(F.lit(1)).alias("closed_count"), F.sum("realized_pnl").alias("realized_pnl"),
+        (F.count_if(F.col("realized_pnl") > 0) / F.nullif(F.count(F.lit(1)), F.lit(0)) * 100).alias("win_rate"))
+    return opened.crossJoin(closed)  # two one-row aggregates
+
+
+def audit_orders(orders: DataFrame, gates: DataFrame, step: int) -> DataFrame:
+    """One row per problem: fill before decision, buy bar not strictly after the signal, non-positive values."""
+    rows = orders.join(gates.select(*TOKEN, "signal_time"), TOKEN, "left")
+    early = ~F.coalesce(F.col("fill_time") >= F.col("decision_time"), F.lit(False))
+    gate = (F.col("side") == "buy") & (F.floor((F.col("decision_time") - 1) / step) * step <= F.col("signal_time"))
+    values = ~F.coalesce((F.col("fill_value") > 0) & (F.col("fill_price") > 0) & (F.col("quantity") > 0), F.lit(False))
+    issues = F.array(F.when(early, "fill before decision"), F.when(gate, "buy not after signal"), F.when(values, "invalid values"))
+    return rows.select("id", F.explode(F.filter(issues, lambda i: i.isNotNull())).alias("issue"))
+
+
+def bought_pools(buys: DataFrame, events: DataFrame, watches: DataFrame, width: int = 30 * DAY) -> DataFrame:
+    """Gate per bought token: the watch's own signal if it was known by then, else the latest signal at or before the first buy's decision."""
+    first = buys.groupBy(*TOKEN).agg(F.min("decision_time").alias("decision_time"))
+    gated = asof(first, events, TOKEN, "decision_time", "event_time", ["event_id", "event_time"], width, tie=["event_id"])
+    own = watches.select(*TOKEN, F.col("signal_time").alias("event_time")).join(events, [*TOKEN, "event_time"]).groupBy(*TOKEN, "event_time").agg(
+        F.min("event_id").alias("_own")).withColumnRenamed("event_time", "_own_time")
+    usable = F.col("_own_time") <= F.col("decision_time")
+    return gated.join(own, TOKEN, "left").select(
+        *TOKEN, "decision_time", F.when(usable, F.col("_own")).otherwise(F.col("event_id")).alias("event_id"),
+        F.when(usable, F.col("_own_time")).otherwise(F.col("event_time")).alias("signal_time"))
+
+
+def compare_ledgers(live: DataFrame, replay: DataFrame, step: int) -> DataFrame:
+    """Each live cycle takes the nearest unused replay trade of its pool, in buy order; leftovers follow.
+
+    Greedy matching is sequential within a pool, so the ledgers of one pool meet in one function call, with two
+    sorted lists and a binary search; candles never take part.
+    """
+    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values(["entry_time", "trade_id"])
+        times, ids = right["entry_time"].tolist(), right["trade_id"].tolist()
+        out = []
+        for cycle, bucket in left.sort_values(["buy_time", "cycle_id"])[["cycle_id", "bucket"]].itertuples(index=False):
+            if not times:
+                out.append((cycle, None))
+                continue
+            at = bisect.bisect_left(times, bucket)
+            at = bisect.bisect_left(times, times[at - 1]) if at and (at == len(times) or bucket - times[at - 1] <= times[at] - bucket) else at
+            times.pop(at)
+            out.append((cycle, ids.pop(at)))
+        out += [(None, trade) for trade in ids]
+        return pd.DataFrame(out, columns=["cycle_id", "trade_id"]).astype("Int64")
+
+    l = live.withColumn("bucket", (F.floor((F.col("buy_decision") - 1) / step) * step).cast("long"))
+    pairs = l.select(*POOL, "cycle_id", "buy_time", "bucket").groupBy(*POOL).cogroup(
+        replay.select(*POOL, "trade_id", "entry_time").groupBy(*POOL)).applyInPandas(match, "cycle_id long, trade_id long")
+    a = l.select("cycle_id", "bucket", "sell_decision", F.col("exit_reason").alias("live_reason"), F.col("net_pnl").alias("live_net"))
+    b = replay.select("trade_id", "entry_time", "exit_time", F.col("exit_reason").alias("replay_reason"), F.col("net_pnl").alias("replay_net"))
+    joined = pairs.join(a, "cycle_id", "left").join(b, "trade_id", "left")
+    delta = F.round((F.col("entry_time") - F.col("bucket")) / step).cast("long")
+    status = (
+        F.when(F.col("cycle_id").isNull(), "replay_only").when(F.col("trade_id").isNull(), "not_in_replay")
+        .when((F.abs(delta) <= 1) & F.col("live_reason").eqNullSafe(F.col("replay_reason")), "matched")
+        .when(F.col("replay_reason") == "end_of_backtest", "explainable").otherwise("suspect")
+    )
+    return joined.select(
+        "cycle_id", "trade_id", status.alias("status"), delta.alias("entry_delta_bars"),
+        F.round((F.col("exit_time") - F.floor(F.col("sell_decision") / step) * step) / step).cast("long").alias("exit_delta_bars"),
+        (F.col("live_net") - F.col("replay_net")).alias("pnl_delta"))
+
+
+def order_flow_totals(orders: DataFrame, keys: list[str]) -> DataFrame:
+    filled = F.col("status") == "filled"
+    return orders.groupBy(*keys).agg(
+        F.count_if(filled & (F.col("side") == "buy")).alias("buys"), F.count_if(filled & (F.col("side") == "sell")).alias("sells"),
+        F.count_if(F.col("status").isin("submitted", "unknown")).alias("unverified"),
+        F.round(F.sum(F.when(filled & (F.col("side") == "buy"), F.col("gross_amount") + F.col("fee") + F.col("slippage_cost") + F.col("tax_cost")).otherwise(0.0)), 4).alias("spent"))
+
+
+def order_markers(orders: DataFrame, step: int) -> DataFrame:
+    """Chart time and kind of each order: the fill's bar if filled, else the decision's bar."""
+    filled = F.col("fill_time").isNotNull()
+    bucket = F.when(filled, F.floor(F.col("fill_time") / step) * step).otherwise(decision_bucket(F.col("decision_time"), F.col("reason"), step))
+    kind = F.when(~filled, "decision").when(F.col("side") == "sell", F.col("reason")).when(F.col("reason") == "add", "add").otherwise("entry")
+    return orders.select("id", *POOL, bucket.alias("time"), F.coalesce("fill_time", "decision_time").alias("actual_time"), kind.alias("kind"))
+
+
+def cycle_labels(filled: DataFrame, width: int = 90 * DAY) -> DataFrame:
+    """Cycle and add numbers of filled orders that carry a ``position_id`` (per token, in fill order)."""
+    key = [*TOKEN, "position_id"]
+    firsts = filled.where("side = 'buy'").groupBy(*key).agg(F.min(F.struct(*ORDER)).alias("f")).select(*key, "f.*")
+    numbered = scan(firsts, TOKEN, ORDER, F.floor(F.col("fill_time") / width), {"cycle_no": ("count", F.lit(1))}).select(*key, "cycle_no", F.struct(*ORDER).alias("_first"))
+    rows = filled.join(numbered, key).where(F.struct(*ORDER) >= F.col("_first"))
+    added = F.when((F.col("side") == "buy") & (F.col("reason") == "add"), F.lit(1))
+    counted = scan(rows.drop("_first"), key, ORDER, F.floor(F.col("fill_time") / width), {"_adds": ("count", added)})
+    label = F.when(added.isNotNull(), F.concat(F.lit("加"), F.col("cycle_no").cast("string"), F.lit("."), F.col("_adds").cast("string"))).otherwise(
+        F.concat(F.when(F.col("side") == "buy", "买").otherwise("卖"), F.col("cycle_no").cast("string")))
+    return counted.withColumn("label", label).drop("_adds")

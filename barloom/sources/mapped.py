@@ -83,6 +83,11 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_id() -> Column:
+    """Unique per line: order and line number repeat, so part and supplier go into the high digits."""
+    return (F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000) * 1_000_000_000 + F.col("l_orderkey") * 10 + F.col("l_linenumber")
+
+
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin("N", "R"))
     quantity = 10 * F.ceil(F.col("l_quantity") / 25).cast("double")
@@ -92,7 +97,7 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("c").alias("chain"),
         F.concat(F.lit("t"), F.col("l_suppkey").cast("string")).alias("ca"),
         F.when(F.col("l_linenumber") % 2 == 0, "a").otherwise("b").alias("pair_id"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+        line_id().alias("id"),
         F.lit(None).cast("string").alias("position_id"),
         F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"),
         F.when(F.col("l_returnflag") == "R", "take_profit")
@@ -128,7 +133,7 @@ def run_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     for n, name in enumerate(EXIT_REASONS):
         reason = reason.when(index == n, name)
     return lines.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+        line_id().alias("id"),
         F.concat(F.lit("r"), (F.col("l_orderkey") % 2).cast("string")).alias("run_id"),
         F.concat(F.lit("c"), (F.col("l_suppkey") % 2).cast("string")).alias("chain"),
         F.concat(F.lit("t"), F.col("l_suppkey").cast("string")).alias("ca"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barloom.functions.candles import PATTERNS, candle_pattern
 from barloom.functions.levels import stop_level, target_level
 from barloom.operators import indicators, quality, rules
-from barloom.operators.labels import earliest_signals, entries_of, framed_bars, gate_open, label_exits, mark_entries, with_levels
+from barloom.operators.labels import earliest_signals, entries_of, framed_bars, gate_open, label_exits, mark_entries, restore_cause, with_levels
 from barloom.operators.swings import SwingRule, pivots, swing_pairs, with_swing
 from barloom.plans import backtest
 from barloom.plans.blocks import halo
