@@ -12,6 +12,7 @@ from barloom.functions.candles import finite
 from barloom.functions.levels import stop_level, target_level
 from barloom.plans.blocks import asof, scan
 from barloom.schemas import POOL, TOKEN
+from barloom.session import reuse
 
 # Reasons decided from the bar that just closed, and the quantity tolerance.
 CLOSE_REASONS = ["entry", "add", "invalidation", "timeout"]
@@ -89,7 +90,7 @@ def holdings(fills: DataFrame, width: int = 90 * DAY) -> DataFrame:
     any incoming holding, the summaries (one row per block) are folded per token, and every block is then walked
     once from its known start. No task ever holds a whole token.
     """
-    rows = fills.where(usable_fill()).withColumn("blk", F.floor(F.col("fill_time") / width).cast("long"))
+    rows = reuse(fills).where(usable_fill()).withColumn("blk", F.floor(F.col("fill_time") / width).cast("long"))
     if "position_id" in fills.columns:
         rows = scan(rows, TOKEN, ORDER, F.col("blk"), {"_pos": ("last", F.col("position_id"))}, exclusive=True)
         rows = rows.withColumn("cut", F.coalesce(F.col("position_id") != F.col("_pos"), F.lit(False))).drop("_pos")
@@ -130,7 +131,7 @@ def holdings(fills: DataFrame, width: int = 90 * DAY) -> DataFrame:
 
     id_type = slim.schema["id"].dataType.simpleString()
     walked = slim.join(starts, key).groupBy(*key).applyInPandas(walk, f"chain string, ca string, id {id_type}, held_before double, kind string, broke boolean")
-    return rows.drop("cut").join(walked, [*TOKEN, "id"])
+    return reuse(rows.drop("cut").join(walked, [*TOKEN, "id"]))
 
 
 def position_cycles(fills: DataFrame, width: int = 90 * DAY) -> DataFrame:
@@ -142,7 +143,7 @@ def position_cycles(fills: DataFrame, width: int = 90 * DAY) -> DataFrame:
     costs = F.col("fee") + F.col("slippage_cost") + F.col("tax_cost")
     decay = F.when(F.col("kind") == "partial", F.log(1 - F.col("quantity") / F.col("held_before"))).otherwise(F.lit(0.0))
     cycle = [*TOKEN, "trade_no"]
-    staged = scan(staged.where("trade_no > 0").withColumn("_cost", costs), cycle, ORDER, F.col("blk"), {"_kept": ("sum", decay)})
+    staged = reuse(scan(staged.where("trade_no > 0").withColumn("_cost", costs), cycle, ORDER, F.col("blk"), {"_kept": ("sum", decay)}))
     # A buy that replaces a running position marks the cycle before it as incomplete.
     broken = staged.where("broke").select(*TOKEN, (F.col("trade_no") - (F.col("kind") == "open").cast("int")).alias("trade_no")).distinct().withColumn("_broken", F.lit(True))
     last_sale = F.max(F.when(sold, F.struct(*ORDER, F.col("reason").alias("reason"), F.col("fill_value").alias("value"))))

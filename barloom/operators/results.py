@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from barloom.functions.candles import finite
 from barloom.plans.blocks import scan
 from barloom.schemas import POOL, TOKEN
+from barloom.session import reuse
 
 RUN_POOL = ["run_id", *POOL]
 # Exit kinds and event label prefixes.
@@ -58,6 +59,7 @@ def associate_events(numbered: DataFrame, events: DataFrame) -> DataFrame:
     Both sides are reduced to distinct match values before they meet, so copies never form pairs.
     """
     key = [*RUN_POOL, "time"]
+    numbered, events = reuse(numbered), reuse(events)
     by_no = _single(numbered.where("trade_no is not null"), [*RUN_POOL, "trade_no"])
     explicit = events.where("trade_no is not null").select(*RUN_POOL, "event_id", "trade_no").join(by_no, [*RUN_POOL, "trade_no"]).select("event_id", "trade_id")
     loose = events.where("trade_no is null")
@@ -354,7 +356,7 @@ def watch_list(watches: DataFrame, search: str | None = None, source: str | None
 
 def metric_alerts(samples: DataFrame, now: Column) -> DataFrame:
     """Alerts from the latest sample of each source: ``source, sampled_at, metrics map<string,double>``."""
-    latest = samples.groupBy("source").agg(F.max(F.struct("sampled_at", "metrics")).alias("s")).select("source", "s.*")
+    latest = samples.groupBy("source").agg(F.max("sampled_at").alias("sampled_at"), F.max_by("metrics", "sampled_at").alias("metrics"))
     stale = latest.where(now - F.col("sampled_at") > 180_000).select(F.concat("source", F.lit(":stale")).alias("key"), F.lit("error").alias("level"))
     entry = latest.select("source", F.explode("metrics").alias("name", "value"))
     usage = entry.where(F.col("name").isin("diskPercent", "inodePercent") & (F.col("value") >= 85)).select(

@@ -84,8 +84,9 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_id() -> Column:
-    """Unique per line: order and line number repeat, so part and supplier go into the high digits."""
-    return (F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000) * 1_000_000_000 + F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    """Unique per line: order and line number repeat, so part, supplier and quantity go into the high digits."""
+    high = (F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000) * 100 + F.col("l_quantity").cast("long")
+    return high * 100_000_000 + F.col("l_orderkey") * 10 + F.col("l_linenumber")
 
 
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:

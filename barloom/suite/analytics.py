@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from barloom.operators import ledger, results
 from barloom.operators.indicators import nearest_bars
 from barloom.schemas import POOL, TOKEN
+from barloom.session import reuse
 from barloom.sources import mapped
 from barloom.suite.base import H4, SIGNALS, TICKS, bars_cte, query
 
 DAY = 86_400_000
-T = """WITH RECURSIVE tr AS (SELECT (l_partkey*1000+l_suppkey%1000)*1000000000+l_orderkey*10+l_linenumber AS id, 'r'||(l_orderkey%2) AS run_id, 'c'||(l_suppkey%2) AS chain, 't'||l_suppkey AS ca, CASE WHEN l_linenumber%2=0 THEN 'a' ELSE 'b' END AS pair_id,
+T = """WITH RECURSIVE tr AS (SELECT ((l_partkey*1000+l_suppkey%1000)*100+CAST(l_quantity AS BIGINT))*100000000+l_orderkey*10+l_linenumber AS id, 'r'||(l_orderkey%2) AS run_id, 'c'||(l_suppkey%2) AS chain, 't'||l_suppkey AS ca, CASE WHEN l_linenumber%2=0 THEN 'a' ELSE 'b' END AS pair_id,
   epoch_us(l_shipdate)//1000+l_partkey*60000 AS entry_time, l_extendedprice/l_quantity AS entry_price, l_quantity AS quantity, l_partkey%11=0 AS opened, l_linenumber, l_partkey,
   l_extendedprice/l_quantity*(1+l_tax-l_discount) AS op, CASE WHEN l_partkey%13=0 THEN 'mystery' ELSE ['take_profit','stop_loss','profit_lock','invalidation','timeout','end_of_backtest'][l_orderkey%6+1] END AS rs, l_quantity*(l_extendedprice/l_quantity)*0.01 AS fees FROM lineitem),
 tr2 AS (SELECT *, CASE WHEN NOT opened THEN entry_time+l_linenumber*3600000-CASE WHEN l_partkey%17=0 THEN 8*3600000 ELSE 0 END END AS exit_time, CASE WHEN NOT opened THEN op END AS exit_price, CASE WHEN NOT opened THEN rs END AS exit_reason,
@@ -131,9 +132,9 @@ def curve(spark, sf):
     return results.realized_curve(trades(spark, sf))
 
 
-@query("g8_realized_curve", CURVE + " SELECT run_id, time, round(equity,2) AS equity, round(peak,2) AS peak, round(peak-equity,2) AS drawdown, round(CASE WHEN peak>0 THEN (peak-equity)/peak*100 ELSE 0 END,4) AS drawdown_percent FROM pk")
+@query("g8_realized_curve", CURVE + " SELECT run_id, time, round(equity,2) AS equity, round(peak,2) AS peak, round(peak-equity,2) AS drawdown, round(CASE WHEN peak>0 THEN (peak-equity)/peak*100 ELSE 0 END,2) AS drawdown_percent FROM pk")
 def _(spark, sf):
-    return curve(spark, sf).select("run_id", "time", *[F.round(c, 2).alias(c) for c in ("equity", "peak", "drawdown")], F.round("drawdown_percent", 4).alias("drawdown_percent"))
+    return curve(spark, sf).select("run_id", "time", *[F.round(c, 2).alias(c) for c in ("equity", "peak", "drawdown")], F.round("drawdown_percent", 2).alias("drawdown_percent"))
 
 
 Y98 = 883612800000
@@ -259,7 +260,7 @@ def _(spark, sf):
     return results.signal_buckets(marked, mapped.bars(spark, sf, H4), H4)
 
 
-F_SQL = """WITH RECURSIVE fl AS (SELECT (l_partkey*1000+l_suppkey%1000)*1000000000+l_orderkey*10+l_linenumber AS id, 'c' AS chain, 't'||l_suppkey AS ca, CASE WHEN l_linenumber%2=0 THEN 'a' ELSE 'b' END AS pair_id, CASE WHEN l_returnflag='R' THEN 'sell' ELSE 'buy' END AS side,
+F_SQL = """WITH RECURSIVE fl AS (SELECT ((l_partkey*1000+l_suppkey%1000)*100+CAST(l_quantity AS BIGINT))*100000000+l_orderkey*10+l_linenumber AS id, 'c' AS chain, 't'||l_suppkey AS ca, CASE WHEN l_linenumber%2=0 THEN 'a' ELSE 'b' END AS pair_id, CASE WHEN l_returnflag='R' THEN 'sell' ELSE 'buy' END AS side,
  CASE WHEN l_returnflag='R' THEN 'take_profit' WHEN l_linenumber=1 THEN 'add' ELSE 'entry' END AS reason, epoch_us(l_shipdate)//1000-1000*l_linenumber AS decision_time, epoch_us(l_shipdate)//1000 AS fill_time, l_extendedprice/l_quantity AS price,
  CASE WHEN l_linenumber<>7 THEN l_extendedprice/l_quantity*1000 END AS market_cap, 10*ceil(l_quantity/25) AS q, l_extendedprice/l_quantity*10*ceil(l_quantity/25) AS gross, l_discount, l_tax, l_suppkey, l_orderkey, l_partkey, l_linenumber FROM lineitem WHERE l_returnflag IN ('N','R')),
 fo AS (SELECT *, gross*(l_discount+l_tax) AS cost, row_number() OVER (PARTITION BY ca ORDER BY fill_time, decision_time, id) AS rn FROM fl)"""
@@ -283,7 +284,7 @@ def orders(spark, sf):
 x AS (SELECT fp.*, n, sum(CASE WHEN side='buy' AND reason='add' THEN 1 ELSE 0 END) OVER (PARTITION BY fp.ca, fp.pid ORDER BY fill_time, decision_time, id) AS a FROM fp JOIN no USING (ca, pid) WHERE (fill_time,decision_time,id)>=k)
 SELECT id, CASE WHEN side='buy' AND reason='add' THEN '加'||n||'.'||CAST(a AS BIGINT) WHEN side='buy' THEN '买'||n ELSE '卖'||n END AS label FROM x""")
 def _(spark, sf):
-    f = mapped.fills(spark, sf).withColumn("position_id", F.concat(F.lit("p"), F.floor((F.col("id") % 1_000_000_000) / 40).cast("string")))
+    f = mapped.fills(spark, sf).withColumn("position_id", F.concat(F.lit("p"), F.floor((F.col("id") % 100_000_000) / 40).cast("string")))
     return ledger.cycle_labels(f, 400 * DAY).select("id", "label")
 
 
@@ -356,7 +357,7 @@ vv AS (SELECT *, s%4<>0 AS agrees, CASE WHEN s%4<>0 AND (s%5)*50000<=120000 THEN
 
 
 def valued(spark, sf):
-    c = cycles(spark, sf)
+    c = reuse(cycles(spark, sf))
     s = F.substring("ca", 2, 10).cast("long")
     last = mapped.fills(spark, sf).groupBy(*TOKEN).agg(F.max_by("fill_price", F.struct("fill_time", "decision_time", "id")).alias("last_price"))
     quotes = c.where("status = 'open'").join(last, TOKEN).select(

@@ -178,12 +178,12 @@ def _(spark, sf):
     return indicators.nearest_bars(bars(spark, sf), anchors, 5, H4 * BLOCK).select(*POOL, "id", "context_from", "context_to")
 
 
-@query("d13_decision_bucket", f"WITH t AS (SELECT l_orderkey*10+l_linenumber AS id, epoch_us(l_shipdate)//1000 AS t, CASE WHEN l_returnflag='R' THEN 'stop_loss' ELSE 'entry' END AS reason FROM lineitem) SELECT id, (t//{H4})*{H4} AS bucket, ((t-CASE WHEN reason='entry' THEN 1 ELSE 0 END)//{H4})*{H4} AS decision FROM t")
+@query("d13_decision_bucket", f"WITH t AS (SELECT ((l_partkey*1000+l_suppkey%1000)*100+CAST(l_quantity AS BIGINT))*100000000+l_orderkey*10+l_linenumber AS id, epoch_us(l_shipdate)//1000 AS t, CASE WHEN l_returnflag='R' THEN 'stop_loss' ELSE 'entry' END AS reason FROM lineitem) SELECT id, (t//{H4})*{H4} AS bucket, ((t-CASE WHEN reason='entry' THEN 1 ELSE 0 END)//{H4})*{H4} AS decision FROM t")
 def _(spark, sf):
     from barloom.operators.ledger import decision_bucket
 
     t = mapped.table(spark, sf, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), mapped.epoch_ms("l_shipdate").alias("t"),
+        mapped.line_id().alias("id"), mapped.epoch_ms("l_shipdate").alias("t"),
         F.when(F.col("l_returnflag") == "R", "stop_loss").otherwise("entry").alias("reason"))
     return t.select("id", (F.floor(F.col("t") / H4) * H4).alias("bucket"), decision_bucket(F.col("t"), F.col("reason"), H4).alias("decision"))
 
