@@ -68,11 +68,12 @@ class _Account:
         return amount, before
 
 
-def allocate(labelled: DataFrame, rules: Mapping, keys: Sequence[str] = ()) -> DataFrame:
+def allocate(labelled: DataFrame, rules: Mapping, keys: Sequence[str] = (), overrides: Mapping[str, Mapping] | None = None) -> DataFrame:
     """Accepted trades with ``amount`` and ``cash_before`` per account (``keys``; none means a single account).
 
     An account is sequential in its cash, so its *events* (never bars) are sorted by time inside one partition and
-    streamed batch by batch; memory holds the open positions only, and accounts run in parallel.
+    streamed batch by batch; memory holds the open positions only, and accounts run in parallel. ``overrides``
+    replaces rules by the value of the first key (a candidate's own sizing or slots).
     """
     account = list(keys)
     pool_key = F.concat_ws(":", *POOL)
@@ -91,7 +92,7 @@ def allocate(labelled: DataFrame, rules: Mapping, keys: Sequence[str] = ()) -> D
                 idents, pdf["_pool"], pdf["entry_time"], pdf["entry_price"], pdf["exit_time"], pdf["exit_price"]
             ):
                 if state is None or ident != current:
-                    current, state = ident, _Account(rules)
+                    current, state = ident, _Account({**rules, **(overrides or {}).get(ident[0], {})} if ident else rules)
                 taken = state.offer(pool, at, price, end, out)
                 amounts.append(taken[0] if taken else None)
                 befores.append(taken[1] if taken else None)

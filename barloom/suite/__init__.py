@@ -1,4 +1,4 @@
 from barloom.suite.base import ORACLES, QUERIES
-from barloom.suite import analytics, market, signals
+from barloom.suite import analytics, market, signals, studies
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -349,3 +349,7 @@ def _(spark, sf):
 
     money = trade_costs(F.lit(100.0), F.col("entry_price"), F.col("exit_price"))
     return labelled(spark, sf).select(*POOL, "entry_idx", *[F.round(money[n], 6).alias(n) for n in ("quantity", "fees", "gross_pnl", "net_pnl")])
+
+
+def sweep_stops():
+    return [{"type": "percent", "value": 10}, {"type": "swing_low", "bufferPercent": 2}]
