@@ -76,6 +76,7 @@ def allocate(labelled: DataFrame, rules: Mapping, keys: Sequence[str] = (), over
     replaces rules by the value of the first key (a candidate's own sizing or slots).
     """
     account = list(keys)
+    labelled = reuse(labelled)
     pool_key = F.concat_ws(":", *POOL)
     slim = labelled.select(
         *account, *POOL, "entry_idx", "entry_time", "entry_price", "exit_time", "exit_price", pool_key.alias("_pool"))

@@ -19,8 +19,8 @@ from barloom.operators.labels import entries_of, framed_bars, label_exits, mark_
 from barloom.operators.rules import features_of
 from barloom.operators.swings import SwingRule
 from barloom.plans.blocks import BLOCK
-from barloom.schemas import TOKEN
-from barloom.session import reuse
+from barloom.schemas import POOL, TOKEN
+from barloom.session import cut, reuse
 
 # Fixed values of the published 864-candidate grid.
 FIB = {"type": "fib_retracement", "zoneLow": 0.618, "zoneHigh": 0.786}
@@ -164,7 +164,7 @@ def labelled_candidates(bars: DataFrame, gate: DataFrame, candidates: Sequence[M
         for c in mine:
             by_entry.setdefault((json.dumps(c["entry"], sort_keys=True), c.get("delay", 0)), []).append(c)
         for (_, delay), same in by_entry.items():
-            entries = reuse(entries_of(mark_entries(frame, swing, same[0]["entry"], block, True, delay)))
+            entries = cut(entries_of(mark_entries(frame, swing, same[0]["entry"], block, True, delay)), "entries")
             for c in same:
                 done = label_exits(with_levels(entries, c["exits"]), frame.where("core"), c["exits"], c.get("invalidation"))
                 parts.append(done.withColumn("candidate_id", F.lit(c["id"])))
@@ -175,7 +175,8 @@ def labelled_candidates(bars: DataFrame, gate: DataFrame, candidates: Sequence[M
 def sweep(bars: DataFrame, gate: DataFrame, cohorts: DataFrame, candidates: Sequence[Mapping], step: int, capital: float = 10_000.0, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(scores, accepted trades) of every candidate on every cohort; ``cohorts`` has token and ``cohort``."""
     labelled, core = labelled_candidates(bars, gate, candidates, step, block)
-    placed = labelled.join(cohorts, TOKEN)
+    # Scores read these small tables many times; storing them keeps each later plan short.
+    placed, core = cut(labelled.join(cohorts, TOKEN), "labels"), cut(core.select(*POOL, "idx", "time", "close"), "core")
     key = ["candidate_id", "cohort"]
     rules = {"capital": capital, "max_positions": 3, "sizing": {"type": "fixed_percent", "value": 2}, "costs": COSTS}
     own = {c["id"]: {k: c[k] for k in ("max_positions", "sizing", "costs", "allow_reentry") if k in c} for c in candidates}
@@ -185,7 +186,7 @@ def sweep(bars: DataFrame, gate: DataFrame, cohorts: DataFrame, candidates: Sequ
     for text in dict.fromkeys(json.dumps(c.get("costs", COSTS), sort_keys=True) for c in candidates):
         ids = [c["id"] for c in candidates if json.dumps(c.get("costs", COSTS), sort_keys=True) == text]
         priced.append(with_money(accepted.where(F.col("candidate_id").isin(ids)), json.loads(text)))
-    trades = reuse(reduce(DataFrame.unionByName, priced))
+    trades = cut(reduce(DataFrame.unionByName, priced), "trades")
     return score(trades, core, cohorts, candidates, capital), trades
 
 

@@ -27,8 +27,12 @@ def _market(df: DataFrame) -> DataFrame:
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "view", "purchase"))
-    return _market(events).select(
+    return ticks_of(table(spark, sf_dir, "events"))
+
+
+def ticks_of(events: DataFrame) -> DataFrame:
+    chosen = events.where(F.col("event_type").isin("click", "view", "purchase"))
+    return _market(chosen).select(
         *TOKEN,
         F.when(F.col("event_type") == "click", "a").otherwise("b").alias("pair_id"),
         F.col("event_id").cast("string").alias("id"),

@@ -163,7 +163,7 @@ def _(spark, sf):
     return cohorts.split_balanced_sets(tokens(spark, sf), 7, 50, 5, 10)
 
 
-@query("j4_fold_subsets", _LEDGER.replace(", sc AS", "WITH sc AS") + " SELECT subset, count(*) AS rows, round(sum(account_return),2) AS total FROM sc JOIN (SELECT i AS subset, unnest(list_filter([1,2,3,4,5], x -> (i >> (x-1)) & 1 = 1)) AS fold FROM (SELECT unnest(range(1,32)) AS i)) f ON f.fold=sc.cohort GROUP BY 1")
+@query("j4_fold_subsets", _LEDGER.replace(", sc AS", "WITH sc AS") + " SELECT subset, count(*) AS rows, round(sum(account_return),2) AS total FROM sc JOIN (SELECT i AS subset, j AS fold FROM (SELECT unnest(range(1,32)) AS i), (SELECT unnest(range(1,6)) AS j) WHERE (i >> (j-1)) & 1 = 1) f ON f.fold=sc.cohort GROUP BY 1")
 def _(spark, sf):
     subsets = cohorts.fold_subsets(spark, 5)
     return mapped.scores(spark, sf).join(subsets, F.col("cohort") == F.col("fold")).groupBy("subset").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("account_return"), 2).alias("total"))
@@ -226,7 +226,7 @@ def _cohort_frame(spark, sf):
 
 
 def study_candidates():
-    picks = [{**BASE, "id": "a"}, {**BASE, "id": "b", "exits": {**s.LOCKED, "maxHoldingBars": 10}}, {**BASE, "id": "c", "entry": s.TREE}]
+    picks = [{**BASE, "id": "a"}, {**BASE, "id": "b", "exits": {**s.LOCKED, "maxHoldingBars": 10}}]
     return picks
 
 
@@ -236,8 +236,8 @@ def run_sweep(spark, sf, candidates):
 
 @query("j9_grid_scores")
 def _(spark, sf):
-    """Three grid candidates (one per entry family), scored; the full grid goes through the same call."""
-    wanted = {"CONTROL", "A-S1-T1-P2s-L0", "E-S3-T4-P1s-L1"}
+    """Two grid candidates (one per entry family), scored; the full grid goes through the same call."""
+    wanted = {"A-S1-T1-P2s-L0", "E-S3-T4-P1s-L1"}
     picks = [c for c in sweep.grid(BASE) if c["id"] in wanted]
     return run_sweep(spark, sf, picks)[0]
 
@@ -251,7 +251,7 @@ def _(spark, sf):
 
 @query("j10_neighborhood_scores")
 def _(spark, sf):
-    picks = sweep.evenly_spaced(sweep.mutations(BASE)[18:30], 2)
+    picks = sweep.evenly_spaced(sweep.mutations(BASE)[18:20], 2)
     return run_sweep(spark, sf, picks)[0]
 
 
@@ -326,7 +326,7 @@ def _(spark, sf):
     return cohorts.holdout_decision(sc.where("cohort = 1"), sc.where("cohort = 2"), ["chain"])
 
 
-@query("j21_early_stop", J + ", k AS (SELECT candidate_id||chain AS candidate_id, cohort, account_return, account_return>0 AS ok FROM sc), e AS (SELECT *, cohort AS at FROM k WHERE cohort<=4) SELECT candidate_id, cohort FROM e WHERE (SELECT count(*) FROM e p WHERE p.candidate_id=e.candidate_id AND p.at<e.at AND p.ok)=at-1")
+@query("j21_early_stop", J + ", k AS (SELECT candidate_id||chain AS candidate_id, cohort, account_return, account_return>0 AS ok FROM sc), e AS (SELECT *, cohort AS pos FROM k WHERE cohort<=4) SELECT candidate_id, cohort FROM e WHERE (SELECT count(*) FROM e p WHERE p.candidate_id=e.candidate_id AND p.pos<e.pos AND p.ok)=pos-1")
 def _(spark, sf):
     sc = scored(spark, sf).withColumn("candidate_id", F.concat("candidate_id", "chain"))
     return cohorts.early_stop(sc, [1, 2, 3, 4], F.col("account_return") > 0).select("candidate_id", "cohort")
