@@ -124,12 +124,13 @@ def _(spark, sf):
     return results.excluded_counts(classified(spark, sf))
 
 
-CURVE = T + """, st AS (SELECT run_id, exit_time AS time, sum(net_pnl) AS net FROM tr2 WHERE exit_time IS NOT NULL AND net_pnl IS NOT NULL GROUP BY 1,2),
+CURVE = T + """, st AS (SELECT run_id, exit_time AS time, sum(round(net_pnl)) AS net FROM tr2 WHERE exit_time IS NOT NULL AND net_pnl IS NOT NULL GROUP BY 1,2),
 eq AS (SELECT run_id, time, net, 10000+sum(net) OVER (PARTITION BY run_id ORDER BY time) AS equity FROM st), pk AS (SELECT *, greatest(10000, max(equity) OVER (PARTITION BY run_id ORDER BY time)) AS peak FROM eq)"""
 
 
 def curve(spark, sf):
-    return results.realized_curve(trades(spark, sf))
+    # Whole amounts keep long running sums exact in doubles, whatever the order of addition.
+    return results.realized_curve(trades(spark, sf).withColumn("net_pnl", F.round("net_pnl")))
 
 
 @query("g8_realized_curve", CURVE + " SELECT run_id, time, round(equity,2) AS equity, round(peak,2) AS peak, round(peak-equity,2) AS drawdown, round(CASE WHEN peak>0 THEN (peak-equity)/peak*100 ELSE 0 END,2) AS drawdown_percent FROM pk")

@@ -52,7 +52,8 @@ def check(spark, con, name, build, sql, sf):
     assert sorted(columns) == sorted(names), f"columns {sorted(columns)} vs {sorted(names)}"
     a, b = rows_of(columns, rows), rows_of(names, expected)
     if a != b:
-        left, right = [x for x in a if x not in set(b)][:3], [x for x in b if x not in set(a)][:3]
+        in_a, in_b = set(a), set(b)
+        left, right = [x for x in a if x not in in_b][:3], [x for x in b if x not in in_a][:3]
         raise AssertionError(f"{len(a)} vs {len(b)} rows; spark only {left}; oracle only {right}")
     return f"match {len(a)}"
 
