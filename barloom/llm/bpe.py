@@ -2,8 +2,8 @@
 
 A pre-token is a linked list of symbols. Every adjacent pair that is itself a token waits in the bucket of its merge
 rank, ordered by position. Two levels of bit words record which buckets hold entries, so the next rank is found by two
-find-first-set steps instead of a search; an entry whose pair has changed since is skipped when it surfaces. One
-pre-token of n bytes takes O(n log n), however long it is.
+find-first-set steps instead of a search; an entry whose pair has changed since is skipped when it surfaces. n bytes
+take O(n log n), however long a pre-token is.
 
 Texts: null counts as empty and encodes to no ids. Any length is encoded whole. Repeated rows are encoded alike. Columns
 that an input has beside those named are ignored by ``encode`` with ``keep`` unset.
@@ -12,133 +12,185 @@ that an input has beside those named are ignored by ``encode`` with ``keep`` uns
 from __future__ import annotations
 
 import base64
-from heapq import heapify, heappop, heappush
-from itertools import chain
+from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barloom.llm.common import arrow_pass
 
-WORD_BITS = 256
 #: Pre-tokens remembered by one worker; a cache only, refilled when full.
-CACHE_SIZE = 300_000
+CACHE_SIZE = 800_000
 CACHE_CHARS = 40
-#: Ids of one output batch; the next batch starts once it is exceeded.
-BATCH_IDS = 500_000
-
-
-class RankQueue:
-    """Positions by merge rank: a bitmap of bit words, a bitmap of non-empty words, and a heap of positions per rank."""
-
-    def __init__(self) -> None:
-        self.top = 0
-        self.words: dict[int, int] = {}
-        self.buckets: dict[int, list[int]] = {}
-
-    def load(self, entries: dict[int, list[int]]) -> None:
-        for rank, positions in entries.items():
-            heapify(positions)
-            self._mark(rank)
-        self.buckets.update(entries)
-
-    def _mark(self, rank: int) -> None:
-        word, bit = divmod(rank, WORD_BITS)
-        self.words[word] = self.words.get(word, 0) | 1 << bit
-        self.top |= 1 << word
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-        else:
-            self.buckets[rank] = [position]
-            self._mark(rank)
-
-    def pop(self) -> tuple[int, int]:
-        word = (self.top & -self.top).bit_length() - 1
-        bits = self.words[word]
-        bit = (bits & -bits).bit_length() - 1
-        rank = word * WORD_BITS + bit
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            bits ^= 1 << bit
-            self.words[word] = bits
-            if not bits:
-                self.top ^= 1 << word
-        return rank, position
-
-
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: always merge the pair of lowest rank, leftmost first."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    n = len(piece)
-    after = list(range(1, n + 1))  # where the symbol that starts here ends
-    before = list(range(-1, n - 1))
-    rank_at: list[int | None] = [None] * n  # rank of the pair that starts here, None if there is none
-    waiting: dict[int, list[int]] = {}
-    for i in range(n - 1):
-        rank = ranks.get(piece[i:i + 2])
-        if rank is not None:
-            rank_at[i] = rank
-            waiting.setdefault(rank, []).append(i)
-    queue = RankQueue()
-    queue.load(waiting)
-    while queue.top:
-        rank, i = queue.pop()
-        if rank_at[i] != rank:
-            continue
-        gone = after[i]
-        end = after[gone]
-        after[i] = end
-        rank_at[gone] = None
-        if end < n:
-            before[end] = i
-        for start in (before[i], i):
-            if start < 0:
-                continue
-            middle = after[start]
-            rank = ranks.get(piece[start:after[middle]]) if middle < n else None
-            rank_at[start] = rank
-            if rank is not None:
-                queue.push(rank, start)
-    ids, i = [], 0
-    while i < n:
-        ids.append(ranks[piece[i:after[i]]])
-        i = after[i]
-    return ids
-
-
-class Pieces(dict):
-    """Ids by pre-token, merged on first sight."""
-
-    def __init__(self, ranks: dict[bytes, int]) -> None:
-        super().__init__()
-        self.ranks = ranks
-
-    def __missing__(self, piece: str) -> list[int]:
-        ids = merge(piece.encode("utf-8", "replace"), self.ranks)
-        if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_SIZE:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
-class Lengths(Pieces):
-    """Only the number of ids by pre-token."""
-
-    def __missing__(self, piece: str) -> int:
-        n = len(merge(piece.encode("utf-8", "replace"), self.ranks))
-        if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_SIZE:
-                self.clear()
-            self[piece] = n
-        return n
+#: Characters encoded together; one text may be longer and is then taken alone.
+CHUNK_CHARS = 2_000_000
+NONE = 1 << 30
+
+
+class Vocabulary:
+    """A vocabulary and what one worker has merged so far. It lives in a broadcast, so the memory outlasts a task."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+        self.ranks, self.pattern = ranks, pattern
+
+    def __getstate__(self):
+        return {"ranks": self.ranks, "pattern": self.pattern}
+
+    def prepare(self) -> None:
+        """Rank of every two tokens that join to a token, and the ranks of all byte pairs as a table."""
+        if hasattr(self, "known"):
+            return
+        ranks = self.ranks
+        self.known: dict[str, bytes] = {}
+        self.joined: dict[int, int] = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    self.joined[left << 32 | right] = rank
+        self.bytes_ = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        self.pairs = np.full(65536, NONE, np.int64)
+        for i in range(256):
+            for j in range(256):
+                self.pairs[i << 8 | j] = ranks.get(bytes((i, j)), NONE)
+
+    def merge(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of each pre-token: always merge the pair of lowest rank, leftmost first.
+
+        The pre-tokens lie in one linked list with closed borders and share one queue.
+        """
+        if not pieces:
+            return []
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        n = len(data)
+        starts = np.cumsum([0, *map(len, pieces)])
+        first = np.full(n + 1, NONE, np.int64)  # rank of the pair that starts at each place
+        first[:n - 1] = self.pairs[data[:-1].astype(np.int64) << 8 | data[1:]]
+        first[starts[1:] - 1] = NONE
+        symbol = self.bytes_[data].tolist()
+        symbol.append(-1)
+        after = list(range(1, n + 2))  # where the symbol that starts here ends
+        before = list(range(-1, n))
+        closed = bytearray(n + 2)  # 1 where a pre-token starts: nothing merges across
+        for at in starts.tolist():
+            closed[at] = 1
+        # Buckets of positions by rank, each a heap; a bit per bucket that holds entries, a bit per word of 256 that is not zero.
+        order = np.argsort(first[:n], kind="stable")
+        order = order[:np.searchsorted(first[order], NONE)]
+        values, begins = np.unique(first[order], return_index=True)
+        places, begins = order.tolist(), [*begins.tolist(), len(order)]
+        pair = first.tolist()
+        buckets, words, top = {}, [0] * 256, 0
+        for k, rank in enumerate(values.tolist()):
+            buckets[rank] = places[begins[k]:begins[k + 1]]
+            word = rank >> 8
+            if word >= len(words):
+                words.extend([0] * (word + 1 - len(words)))
+            words[word] |= 1 << (rank & 255)
+            top |= 1 << word
+        get, bucket_of = self.joined.get, buckets.get
+        while top:
+            word = (top & -top).bit_length() - 1
+            bits = words[word]
+            low = bits & -bits
+            rank = word << 8 | low.bit_length() - 1
+            bucket = buckets[rank]
+            lowest = rank
+            while bucket:
+                i = heappop(bucket)
+                if pair[i] != rank:
+                    continue  # stale
+                gone = after[i]
+                end = after[i] = after[gone]
+                symbol[i] = rank
+                pair[gone] = NONE
+                before[end] = i
+                if not closed[end]:
+                    new = pair[i] = get(rank << 32 | symbol[end], NONE)
+                    if new != NONE:
+                        held = bucket_of(new)
+                        if held:
+                            heappush(held, i)
+                        else:
+                            buckets[new] = [i]
+                            if new >> 8 >= len(words):
+                                words.extend([0] * ((new >> 8) + 1 - len(words)))
+                            words[new >> 8] |= 1 << (new & 255)
+                            top |= 1 << (new >> 8)
+                        if new < lowest:
+                            lowest = new
+                else:
+                    pair[i] = NONE
+                if not closed[i]:
+                    i = before[i]
+                    new = pair[i] = get(symbol[i] << 32 | rank, NONE)
+                    if new != NONE:
+                        held = bucket_of(new)
+                        if held:
+                            heappush(held, i)
+                        else:
+                            buckets[new] = [i]
+                            if new >> 8 >= len(words):
+                                words.extend([0] * ((new >> 8) + 1 - len(words)))
+                            words[new >> 8] |= 1 << (new & 255)
+                            top |= 1 << (new >> 8)
+                        if new < lowest:
+                            lowest = new
+                if lowest < rank:
+                    break
+            if not bucket:
+                words[word] &= ~low
+                if not words[word]:
+                    top &= ~(1 << word)
+        found, i = [], 0
+        for end in starts[1:].tolist():
+            ids = []
+            while i < end:
+                ids.append(symbol[i])
+                i = after[i]
+            found.append(ids)
+        return found
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text as 32-bit numbers."""
+        self.prepare()
+        known, ranks = self.known, self.ranks
+        if len(known) > CACHE_SIZE:
+            known.clear()
+        split = regex.compile(self.pattern).findall
+        found = [split(text or "") for text in texts]
+        fresh = {piece for pieces in found for piece in pieces if piece not in known}
+        rest = []
+        for piece in fresh:
+            raw = piece.encode("utf-8", "replace")
+            rank = ranks.get(raw)
+            if rank is None:
+                rest.append((piece, raw))
+            else:
+                known[piece] = rank.to_bytes(4, "little")
+        for (piece, _), ids in zip(rest, self.merge([raw for _, raw in rest])):
+            known[piece] = b"".join([x.to_bytes(4, "little") for x in ids])
+        out = [np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<i4") for pieces in found]
+        for piece in fresh:
+            if len(piece) > CACHE_CHARS:
+                del known[piece]
+        return out
+
+
+def chunks(texts: pa.Array):
+    """(first row, texts) of parts of a column of about ``CHUNK_CHARS`` at most."""
+    first, part, size = 0, [], 0
+    for row, value in enumerate(texts):
+        text = value.as_py()
+        if part and size + len(text or "") > CHUNK_CHARS:
+            yield first, part
+            first, part, size = row, [], 0
+        part.append(text)
+        size += len(text or "")
+    if part:
+        yield first, part
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -147,32 +199,22 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def _shared(spark: SparkSession, ranks: dict[bytes, int]):
-    return spark.sparkContext.broadcast(ranks)
+def _shared(spark: SparkSession, ranks: dict[bytes, int], pattern: str = ""):
+    return spark.sparkContext.broadcast(Vocabulary(ranks, pattern))
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "ids") -> DataFrame:
     """Columns ``keep`` and ``out``, the ids as ``array<int>`` of the whole text; every match of ``pattern`` is encoded apart."""
-    sent = _shared(docs.sparkSession, ranks)
+    sent = _shared(docs.sparkSession, ranks, pattern)
     names = [*keep, out]
 
     def run(batches):
-        pieces, split = Pieces(sent.value), regex.compile(pattern).findall
-        get = pieces.__getitem__
         for batch in batches:
-            texts, first = batch.column(len(keep)), 0
-            while first < batch.num_rows:
-                ids: list[int] = []
-                ends = [0]
-                for value in texts[first:]:
-                    ids.extend(chain.from_iterable(map(get, split(value.as_py() or ""))))
-                    ends.append(len(ids))
-                    if len(ids) > BATCH_IDS:
-                        break
-                taken = len(ends) - 1
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, taken) for k in range(len(keep))), lists], names)
-                first += taken
+            for first, texts in chunks(batch.column(len(keep))):
+                ids = sent.value.encode(texts)
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, len(ids)) for k in range(len(keep))), lists], names)
 
     types = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + f", `{out}` array<int>"
@@ -185,7 +227,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", keep:
     names = [*keep, ids, out]
 
     def run(batches):
-        token = {i: t for t, i in sent.value.items()}.__getitem__
+        token = {i: t for t, i in sent.value.ranks.items()}.__getitem__
         for batch in batches:
             lists, step = batch.column(len(keep)), 50
             for first in range(0, batch.num_rows, step):
@@ -200,14 +242,13 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", keep:
 
 def count(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "n_tokens") -> DataFrame:
     """Columns ``keep`` and ``out``, the number of ids of the whole text."""
-    sent = _shared(docs.sparkSession, ranks)
+    sent = _shared(docs.sparkSession, ranks, pattern)
     names = [*keep, out]
 
     def run(batches):
-        get, split = Lengths(sent.value).__getitem__, regex.compile(pattern).findall
         for batch in batches:
-            sizes = pa.array([sum(map(get, split(value.as_py() or ""))) for value in batch.column(len(keep))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), sizes], names)
+            sizes = [len(ids) for _, texts in chunks(batch.column(len(keep))) for ids in sent.value.encode(texts)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(sizes, pa.int64())], names)
 
     types = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + f"{', ' if keep else ''}`{out}` bigint"
