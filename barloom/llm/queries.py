@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from barloom.llm import bpe, secrets, token_counts
+from barloom.llm import bpe, parity_join, secrets, token_counts
 from barloom.llm.common import digest, table
 
 QUERIES: dict = {}
@@ -55,3 +55,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         digest(listed(secrets.BASE)).alias("base_sha256"), listed(secrets.KINDS).alias("spans"),
         number(lambda x: x["verdict"] == "live").alias("n_live"), number(lambda x: x["verdict"] == "example").alias("n_example"),
     )
+
+
+@query
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.cluster(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
