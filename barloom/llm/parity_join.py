@@ -253,8 +253,8 @@ def cluster(docs: DataFrame, text: str = "text") -> DataFrame:
     buckets = max(1, int(tokens // BUCKET_TOKENS))
     shared = shared_tokens(docs, buckets, text)
     possible = classes.join(shared, "set_id", "left").where(F.col("counted") - F.coalesce("shared", F.lit(0)) <= F.floor(F.col("n") / 4))
-    possible = cut(possible.select("set_id", F.coalesce("first", F.lit(-1)).alias("_first")), "near-possible")
-    some = join_checked(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_first"), text), possible.select("_first").distinct(), ["_first"], "left_semi")
+    possible = cut(possible.select("set_id", F.coalesce("first", F.lit(-1)).alias("__first")), "near-possible")
+    some = join_checked(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("__first"), text), possible.select("__first").distinct(), ["__first"], "left_semi")
     sets = cut(sketch(some, text).join(possible.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]), "near-sketches")
     labels = linked_sets(sets)
     named = classes.select("set_id", "first").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
@@ -267,12 +267,12 @@ def cluster(docs: DataFrame, text: str = "text") -> DataFrame:
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of ``docs``; of each group of linked documents one stays, that with the smallest doc_id."""
     rows = cut(cluster(docs, text).where("set_id IS NOT NULL").withColumn("group", F.coalesce(F.col("component_id"), F.lit(-1))), "near-groups")
-    row = F.struct(F.coalesce(F.col("doc_id"), F.lit(-1)).alias("_id"), F.col("text_key").alias("_key"))
+    row = F.struct(F.coalesce(F.col("doc_id"), F.lit(-1)).alias("__id"), F.col("text_key").alias("__key"))
     best = rows.groupBy("group", "set_id", row.alias("row")).agg(F.count("*").alias("copies")).groupBy("group").agg(F.min(F.struct("row", "copies")).alias("best"))
     each = rows.groupBy("group", row.alias("row")).agg(F.count("*").alias("copies")).join(best, "group")
     gone = cut(each.where(F.col("row") != F.col("best.row")).select("row.*").distinct(), "near-gone")
-    again = cut(each.where((F.col("row") == F.col("best.row")) & (F.col("copies") > 1)).select("row.*").withColumn("_again", F.lit(True)).distinct(), "near-again")
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_key": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    left = join_checked(join_checked(keyed, gone, ["_id", "_key"], "left_anti"), again, ["_id", "_key"], "left")
-    once = left.where("_again IS NULL").union(left.where("_again").dropDuplicates(["_id", "_key"]))
+    again = cut(each.where((F.col("row") == F.col("best.row")) & (F.col("copies") > 1)).select("row.*").withColumn("__again", F.lit(True)).distinct(), "near-again")
+    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "__key": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    left = join_checked(join_checked(keyed, gone, ["__id", "__key"], "left_anti"), again, ["__id", "__key"], "left")
+    once = left.where("__again IS NULL").union(left.where("__again").dropDuplicates(["__id", "__key"]))
     return once.select(*docs.columns)

@@ -113,9 +113,9 @@ def redact(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """All rows and columns of ``docs``; live values are replaced by ``[kind]`` and ``n_chars`` follows, if there is one."""
     names = docs.columns
     live = spans(candidates(docs), example_owners).where(F.col("verdict") == "live")
-    live = cut(by_document(live, "doc_id", "text_key").select(_key("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans")), "secret-live")
-    keyed = docs.withColumn("_id", _key("doc_id")).withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = join_checked(keyed, live, ["_id", "_key"], "left")
+    live = cut(by_document(live, "doc_id", "text_key").select(_key("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans")), "secret-live")
+    keyed = docs.withColumn("__id", _key("doc_id")).withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = join_checked(keyed, live, ["__id", "__key"], "left")
 
     def step(done: Column, x: Column) -> Column:
         start = F.greatest(x["end"] - x["value_size"], done["at"])
@@ -127,9 +127,9 @@ def redact(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
         )
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("_spans", start, step, lambda done: F.concat(done["out"], F.substring(F.col("text"), done["at"].cast("int") + 1, F.length("text"))))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked)
+    masked = F.aggregate("__spans", start, step, lambda done: F.concat(done["out"], F.substring(F.col("text"), done["at"].cast("int") + 1, F.length("text"))))
+    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(masked)
     out = joined.withColumn("text", text)
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*names)

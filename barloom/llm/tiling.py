@@ -188,6 +188,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, tex
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, text: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` but the documents that leak an item."""
     found = leaks(docs, benchmark, coverage, text)
-    gone = cut(found.select(F.coalesce(F.col("doc_id"), F.lit(-1)).alias("_id"), F.col("text_key").alias("_key")).distinct(), "leaks")
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_key": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    return join_checked(keyed, gone, ["_id", "_key"], "left_anti").select(*docs.columns)
+    gone = cut(found.select(F.coalesce(F.col("doc_id"), F.lit(-1)).alias("__id"), F.col("text_key").alias("__key")).distinct(), "leaks")
+    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "__key": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    return join_checked(keyed, gone, ["__id", "__key"], "left_anti").select(*docs.columns)
