@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from barloom.llm import bpe, fingerprints, parity_join, secrets, tiling, token_counts, toxicity
+from barloom.llm import bpe, fingerprints, parity_join, secrets, tiling, token_counts, toxicity, url_filter
 from barloom.llm.common import digest, table
 
 QUERIES: dict = {}
@@ -78,3 +78,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+URL_RULES = (
+    url_filter.Rule("org/", True), url_filter.Rule("example.org/es/", False), url_filter.Rule("example.org/en/1", False),
+    url_filter.Rule("com/fr/", True), url_filter.Rule("com/de/", False),
+)
+
+
+@query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
