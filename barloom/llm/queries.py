@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from barloom.llm import bpe, fingerprints, parity_join, secrets, tiling, token_counts, toxicity, url_filter
+from barloom.llm import bpe, fingerprints, parity_join, secrets, tiling, token_counts, toxicity, url_filter, warc
 from barloom.llm.common import digest, table
 
 QUERIES: dict = {}
@@ -89,3 +89,26 @@ URL_RULES = (
 @query
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def _base32(hex_digits: str) -> str:
+    """SQL for the base32 form of 40 hexadecimal digits: 8 groups of 5 digits give 4 letters each."""
+    groups = []
+    for k in range(8):
+        group = f"CAST('0x' || substr({hex_digits}, {5 * k + 1}, 5) AS BIGINT)"
+        groups += [f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(({group} >> {shift}) & 31 AS INTEGER) + 1, 1)" for shift in (15, 10, 5, 0)]
+    return " || ".join(groups)
+
+
+ORACLES["op5_warc"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS d FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS original FROM p)
+SELECT page_id, strlen(html) AS payload_bytes, {_base32('d')} AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM original AND original IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM original THEN original END AS refers_to
+FROM q"""
+
+
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
