@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from barloom.llm import bpe, fingerprints, parity_join, secrets, tiling, token_counts, toxicity, url_filter, warc
+from barloom.llm import bpe, chat, fingerprints, parity_join, secrets, tiling, token_counts, toxicity, url_filter, warc
 from barloom.llm.common import digest, table
 
 QUERIES: dict = {}
@@ -112,3 +112,8 @@ FROM q"""
 @query
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))

@@ -1,10 +1,53 @@
-"""The corpus pipeline: documents in, token ids out. Each stage reads what the stage before it kept."""
+"""The corpus pipeline: documents in, token ids out.
+
+Each stage works on all that its predecessor kept, as written and read again: toxic documents go, one document of each group
+of near duplicates stays, documents that leak a benchmark item go, live secrets are masked, and the rest is encoded.
+All stages but the last return the columns of documents; the last returns doc_id, ``n_tokens`` and ``ids``.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from barloom.llm import bpe, parity_join, secrets, tiling, toxicity
+from barloom.llm.common import table
+from barloom.session import cut
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.reject(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return parity_join.keep_one(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return tiling.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.encode(docs, ranks, public_tokenizers.PATTERN).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("decontamination", drop_benchmark_leaks),
+    ("secrets", mask_secrets), ("encoding", encode),
+]
+#: A trained classifier and byte-level BPE have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = cut(docs, f"pipeline-{name}")
+    return docs
