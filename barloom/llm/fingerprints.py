@@ -154,7 +154,7 @@ def _ranges(docs: DataFrame):
     spark = docs.sparkSession
     wanted = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = docs.approxQuantile("__order", [k / wanted for k in range(1, wanted)], 0.25 / wanted)
-    edges = [-math.inf, *sorted({b for b in bounds if not math.isnan(b)}), math.inf]
+    edges = [-math.inf, *sorted({0.0, *(b for b in bounds if not math.isnan(b))}), math.inf]
     split = Bucketizer(splits=edges, inputCol="__order", outputCol="__range")
     firsts = split.transform(docs.select("__order", "__id")).groupBy("__range").agg(F.min("__id")).collect()  # a row per range
     return split, sorted((int(r), i) for r, i in firsts)

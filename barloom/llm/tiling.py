@@ -35,7 +35,9 @@ SLOTS = 1 << 22
 
 def tiles(item: np.ndarray, doc: np.ndarray, least: int = SHINGLE) -> list[tuple[int, int, int]]:
     """Non-overlapping matches (place in item, place in doc, words), longest first, none shorter than ``least``."""
-    sums_i, sums_d = (np.concatenate(([0], np.cumsum(x * powers(len(x) + 1)[0][:len(x)]))).astype(np.uint64) for x in (item, doc))
+    sums_i, sums_d = np.zeros(len(item) + 1, np.uint64), np.zeros(len(doc) + 1, np.uint64)
+    for sums, x in ((sums_i, item), (sums_d, doc)):
+        np.cumsum(x * powers(len(x) + 1)[0][:len(x)], out=sums[1:])
     down = powers(max(len(item), len(doc)) + 1)[1]
     free_i, free_d = np.ones(len(item), bool), np.ones(len(doc), bool)
 
