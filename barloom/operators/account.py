@@ -130,35 +130,44 @@ def scale_in(buys: DataFrame, key: Sequence[str], max_entries: int) -> DataFrame
 
 
 def equity_curve(trades: DataFrame, bars: DataFrame, capital: float, keys: Sequence[str] = (), costs: Mapping = COSTS, width: int = DAY, block: int = 512) -> DataFrame:
-    """Cash, equity and unrealized value at every bar time.
+    """Cash, equity and unrealized value of each account.
 
-    Cash is a carried sum of flows; positions meet only the bars they were held on (range join on index blocks).
+    Everything is a running sum of changes: money that flows, and what each held position gains from one bar of its pool
+    to the next. Between two bars, and after a pool's last one, a position keeps its last price. A single account has a
+    row at every bar time; with ``keys`` the rows are the times at which an account changes, as equity is flat elsewhere.
     """
     account = list(keys)
     buy_rate = (costs["feePercent"] + costs["slippagePercent"] + costs["buyTaxPercent"]) / 100
     sell_rate = (costs["feePercent"] + costs["slippagePercent"] + costs["sellTaxPercent"]) / 100
     t = reuse(trades)
-    one = F.lit(1).alias("_one")
-    flows = t.select(*account, one, F.col("entry_time").alias("time"), (-F.col("amount") * (1 + buy_rate)).alias("flow")).unionByName(
-        t.where("exit_time is not null").select(*account, one, F.col("exit_time").alias("time"), (F.col("quantity") * F.col("exit_price") * (1 - sell_rate)).alias("flow")))
-    flows = flows.groupBy(*account, "_one", "time").agg(F.sum("flow").alias("flow"))
+    ident = [*account, *POOL, "entry_idx"]
     until = F.coalesce(F.col("exit_idx") - 1, F.lit(2**40))
     ends = bars.groupBy(*POOL).agg(F.max("idx").alias("_end"))
     held = t.join(ends, POOL).select(
-        *account, *POOL, "entry_idx", "entry_price", "quantity", F.least(until, F.col("_end")).alias("_until")
+        *ident, "entry_price", "quantity", "exit_time", F.least(until, F.col("_end")).alias("_until")
     ).where("_until >= entry_idx").withColumn("_xb", cover(F.col("entry_idx"), F.col("_until"), block))
     marks = held.join(bars.select(*POOL, "idx", "time", "close", block_of(F.col("idx"), block).alias("_xb")), [*POOL, "_xb"]).where(
         F.col("idx").between(F.col("entry_idx"), F.col("_until")))
-    value = marks.groupBy(*account, "time").agg(
-        F.sum(F.col("quantity") * F.col("close")).alias("value"), F.sum((F.col("close") - F.col("entry_price")) * F.col("quantity")).alias("unrealized"))
-    clock = bars.select("time").distinct().withColumn("_one", F.lit(1))
-    if account:
-        # One row per account and time; both sides are distinct keys and the result is the output itself.
-        clock = clock.join(t.select(*account, F.lit(1).alias("_one")).distinct(), "_one")
-    grid = clock.join(flows, [*account, "_one", "time"], "left").join(value, [*account, "time"], "left")
-    run = scan(grid, [*account, "_one"], ["time"], F.floor(F.col("time") / width), {"_flow": ("sum", F.coalesce("flow", F.lit(0.0)))})
+    before = F.lag("close").over(Window.partitionBy(*ident).orderBy("idx"))  # one position's bars
+    zero, quantity = F.lit(0.0), F.col("quantity")
+    moves = marks.withColumn("_before", before).select(
+        *account, "time", zero.alias("flow"), (quantity * (F.col("close") - F.coalesce("_before", zero))).alias("value"),
+        (quantity * (F.col("close") - F.coalesce("_before", "entry_price"))).alias("unrealized"))
+    last = F.max_by("close", "idx")
+    sold = marks.where("exit_time is not null").groupBy(*ident, "exit_time", "quantity", "entry_price").agg(last.alias("_last")).select(
+        *account, F.col("exit_time").alias("time"), zero.alias("flow"), (-quantity * F.col("_last")).alias("value"),
+        (-quantity * (F.col("_last") - F.col("entry_price"))).alias("unrealized"))
+    paid = t.select(*account, F.col("entry_time").alias("time"), (-F.col("amount") * (1 + buy_rate)).alias("flow"), zero.alias("value"), zero.alias("unrealized"))
+    got = t.where("exit_time is not null").select(
+        *account, F.col("exit_time").alias("time"), (quantity * F.col("exit_price") * (1 - sell_rate)).alias("flow"), zero.alias("value"), zero.alias("unrealized"))
+    changes = moves.unionByName(sold).unionByName(paid).unionByName(got)
+    if not account:
+        changes = changes.unionByName(bars.select("time", zero.alias("flow"), zero.alias("value"), zero.alias("unrealized")))
+    names = ["flow", "value", "unrealized"]
+    grid = changes.groupBy(*account, "time").agg(*[F.sum(n).alias(n) for n in names]).withColumn("_one", F.lit(1))
+    run = scan(grid, [*account, "_one"], ["time"], F.floor(F.col("time") / width), {f"_{n}": ("sum", F.col(n)) for n in names})
     cash = F.lit(float(capital)) + F.col("_flow")
-    return run.select(*account, "time", cash.alias("cash"), (cash + F.coalesce("value", F.lit(0.0))).alias("equity"), F.coalesce("unrealized", F.lit(0.0)).alias("unrealized"))
+    return run.select(*account, "time", cash.alias("cash"), (cash + F.col("_value")).alias("equity"), F.col("_unrealized").alias("unrealized"))
 
 
 def account_drawdown(curve: DataFrame, capital: float, keys: Sequence[str] = (), width: int = DAY) -> DataFrame:
@@ -166,8 +175,12 @@ def account_drawdown(curve: DataFrame, capital: float, keys: Sequence[str] = (),
     return drawdown(staged, [*keys, "_one"], "equity", capital, width).drop("_one")
 
 
-def report(trades: DataFrame, capital: float, keys: Sequence[str] = ()) -> DataFrame:
-    """Scalar summary of closed trades. The longest losing run comes from a carried count of wins."""
+def report(trades: DataFrame, capital: float, keys: Sequence[str] = (), curve: DataFrame | None = None) -> DataFrame:
+    """Scalar summary of closed trades. The longest losing run comes from a carried count of wins.
+
+    With the account's ``curve`` the return counts open positions at their last price, and the report gains the final
+    equity and the largest drawdown; without it the return is that of closed trades only.
+    """
     account = [*keys, "_one"]
     closed = reuse(trades.where("exit_time is not null").withColumn("_one", F.lit(1)))
     net, win = F.col("net_pnl"), F.col("net_pnl") > 0
@@ -181,7 +194,11 @@ def report(trades: DataFrame, capital: float, keys: Sequence[str] = ()) -> DataF
         (F.sum(net) / capital * 100).alias("return_percent"),
         F.when(loss > 0, gain / F.when(loss > 0, loss)).when(gain > 0, F.lit(float("inf"))).otherwise(0.0).alias("profit_factor"),
         F.avg("holding_bars").alias("average_holding_bars"))
-    return main.join(streak, account).drop("_one")
+    made = main.join(streak, account)
+    if curve is not None:
+        falls = account_drawdown(curve, capital, keys).groupBy(*keys).agg(F.max("drawdown_percent").alias("max_drawdown_percent"), F.max_by("equity", "time").alias("final_equity"))
+        made = made.drop("return_percent").join(falls.withColumn("_one", F.lit(1)), account).withColumn("return_percent", (F.col("final_equity") / capital - 1) * 100)
+    return made.drop("_one")
 
 
 def by_pool(trades: DataFrame, pools: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

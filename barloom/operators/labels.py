@@ -50,6 +50,8 @@ def mark_entries(
     Bars without a swing can never be met, so only covered bars are joined. The bar before a block is recomputed
     from the halo, which lets the edge look back across the block border.
     """
+    if rule.version != "legacy-v1":
+        raise ValueError(f"entries of swing rule {rule.version} need a locked candidate chain, which is not available")
     allowed = gate_open(delay_minutes) if gated else F.lit(True)
     swings = swing_asof(frame, rule, block, overlap=1)
     met = F.coalesce(allowed & compile_rule(entry_rule, F.col("swing")), F.lit(False))

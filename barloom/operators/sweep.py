@@ -6,10 +6,11 @@ per entry rule, and only entries, never bars, are multiplied by candidates.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -46,24 +47,52 @@ def group(mode: str, *conditions: Mapping, at_least: int | None = None) -> dict:
     return {"mode": mode, "conditions": list(conditions), **({"minMatches": at_least} if at_least else {})}
 
 
-def grid_entries(base_entry: Mapping) -> list[dict]:
-    return [
-        group("all", FIB), dict(base_entry), group("all", FIB, RSI, ema_rule(9)),
-        group("all", FIB, group("at_least", VOLUME, PATTERN, OBV, at_least=2)), group("all", PERCENT, VOLUME, BULL),
-        group("all", PERCENT, group("any", RSI, ema_rule(21), OBV))]
+#: The published grid as axes: every axis lists the parts of a configuration that one choice replaces.
+def grid_axes(base: Mapping) -> dict[str, list[dict]]:
+    tiers = (base["exits"].get("profitLock") or {}).get("tiers", [])
+    momentum = group("any", RSI, ema_rule(21), OBV)
+    entries = [
+        group("all", FIB), dict(base["entry"]), group("all", FIB, RSI, ema_rule(9)),
+        group("all", FIB, group("at_least", VOLUME, PATTERN, OBV, at_least=2)), group("all", PERCENT, VOLUME, BULL), group("all", PERCENT, momentum)]
+    return {
+        "entry": [{"entry": e} for e in entries], "stop": [{"exits": {"stopLoss": x}} for x in STOPS], "target": [{"exits": {"takeProfit": x}} for x in TARGETS],
+        "size": [{"sizing": x} for x in SIZES], "adds": [{"max_entries": n} for n in (1, 2)],
+        "lock": [{"exits": {"profitLock": {"enabled": on, "tiers": tiers}}} for on in (False, True)]}
 
 
-def grid(base: Mapping) -> list[dict]:
-    """Every combination of entry, stop, target, size, adds and lock, with a control row first."""
-    tiers = (base["exits"].get("profitLock") or {}).get("tiers", [])
-    rows = [{**base, "id": "CONTROL"}]
-    axes = product(enumerate(grid_entries(base["entry"])), enumerate(STOPS), enumerate(TARGETS), enumerate(SIZES), (False, True), (False, True))
-    for (e, entry), (s, stop), (t, target), (z, size), adds, lock in axes:
-        rows.append({
-            **base, "id": f"{'ABCDEF'[e]}-S{s + 1}-T{t + 1}-P{z + 1}{'a' if adds else 's'}-L{int(lock)}", "entry": entry, "invalidation": INVALIDATION,
-            "exits": {"stopLoss": stop, "takeProfit": target, "maxHoldingBars": 200, "closeAtEnd": True, "profitLock": {"enabled": lock, "tiers": tiers}},
-            "sizing": size, "max_positions": 1, "allow_reentry": True, "max_entries": 2 if adds else 1})
-    return rows
+#: What all rows of the grid share.
+GRID_FIXED = {"invalidation": INVALIDATION, "max_positions": 1, "allow_reentry": True, "exits": {"maxHoldingBars": 200, "closeAtEnd": True}}
+
+
+def overlay(config: Mapping, part: Mapping) -> dict:
+    """``config`` with the values of ``part``; exits are replaced field by field."""
+    return {**config, **part, **({"exits": {**config.get("exits", {}), **part["exits"]}} if "exits" in part else {})}
+
+
+def axis_frame(spark: SparkSession, axes: Mapping[str, Sequence]) -> DataFrame:
+    """One row per combination: ``candidate_id`` and the ordinal on each axis, read off the row number digit by digit."""
+    total, columns = 1, {}
+    for name, values in axes.items():
+        columns[name] = (F.floor(F.col("id") / total) % len(values)).cast("int")
+        total *= len(values)
+    return spark.range(total).withColumns(columns).select(F.concat(F.lit("G"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("candidate_id"), *axes)
+
+
+def chosen(base: Mapping, axes: Mapping[str, Sequence[Mapping]], rows: Sequence[Mapping]) -> list[dict]:
+    """Configurations of rows of ``axis_frame``."""
+    made = []
+    for row in rows:
+        config = overlay(base, GRID_FIXED)
+        for name, values in axes.items():
+            config = overlay(config, values[row[name]])
+        made.append({**config, "id": row["candidate_id"]})
+    return made
+
+
+def grid(spark: SparkSession, base: Mapping, where: str = "true") -> list[dict]:
+    """The base as a control, then the combinations that satisfy a condition on the axes."""
+    axes = grid_axes(base)
+    return [{**base, "id": "CONTROL"}, *chosen(base, axes, axis_frame(spark, axes).where(where).orderBy("candidate_id").collect())]
 
 
 def plain(candidate: Mapping) -> dict:
@@ -98,25 +127,40 @@ def neighborhood(spark: SparkSession, count: int, seed: int) -> DataFrame:
     return made.withColumn("checksum", F.sha2(config, 256)).dropDuplicates(["checksum"])
 
 
-def mutations(base: Mapping) -> list[dict]:
-    """One-factor changes of a base, which keep comparisons with it readable."""
-    swing, exits = base["swing"], base["exits"]
-    changed = lambda **kw: SwingRule(**{**swing.as_dict(), **kw})
-    out = [{"swing": changed(min_gain=float(g))} for g in GAINS]
-    out += [{"swing": changed(left=p, right=p)} for p in (2, 3, 5)]
-    out += [{"swing": changed(lookback=v, max_duration=min(v, swing.max_duration))} for v in (60, 150, 300)]
-    out += [{"swing": changed(max_duration=v, lookback=max(v, swing.lookback))} for v in (20, 60, 100)]
-    out += [{"entry": group("all", {"type": "fib_retracement", "zoneLow": a, "zoneHigh": b}, group("any", RSI, ema_rule(21), OBV))} for a, b in ZONES]
-    out += [{"exits": {**exits, "stopLoss": s}} for s in NEAR_STOPS] + [{"exits": {**exits, "takeProfit": t}} for t in NEAR_TARGETS]
-    out += [{"exits": {**exits, "maxHoldingBars": h}} for h in HOLDS] + [{"max_positions": n} for n in (2, 3)] + [{"allow_reentry": False}]
-    rows, seen = [], set()
-    for change in [{}, *out]:
-        row = {**base, **change}
-        mark = json.dumps({k: v for k, v in plain(row).items() if k != "id"}, sort_keys=True)
-        if mark not in seen:
-            seen.add(mark)
-            rows.append({**row, "id": f"E{len(rows) + 1:04d}"})
-    return rows
+def neighbour_factors() -> dict[str, list]:
+    """The fields that a neighbour of a base changes, one at a time, with their values."""
+    zones = [group("all", {"type": "fib_retracement", "zoneLow": low, "zoneHigh": high}, group("any", RSI, ema_rule(21), OBV)) for low, high in ZONES]
+    return {
+        "min_gain": [float(g) for g in GAINS], "pivot": [2, 3, 5], "lookback": [60, 150, 300], "max_duration": [20, 60, 100], "entry": zones,
+        "stopLoss": NEAR_STOPS, "takeProfit": NEAR_TARGETS, "maxHoldingBars": HOLDS, "max_positions": [2, 3], "allow_reentry": [False]}
+
+
+def with_factor(base: Mapping, name: str, value) -> dict:
+    """``base`` with one field set. A swing never lasts longer than its look-back: the field not set gives way."""
+    swing = base["swing"]
+    if name == "pivot":
+        return {**base, "swing": replace(swing, left=value, right=value)}
+    if name == "lookback":
+        return {**base, "swing": replace(swing, lookback=value, max_duration=min(value, swing.max_duration))}
+    if name == "max_duration":
+        return {**base, "swing": replace(swing, max_duration=value, lookback=max(value, swing.lookback))}
+    if name == "min_gain":
+        return {**base, "swing": replace(swing, min_gain=value)}
+    return overlay(base, {"exits": {name: value}} if name in base["exits"] else {name: value})
+
+
+def checksum(config: Mapping) -> str:
+    return hashlib.sha256(json.dumps({k: v for k, v in plain(config).items() if k != "id"}, sort_keys=True).encode()).hexdigest()
+
+
+def neighbours(base: Mapping) -> list[dict]:
+    """The base and every different configuration one factor away from it."""
+    found = {checksum(base): {**base, "id": "N-base"}}
+    for name, values in neighbour_factors().items():
+        for ordinal, value in enumerate(values):
+            config = with_factor(base, name, value)
+            found.setdefault(checksum(config), {**config, "id": f"N-{name}-{ordinal}"})
+    return list(found.values())
 
 
 def rotate_invalidations(candidates: Sequence[Mapping], keep: int) -> list[dict]:
@@ -174,6 +218,8 @@ def labelled_candidates(bars: DataFrame, gate: DataFrame, candidates: Sequence[M
 
 def sweep(bars: DataFrame, gate: DataFrame, cohorts: DataFrame, candidates: Sequence[Mapping], step: int, capital: float = 10_000.0, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(scores, accepted trades) of every candidate on every cohort; ``cohorts`` has token and ``cohort``."""
+    if adding := [c["id"] for c in candidates if c.get("max_entries", 1) > 1]:
+        raise ValueError(f"candidates that add to positions cannot be scored: {adding[:5]}")
     labelled, core = labelled_candidates(bars, gate, candidates, step, block)
     # Scores read these small tables many times; storing them keeps each later plan short.
     placed, core = cut(labelled.join(cohorts, TOKEN), "labels"), cut(core.select(*POOL, "idx", "time", "close"), "core")
@@ -205,8 +251,12 @@ def score(trades: DataFrame, core: DataFrame, cohorts: DataFrame, candidates: Se
     curve = account_drawdown(equity_curve(trades, core, capital, key), capital, key)
     falls = curve.groupBy(*key).agg(F.max("drawdown_percent").alias("max_drawdown"), F.min("cash").alias("min_cash"))
     top = F.greatest(F.lit(0.0), F.coalesce("b.token_net", F.lit(0.0)))
+    # Every candidate has a row on every cohort; both lists are configuration.
+    every = cohorts.select("cohort").distinct().withColumn("candidate_id", F.explode(F.array(*[F.lit(c["id"]) for c in candidates])))
+    counted = [c for c in main.columns if c not in (*key, "win_rate")]
     return (
-        main.join(best, key, "left").join(falls, key, "left")
+        every.join(main, key, "left").na.fill(0, counted).join(best, key, "left").join(falls, key, "left")
+        .withColumn("max_drawdown", F.coalesce("max_drawdown", F.lit(0.0))).withColumn("min_cash", F.coalesce("min_cash", F.lit(float(capital))))
         .withColumn("profit_factor", F.when(F.col("_loss") > 0, F.col("_gain") / F.when(F.col("_loss") > 0, F.col("_loss"))))
         .withColumn("top_token", F.when(top > 0, F.col("b.token"))).withColumn("top_token_pnl", top)
         .withColumn("without_top_return", F.col("normal_return") - top / capital * 100)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from barloom.operators.rules import qualify_source
 from barloom.plans.blocks import scan
@@ -58,15 +58,25 @@ def late_policy(ticks: DataFrame, arrival: str, width: int) -> DataFrame:
 
 
 def flush_and_fill(bars: DataFrame, now: int, step: int, connected: DataFrame) -> DataFrame:
-    """Bars closed by ``now`` plus idle bars while the market's feed was connected (``from_time``..``to_time``)."""
+    """Bars closed by ``now`` plus the idle bars after a real one, up to the first that no connection covers.
+
+    ``connected`` may hold any number of intervals (``from_time``..``to_time``) of a market; an idle bar belongs to one if
+    it lies in it whole. A gap in the connection ends the filling until the next real bar.
+    """
     from barloom.operators.quality import fill_gaps, index_bars
 
     closed = bars.where(F.col("close_time") <= now)
     indexed = index_bars(closed.select(*POOL, "time", *OHLCV), step)
-    trailing = indexed.withColumn("next_time", F.coalesce("next_time", F.lit((now // step) * step)))
+    trailing = indexed.withColumn("next_time", F.coalesce("next_time", F.lit((now // step) * step))).withColumn("real_time", F.col("time"))
     filled = fill_gaps(trailing, step)
-    live = connected.select(*MARKET, "from_time", "to_time")
-    return filled.join(live, MARKET, "left").where(~F.col("synthetic") | F.col("time").between(F.col("from_time"), F.col("to_time") - step)).drop("from_time", "to_time")
+    real, idle = filled.where(~F.col("synthetic")), filled.where("synthetic")
+    inside = F.expr(f"transform(sequence(cast(ceil(from_time / {step}) as bigint), cast(floor(to_time / {step}) as bigint) - 1), n -> n * {step})")
+    covered = connected.where(F.ceil(F.col("from_time") / step) < F.floor(F.col("to_time") / step)).select(*MARKET, F.explode(inside).alias("time")).distinct()
+    live = idle.join(covered, [*MARKET, "time"])
+    # The n-th idle bar after a real one stays if all n of them are connected.
+    order = Window.partitionBy(*POOL, "real_time").orderBy("time")
+    kept = live.withColumn("_n", F.row_number().over(order)).where(F.col("time") == F.col("real_time") + F.col("_n") * step).drop("_n")
+    return real.unionByName(kept).drop("real_time")
 
 
 def fence(bars: DataFrame, interruptions: DataFrame, step: int) -> DataFrame:

@@ -47,9 +47,11 @@ def _(spark, sf):
 E = T + """, ev AS (SELECT id*10+1 AS event_id, run_id, chain, ca, pair_id, entry_time AS time, entry_price AS price, quantity, 'entry' AS signal_type FROM tr2
  UNION ALL SELECT id*10+2, run_id, chain, ca, pair_id, entry_time+1800000, entry_price*1.01, quantity*0.5, 'add' FROM tr2 WHERE n_adds=1
  UNION ALL SELECT id*10+9, run_id, chain, ca, pair_id, exit_time, exit_price, quantity, exit_reason FROM tr2 WHERE exit_time IS NOT NULL),
-m AS (SELECT e.event_id, t.id AS tid, t.trade_no, t.n_adds FROM ev e JOIN nb t USING (run_id, chain, ca, pair_id)
- WHERE (e.signal_type='entry' AND t.entry_time=e.time) OR (e.signal_type='add' AND t.n_adds=1 AND t.entry_time+1800000=e.time AND abs(t.entry_price*1.01-e.price)<=1e-9*greatest(1,abs(e.price)) AND abs(t.quantity*0.5-e.quantity)<=1e-9*greatest(1,abs(e.quantity)))
-  OR (e.signal_type NOT IN ('entry','add','mystery') AND t.exit_reason=e.signal_type AND t.exit_time=e.time AND abs(t.exit_price-e.price)<=1e-9*greatest(1,abs(e.price)) AND abs(t.quantity-e.quantity)<=1e-9*greatest(1,abs(e.quantity)))),
+j AS (SELECT 'entry' AS kind, 0 AS k, id AS tid, trade_no, n_adds, run_id, chain, ca, pair_id, entry_time AS time, NULL AS price, NULL AS quantity FROM nb
+ UNION ALL SELECT 'add', 1, id, trade_no, n_adds, run_id, chain, ca, pair_id, entry_time+1800000, entry_price*1.01, quantity*0.5 FROM nb WHERE n_adds=1
+ UNION ALL SELECT exit_reason, 1, id, trade_no, n_adds, run_id, chain, ca, pair_id, exit_time, exit_price, quantity FROM nb WHERE exit_reason NOT IN ('entry','add','mystery')),
+m AS (SELECT e.event_id, j.tid, j.trade_no, j.n_adds FROM ev e JOIN j ON e.run_id=j.run_id AND e.chain=j.chain AND e.ca=j.ca AND e.pair_id=j.pair_id AND e.time=j.time AND e.signal_type=j.kind
+ WHERE j.k=0 OR (abs(j.price-e.price)<=1e-9*greatest(1,abs(e.price)) AND abs(j.quantity-e.quantity)<=1e-9*greatest(1,abs(e.quantity)))),
 u AS (SELECT event_id, any_value(tid) AS trade_id, any_value(trade_no) AS trade_no, any_value(n_adds) AS n_adds FROM m GROUP BY event_id HAVING count(*)=1),
 ln AS (SELECT ev.*, u.trade_id, u.trade_no, CASE WHEN u.trade_id IS NOT NULL THEN CASE WHEN signal_type='entry' THEN 1 WHEN signal_type='add' THEN 2 WHEN signal_type<>'mystery' THEN n_adds+2 END END AS event_order FROM ev LEFT JOIN u USING (event_id))"""
 

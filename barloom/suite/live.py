@@ -55,11 +55,18 @@ def _(spark, sf):
 NOW = 1_706_486_400_000
 
 
-@query("i4_flush_and_fill", M + f""", c AS (SELECT *, lead(time) OVER (PARTITION BY {K} ORDER BY time) AS nt FROM bars WHERE close_time<={NOW}), f AS (SELECT {K}, close, time+k*{H4} AS time, k>0 AS synthetic FROM (SELECT *, unnest(generate_series(0, greatest(1,(coalesce(nt,{(NOW // H4) * H4})-time)//{H4})-1)) AS k FROM c))
-SELECT {K}, time, close, synthetic FROM f WHERE NOT synthetic OR (pair_id='a' AND time BETWEEN 1704844800000 AND {NOW}-{H4})""")
+CONNECTED = [(1_704_844_800_000, 1_705_500_000_000), (1_705_400_000_000, 1_705_700_000_000), (1_705_900_000_000, NOW)]
+_IN = " OR ".join(f"(time>={a} AND time+{H4}<={b})" for a, b in CONNECTED)
+
+
+@query("i4_flush_and_fill", M + f""", c AS (SELECT *, lead(time) OVER (PARTITION BY {K} ORDER BY time) AS nt FROM bars WHERE close_time<={NOW}), f AS (SELECT {K}, close, time AS base, k, time+k*{H4} AS time FROM (SELECT *, unnest(generate_series(0, greatest(1,(coalesce(nt,{(NOW // H4) * H4})-time)//{H4})-1)) AS k FROM c)),
+h AS (SELECT *, sum(CASE WHEN k>0 AND pair_id='a' AND ({_IN}) THEN 1 ELSE 0 END) OVER (PARTITION BY {K}, base ORDER BY k) AS n FROM f)
+SELECT {K}, time, close, k>0 AS synthetic FROM h WHERE n=k""")
 def _(spark, sf):
+    """Three intervals of connection per market, two of them overlapping."""
     b = mapped.bars(spark, sf, H4)
-    connected = b.where("pair_id = 'a'").select("chain", "pair_id").distinct().withColumn("from_time", F.lit(1704844800000)).withColumn("to_time", F.lit(NOW))
+    spans = F.explode(F.array(*[F.struct(F.lit(x).alias("from_time"), F.lit(y).alias("to_time")) for x, y in CONNECTED]))
+    connected = b.where("pair_id = 'a'").select("chain", "pair_id").distinct().select("*", spans.alias("s")).select("chain", "pair_id", "s.*")
     return live.flush_and_fill(b.where("low > 0"), NOW, H4, connected).select(*POOL, "time", "close", "synthetic")
 
 

@@ -71,7 +71,8 @@ def _(spark, sf):
 
 
 EQ = ONE_SQL + f""", tm AS (SELECT DISTINCT time FROM filled), fw AS (SELECT entry_time AS time, -amount*1.03 AS flow FROM ac UNION ALL SELECT exit_time, quantity*exit_price*0.97 FROM ac WHERE exit_time IS NOT NULL),
-val AS (SELECT f.time, sum(a.quantity*f.close) AS v, sum((f.close-a.entry_price)*a.quantity) AS u FROM ac a JOIN filled f USING ({K}) WHERE f.idx>=a.entry_idx AND f.idx<a.exit_idx GROUP BY 1),
+pos AS (SELECT tm.time, a.chain, a.ca, a.pair_id, a.quantity, a.entry_price FROM tm JOIN ac a ON tm.time>=a.entry_time AND (a.exit_time IS NULL OR tm.time<a.exit_time)),
+val AS (SELECT p.time, sum(p.quantity*f.close) AS v, sum((f.close-p.entry_price)*p.quantity) AS u FROM pos p ASOF JOIN filled f ON p.chain=f.chain AND p.ca=f.ca AND p.pair_id=f.pair_id AND p.time>=f.time GROUP BY 1),
 fs AS (SELECT time, sum(flow) AS flow FROM fw GROUP BY 1),
 eqc AS (SELECT time, 10000+sum(coalesce(flow,0)) OVER (ORDER BY time) AS cash, coalesce(v,0) AS v, coalesce(u,0) AS unrealized FROM tm LEFT JOIN fs USING (time) LEFT JOIN val USING (time)),
 dd AS (SELECT *, cash+v AS equity, greatest(10000, max(cash+v) OVER (ORDER BY time)) AS peak FROM eqc)"""
@@ -93,12 +94,13 @@ def _(spark, sf):
     return out.agg(F.round(F.max("drawdown"), 4).alias("max_drawdown"), F.round(F.max("drawdown_percent"), 6).alias("max_drawdown_percent"))
 
 
-@query("f12_report", ONE_SQL + f""", o AS (SELECT *, sum(CASE WHEN net_pnl>0 THEN 1 ELSE 0 END) OVER (ORDER BY exit_time, {K}, entry_idx) AS g FROM ac), st AS (SELECT max(n) AS n FROM (SELECT count_if(net_pnl<=0) AS n FROM o GROUP BY g))
-SELECT count(*) AS trades, count_if(net_pnl>0) AS wins, count_if(net_pnl<=0) AS losses, round(count_if(net_pnl>0)*1.0/count(*),8) AS win_rate, round(sum(net_pnl),4) AS net_pnl, round(sum(net_pnl)/100,6) AS return_percent,
+@query("f12_report", EQ + f""", o AS (SELECT *, sum(CASE WHEN net_pnl>0 THEN 1 ELSE 0 END) OVER (ORDER BY exit_time, {K}, entry_idx) AS g FROM ac), st AS (SELECT max(n) AS n FROM (SELECT count_if(net_pnl<=0) AS n FROM o GROUP BY g))
+SELECT count(*) AS trades, count_if(net_pnl>0) AS wins, count_if(net_pnl<=0) AS losses, round(count_if(net_pnl>0)*1.0/count(*),8) AS win_rate, round(sum(net_pnl),4) AS net_pnl, (SELECT round((arg_max(equity,time)/10000-1)*100,6) FROM dd) AS return_percent, (SELECT round(arg_max(equity,time),4) FROM dd) AS final_equity, (SELECT round(max((peak-equity)/peak*100),6) FROM dd) AS max_drawdown_percent,
  round(sum(CASE WHEN net_pnl>0 THEN net_pnl ELSE 0 END)/-sum(CASE WHEN net_pnl>0 THEN 0 ELSE net_pnl END),6) AS profit_factor, round(avg(exit_idx-entry_idx),6) AS average_holding_bars, (SELECT n FROM st) AS max_losing_streak FROM ac""")
 def _(spark, sf):
-    out = account.report(account.with_money(accepted(spark, sf)), 10_000.0)
-    digits = {"win_rate": 8, "net_pnl": 4, "return_percent": 6, "profit_factor": 6, "average_holding_bars": 6}
+    trades, curve = one_account(spark, sf)
+    out = account.report(trades, 10_000.0, curve=curve)
+    digits = {"win_rate": 8, "net_pnl": 4, "return_percent": 6, "final_equity": 4, "max_drawdown_percent": 6, "profit_factor": 6, "average_holding_bars": 6}
     return out.select("trades", "wins", "losses", "max_losing_streak", *[F.round(c, d).alias(c) for c, d in digits.items()])
 
 
@@ -237,9 +239,9 @@ def run_sweep(spark, sf, candidates):
 @query("j9_grid_scores")
 def _(spark, sf):
     """Two grid candidates (one per entry family), scored; the full grid goes through the same call."""
-    wanted = {"A-S1-T1-P2s-L0", "E-S3-T4-P1s-L1"}
-    picks = [c for c in sweep.grid(BASE) if c["id"] in wanted]
-    return run_sweep(spark, sf, picks)[0]
+    one = "entry = 0 AND stop = 0 AND target = 0 AND size = 1 AND adds = 0 AND lock = 0"
+    two = "entry = 4 AND stop = 2 AND target = 3 AND size = 0 AND adds = 0 AND lock = 1"
+    return run_sweep(spark, sf, sweep.grid(spark, BASE, f"({one}) OR ({two})")[1:])[0]
 
 
 @query("j11_derived_candidates")
@@ -251,7 +253,7 @@ def _(spark, sf):
 
 @query("j10_neighborhood_scores")
 def _(spark, sf):
-    picks = sweep.evenly_spaced(sweep.mutations(BASE)[18:20], 2)
+    picks = [c for c in sweep.neighbours(BASE) if c["id"] in ("N-entry-3", "N-entry-4")]
     return run_sweep(spark, sf, picks)[0]
 
 
@@ -262,7 +264,7 @@ def _(spark, sf):
 
 @query("j13_stress")
 def _(spark, sf):
-    return run_sweep(spark, sf, [BASE, *sweep.stress_variants(BASE)[::3]])[0]
+    return run_sweep(spark, sf, [BASE, *sweep.stress_variants(BASE)])[0]
 
 
 @query("j14_leave_best_out")
