@@ -79,7 +79,8 @@ def swing_pairs(frame: DataFrame, rule: SwingRule) -> DataFrame:
     """Every qualifying (low, high) pair with the interval of bars on which it can be selected.
 
     Highs that cannot reach the gain against the lowest pivot in range never join. Both sides keep the
-    (pool, block) partitioning of the frame, so the range join moves no rows.
+    (pool, block) partitioning of the frame, so the range join moves no rows. Within a block the index is cut again
+    at the longest duration: a high meets the lows of two such stretches, not of the whole block.
     """
     at = [*POOL, "blk"]
     strict = rule.version != "legacy-v1"
@@ -92,6 +93,9 @@ def swing_pairs(frame: DataFrame, rule: SwingRule) -> DataFrame:
     lows = frame.where(F.col("low_pivot") & (F.col("low") > 0)).select(
         *at, F.col("idx").alias("low_idx"), "low", (F.col("vol_upto") - F.col("volume")).alias("_lv"), F.col("vol_base").alias("_base"),
     )
+    reach = rule.max_duration
+    highs = highs.withColumn("_stretch", cover(F.col("high_idx") - reach, F.col("high_idx") - 1, reach))
+    lows = lows.withColumn("_stretch", block_of(F.col("low_idx"), reach))
     span = F.col("high_idx") - F.col("low_idx")
     mean = (F.col("_hv") - F.col("_lv")) / (span + 1)
     gain = (F.col("high") / F.col("low") - 1) * 100
@@ -103,7 +107,7 @@ def swing_pairs(frame: DataFrame, rule: SwingRule) -> DataFrame:
         rule_ok = rule_ok & (F.col("low_idx") > F.coalesce("higher_idx", F.lit(-1)))
         breach = F.array_min(F.transform("closes_after", lambda c, i: F.when((c > F.col("high")) | (c < F.col("low")), i)))
         ends = F.least(ends, F.col("high_idx") + F.coalesce(breach.cast("long"), ends))
-    return highs.join(lows, at).where(rule_ok).select(
+    return highs.join(lows, [*at, "_stretch"]).where(rule_ok).select(
         *at, "core", "high_idx", "low_idx", "low", "high", gain.alias("gain_percent"), mean.alias("average_volume"),
         (F.col("high_idx") + rule.right).alias("confirmed_idx"), ends.alias("ends_at"),
     )
