@@ -28,7 +28,7 @@ SLOTS = 1 << 20
 #: Features of the model.
 FEATURES = 6_000
 #: Labelled documents the logistic model is fitted to; the counts behind the ratios take all of them.
-SAMPLE = 30_000
+SAMPLE = 10_000
 SMOOTHING = 1.0
 PENALTY = 2e-4
 STEPS = 150
@@ -107,9 +107,9 @@ def counts(labelled: DataFrame, text: str = "text", label: str = "toxic") -> Dat
 
 def _fit(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
     """Coefficients of the scaled features and the intercept: accelerated gradient steps with diagonal scaling."""
-    at = np.concatenate([r.astype(np.int64) for r in rows]) if rows else np.empty(0, np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    value = scale[at]
+    at = np.concatenate(rows)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    value = scale[at].astype(np.float32)
     n, m = len(rows), len(scale)
     rate = labels.mean()
     w, b = np.zeros(m), float(np.log(rate / (1 - rate)))
