@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Mapping
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -16,7 +17,10 @@ from barloom.session import reuse
 
 # Reasons decided from the bar that just closed, and the quantity tolerance.
 CLOSE_REASONS = ["entry", "add", "invalidation", "timeout"]
-TINY = 1e-9
+TINY = Decimal("1e-9")
+# Quantities are walked as decimals: their sums are exact in any order, so blocks of any width agree.
+QUANTITY = "decimal(38,12)"
+NOTHING = Decimal(0)
 ORDER = ["fill_time", "decision_time", "id"]
 DAY = 86_400_000
 
@@ -33,27 +37,27 @@ def usable_fill() -> Column:
     return F.coalesce(rule & cost("fee") & cost("slippage_cost") & cost("tax_cost"), F.lit(False))
 
 
-def step_holding(held: float, quantity: float, buy: bool) -> tuple[float, str]:
+def step_holding(held: Decimal, quantity: Decimal, buy: bool) -> tuple[Decimal, str]:
     """One fill applied to a holding. A sell beyond the holding contradicts it and leaves the token flat."""
     if buy:
         return held + quantity, "open" if held == 0 else "add"
     if quantity > held + TINY or held == 0:
-        return 0.0, "contradiction" if held > 0 else "orphan"
+        return NOTHING, "contradiction" if held > 0 else "orphan"
     left = held - quantity
-    return (0.0, "close") if left <= TINY else (left, "partial")
+    return (NOTHING, "close") if left <= TINY else (left, "partial")
 
 
-def _summarize(rows: pd.DataFrame) -> list[tuple[float, float | None, float]]:
+def _summarize(rows: pd.DataFrame) -> list[tuple[Decimal, Decimal | None, Decimal]]:
     """How a block of fills maps an unknown incoming holding: pieces ``(from, constant, shift)`` by ascending bound.
 
     Above the last bound nothing contradicts and the holding only shifts; below it some sell did, after which the
     outcome no longer depends on what came in.
     """
     pieces: list[list] = []  # [lower bound, constant]
-    need, shift = 0.0, 0.0
+    need, shift = NOTHING, NOTHING
     for quantity, buy, cut in zip(rows["quantity"], rows["side"] == "buy", rows["cut"]):
         if cut:
-            pieces, need, shift = [[0.0, 0.0]], float("inf"), 0.0
+            pieces, need, shift = [[NOTHING, NOTHING]], Decimal("inf"), NOTHING
         for piece in pieces:
             piece[1] = step_holding(piece[1], quantity, buy)[0]
         if buy:
@@ -61,7 +65,7 @@ def _summarize(rows: pd.DataFrame) -> list[tuple[float, float | None, float]]:
         else:
             bound = quantity - shift - TINY
             if bound > need:
-                pieces.append([need, 0.0])
+                pieces.append([need, NOTHING])
                 need = bound
             shift -= quantity
         merged: list[list] = []
@@ -69,18 +73,18 @@ def _summarize(rows: pd.DataFrame) -> list[tuple[float, float | None, float]]:
             if not merged or merged[-1][1] != piece[1]:
                 merged.append(piece)
         pieces = merged
-    out = [(low, value, 0.0) for low, value in pieces]
-    return out if need == float("inf") else [*out, (need, None, shift)]
+    out = [(low, value, NOTHING) for low, value in pieces]
+    return out if need == Decimal("inf") else [*out, (need, None, shift)]
 
 
-def _apply(pieces, held: float) -> float:
+def _apply(pieces, held: Decimal) -> Decimal:
     chosen = None
     for low, value, shift in pieces:
         if held >= low:
             chosen = (value, shift)
-    value, shift = chosen if chosen else (0.0, 0.0)
+    value, shift = chosen if chosen else (NOTHING, NOTHING)
     result = value if value is not None else held + shift
-    return 0.0 if result <= TINY else result
+    return NOTHING if result <= TINY else result
 
 
 def holdings(fills: DataFrame, width: int = 90 * DAY) -> DataFrame:
@@ -88,7 +92,7 @@ def holdings(fills: DataFrame, width: int = 90 * DAY) -> DataFrame:
 
     A token's fills depend on each other, so they are walked in time blocks: every block is first summarised for
     any incoming holding, the summaries (one row per block) are folded per token, and every block is then walked
-    once from its known start. No task ever holds a whole token.
+    once from its known start. A task holds one block of a token.
     """
     rows = reuse(fills).where(usable_fill()).withColumn("blk", F.floor(F.col("fill_time") / width).cast("long"))
     if "position_id" in fills.columns:
@@ -97,41 +101,41 @@ def holdings(fills: DataFrame, width: int = 90 * DAY) -> DataFrame:
     else:
         rows = rows.withColumn("cut", F.lit(False))
     key = [*TOKEN, "blk"]
-    slim = rows.select(*key, *ORDER, "quantity", "side", "cut")
+    slim = rows.select(*key, *ORDER, F.col("quantity").cast(QUANTITY).alias("quantity"), "side", "cut")
 
     def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
         pieces = _summarize(pdf.sort_values(ORDER))
         head = pdf.iloc[0]
         return pd.DataFrame({
             "chain": [head["chain"]], "ca": [head["ca"]], "blk": [head["blk"]], "low": [[p[0] for p in pieces]],
-            "value": [[float("nan") if p[1] is None else p[1] for p in pieces]], "shift": [[p[2] for p in pieces]]})
+            "value": [[p[1] for p in pieces]], "shift": [[p[2] for p in pieces]]})
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held, starts = 0.0, []
+        held, starts = NOTHING, []
         pdf = pdf.sort_values("blk")
         for low, value, shift in zip(pdf["low"], pdf["value"], pdf["shift"]):
             starts.append(held)
-            held = _apply([(a, None if b != b else b, c) for a, b, c in zip(low, value, shift)], held)
+            held = _apply(list(zip(low, value, shift)), held)
         return pd.DataFrame({"chain": pdf["chain"], "ca": pdf["ca"], "blk": pdf["blk"], "start": starts})
 
     schema = "chain string, ca string, blk long"
-    pieces = slim.groupBy(*key).applyInPandas(summarize, f"{schema}, low array<double>, value array<double>, shift array<double>")
-    starts = pieces.groupBy(*TOKEN).applyInPandas(fold, f"{schema}, start double")
+    pieces = slim.groupBy(*key).applyInPandas(summarize, f"{schema}, low array<{QUANTITY}>, value array<{QUANTITY}>, shift array<{QUANTITY}>")
+    starts = pieces.groupBy(*TOKEN).applyInPandas(fold, f"{schema}, start {QUANTITY}")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ORDER)
-        held, before, kinds, broken = float(pdf["start"].iloc[0]), [], [], []
+        held, before, kinds, broken = pdf["start"].iloc[0], [], [], []
         for quantity, side, cut in zip(pdf["quantity"], pdf["side"], pdf["cut"]):
             broken.append(bool(cut) and held > 0)
-            held = 0.0 if cut else held
+            held = NOTHING if cut else held
             before.append(held)
             held, kind = step_holding(held, quantity, side == "buy")
             kinds.append(kind)
         return pd.DataFrame({"chain": pdf["chain"], "ca": pdf["ca"], "id": pdf["id"], "held_before": before, "kind": kinds, "broke": broken})
 
     id_type = slim.schema["id"].dataType.simpleString()
-    walked = slim.join(starts, key).groupBy(*key).applyInPandas(walk, f"chain string, ca string, id {id_type}, held_before double, kind string, broke boolean")
-    return reuse(rows.drop("cut").join(walked, [*TOKEN, "id"]))
+    walked = slim.join(starts, key).groupBy(*key).applyInPandas(walk, f"chain string, ca string, id {id_type}, held_before {QUANTITY}, kind string, broke boolean")
+    return reuse(rows.drop("cut").join(walked.withColumn("held_before", F.col("held_before").cast("double")), [*TOKEN, "id"]))
 
 
 def position_cycles(fills: DataFrame, width: int = 90 * DAY) -> DataFrame:

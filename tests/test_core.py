@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -78,14 +79,29 @@ def test_holdings_blocks_match_a_plain_walk(spark):
     df = spark.createDataFrame(rows, "chain string, ca string, id long, fill_time long, decision_time long, side string, quantity double")
     df = df.select("*", *[F.lit(1.0).alias(c) for c in ("gross_amount", "fill_value")], *[F.lit(0.0).alias(c) for c in ("fee", "slippage_cost", "tax_cost")])
     got = [(r.held_before, r.kind) for r in ledger.holdings(df, 9).orderBy("id").collect()]
-    held, want = 0.0, []
+    held, want = Decimal(0), []
     for r in rows:
         before = held
-        held, kind = ledger.step_holding(held, r[6], r[5] == "buy")
+        held, kind = ledger.step_holding(held, Decimal(r[6]), r[5] == "buy")
         want.append((before, kind))
     assert got == want
 
 
+def test_cycles_do_not_depend_on_the_block_width(spark):
+    """Forty round trips of fractional and very large quantities, each sold in three parts."""
+    rng = random.Random(11)
+    rows, at = [], 0
+    for _ in range(40):
+        parts = [Decimal(rng.randrange(1, 10**rng.choice([4, 9, 14]))) / 10**8 for _ in range(3)]
+        for side, quantity in [("buy", sum(parts)), *(("sell", q) for q in parts)]:
+            at += 1
+            rows.append(("c", "t", at, at, at, side, float(quantity), 1.0, 1.0, 0.0, 0.0, 0.0, side, 1.0))
+    fills = "chain string, ca string, fill_time long, decision_time long, id long, side string, quantity double, gross_amount double, fill_value double, fee double, slippage_cost double, tax_cost double, reason string, market_cap double"
+    df = spark.createDataFrame(rows, fills)
+    for width in (1, 3, 1000):
+        assert [tuple(r) for r in ledger.position_cycles(df, width).groupBy("status").count().collect()] == [("closed", 40)]
+
+
 def test_allocate_matches_brute_force(spark):
     rng = random.Random(5)
     rows = []
