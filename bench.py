@@ -6,7 +6,10 @@ import json
 import os
 import time
 
+from barloom.operators.labels import earliest_signals
+from barloom.operators.quality import fill_gaps, index_bars, only_valid
 from barloom.plans import backtest
+from barloom.schemas import OHLCV, POOL
 from barloom.session import build, prepare
 from barloom.sources import mapped
 from barloom.suite import QUERIES
@@ -32,7 +35,12 @@ def main() -> None:
     timed("flagship_5m_bars", lambda: backtest.pool_results(backtest.trades(mapped.bars(spark, SF, FILLED_STEP), mapped.signals(spark, SF), FILLED_STEP)))
     for name in NAMES:
         timed(name, lambda: QUERIES[name](spark, SF))
-    print(json.dumps({"metric": "total_seconds", "value": round(sum(timings.values()), 3), "unit": "sec", "queries": timings, "sf": os.path.basename(SF)}))
+    ticks = mapped.bars(spark, SF, FILLED_STEP)
+    raw, filled = ticks.count(), fill_gaps(index_bars(only_valid(ticks).select(*POOL, "time", *OHLCV), FILLED_STEP, token_info=earliest_signals(mapped.signals(spark, SF))), FILLED_STEP).count()
+    bars = {"raw": raw, "filled": filled, "filled_per_second": round(filled / timings["flagship_5m_bars"])}
+    print(json.dumps({
+        "metric": "total_seconds", "value": round(sum(timings.values()), 3), "unit": "sec", "queries": timings, "sf": os.path.basename(SF),
+        "flagship_5m_bars": bars, "cores": CPUS, "heap": spark.sparkContext.getConf().get("spark.driver.memory")}))
 
 
 if __name__ == "__main__":
