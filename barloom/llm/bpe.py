@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from barloom.llm.common import arrow_pass
 
 #: Pre-tokens remembered by one worker; a cache only, refilled when full.
-CACHE_SIZE = 800_000
+CACHE_SIZE = 1_200_000
 CACHE_CHARS = 40
 #: Characters encoded together; one text may be longer and is then taken alone.
 CHUNK_CHARS = 2_000_000
@@ -161,7 +161,7 @@ class Vocabulary:
             known.clear()
         split = regex.compile(self.pattern).findall
         found = [split(text or "") for text in texts]
-        fresh = {piece for pieces in found for piece in pieces if piece not in known}
+        fresh = set().union(*found) - known.keys()
         rest = []
         for piece in fresh:
             raw = piece.encode("utf-8", "replace")
@@ -227,13 +227,24 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", keep:
     names = [*keep, ids, out]
 
     def run(batches):
-        token = {i: t for t, i in sent.value.ranks.items()}.__getitem__
+        tokens = sent.value.ranks
+        data = np.frombuffer(b"".join(tokens), np.uint8)
+        sizes, starts = np.zeros((2, max(tokens.values()) + 1), np.int64)
+        order = np.fromiter(tokens.values(), np.int64, len(tokens))
+        sizes[order] = [len(t) for t in tokens]
+        starts[order] = np.cumsum([0, *map(len, tokens)])[:-1]
         for batch in batches:
-            lists, step = batch.column(len(keep)), 50
+            lists, step = batch.column(len(keep)), 100
             for first in range(0, batch.num_rows, step):
                 part = lists.slice(first, step)
-                data = pa.array([b"".join(map(token, x or ())) for x in part.to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, step) for k in range(len(keep))), part, data], names)
+                ids = part.flatten().to_numpy(zero_copy_only=False)
+                size = sizes[ids]
+                ends = np.cumsum(size)
+                raw = data[np.repeat(starts[ids] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+                count = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                borders = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(count)))].astype(np.int32)
+                decoded = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(borders.tobytes()), pa.py_buffer(raw.tobytes())])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, step) for k in range(len(keep))), part, decoded], names)
 
     types = dict(encoded.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + f", `{ids}` array<int>, `{out}` binary"
