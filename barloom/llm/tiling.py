@@ -8,7 +8,7 @@ no word counts twice. A document leaks an item whose coverage reaches the thresh
 The benchmark is read in blocks of a fixed number of words, each broadcast to one pass over all documents, so its size is
 bounded whatever the benchmark holds. Documents are never shuffled and never cut.
 
-Case is ignored, accented letters included. Null or empty texts match nothing. Items of fewer than five words are seeded and tiled whole. Repeated documents are
+Case, accented letters included, and ASCII punctuation are ignored. Null or empty texts match nothing. Items of fewer than five words are seeded and tiled whole. Repeated documents are
 reported each; repeated items with equal ids count once. Null item ids are kept. Other columns are ignored.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from barloom.llm.common import arrow_pass, join_checked
-from barloom.llm.words import SHINGLE, mix, powers, windows, words
+from barloom.llm.words import PLAIN, SHINGLE, mix, powers, windows, words
 from barloom.session import cut
 
 #: Share of an item's words that tiles must cover.
@@ -105,7 +105,7 @@ class Block:
 
     def matches(self, text: str | None, least: float):
         """(item id, coverage, tiles, longest tile) of items whose coverage is at least ``least``."""
-        doc = words((text or "").lower())
+        doc = words((text or "").lower(), PLAIN)
         for size in self.sizes:
             seed = windows(doc, size)
             slot = (seed % np.uint64(SLOTS)).astype(np.int64)
@@ -173,7 +173,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, tex
     item_type = "string" if dict(benchmark.dtypes)["item_id"] == "string" else "bigint"
     passes, ids, found, size = [], [], [], 0
     for row in benchmark.select(F.col("item_id").cast(item_type), F.col("text")).distinct().toLocalIterator():
-        item = words((row[1] or "").lower())
+        item = words((row[1] or "").lower(), PLAIN)
         if len(item):
             ids.append(row[0])
             found.append(item)

@@ -45,9 +45,15 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return _state["codes"], _state["blank"]
 
 
-def words(text: str | None) -> np.ndarray:
-    """One number per word, in order."""
+#: ASCII punctuation becomes blank under this table.
+PLAIN = bytes(i if i > 127 or chr(i).isalnum() else 32 for i in range(256))
+
+
+def words(text: str | None, table: bytes | None = None) -> np.ndarray:
+    """One number per word, in order; ``table`` first replaces bytes."""
     raw = (text or "").encode("utf-8", "replace").lower()  # bytes: only A-Z change
+    if table is not None:
+        raw = raw.translate(table)
     if len(raw) <= PART:
         return _words(raw)
     parts, at = [], 0

@@ -50,10 +50,10 @@ def test_leaks(spark, documents):
         (0, ""), (1, None), (2, "clean text of no item at all"), (3, "pre " + ITEM.upper() + " post"),
         (4, " ".join(part[20:] + ["x"] + part[10:20] + ["y"] + part[:10])), (5, " ".join(part[:12])), (6, "a b only three words c"),
         (7, ITEM + " " + ITEM), (7, ITEM + " " + ITEM), (None, ITEM), (8, "five words are in here"), (9, "w " * 200_000 + ITEM),
-        (10, " ".join(x + " filler" for x in part)),
+        (10, " ".join(x + " filler" for x in part)), (11, "(" + ITEM.replace(" ", ",  ") + ".)"),
     ]
     got = [(r.doc_id, r.item_id, r.coverage) for r in leaks(spark, documents, rows, ("item_id", "coverage")).collect()]
-    want = [(3, 1, 1.0), (4, 1, 1.0), (6, 2, 1.0), (7, 1, 1.0), (7, 1, 1.0), (None, 1, 1.0), (8, None, 1.0), (9, 1, 1.0)]
+    want = [(3, 1, 1.0), (4, 1, 1.0), (6, 2, 1.0), (7, 1, 1.0), (7, 1, 1.0), (None, 1, 1.0), (8, None, 1.0), (9, 1, 1.0), (11, 1, 1.0)]
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
