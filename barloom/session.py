@@ -25,9 +25,10 @@ def build(cores: int | str = "*", shuffle_partitions: int = 32, memory: str = "1
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Times are UTC epoch milliseconds, so zone-dependent casts must run under UTC."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     # Joins on (pool, block, index) may run on data already partitioned by (pool, block).
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    for name, value in (("spark.sql.session.timeZone", "UTC"), ("spark.sql.requireAllClusterKeysForCoPartition", "false")):
+        if spark.conf.get(name) != value:
+            spark.conf.set(name, value)
     return spark
 
 
