@@ -38,12 +38,16 @@ from barloom.session import cut
 COUNTED = 0.6
 #: Tokens per bucket of step 2, the unit a task holds.
 BUCKET_TOKENS = 500_000
+#: Sets per target of its result.
+TARGET_SETS = 20_000
 #: Tokens packed together by one worker before they leave it.
 PACK_TOKENS = 3_000_000
 #: Bands beyond the pigeonhole's need, as a share of it.
 SPARE_BANDS = 0.2
 #: Words of 64 bits of the dense sketch for the Hamming bound.
 DENSE = 8
+#: Sketches (about 100 bytes each) are broadcast up to this many.
+BROADCAST_SKETCHES = 200_000
 MANY = 0  # stands for several sets in a packed bucket
 
 _LIMIT = np.uint64(int(COUNTED * 2**64))
@@ -85,8 +89,11 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     return arrow_pass(docs.select(F.col("doc_id").cast("long"), key, text), run, "doc_id bigint, text_key bigint, n bigint, set_id bigint, counted bigint")
 
 
-def shared_tokens(docs: DataFrame, buckets: int, text: str = "text") -> DataFrame:
-    """``set_id`` and ``shared``: counted tokens that other sets have as well (repeated sets may count twice)."""
+def shared_tokens(docs: DataFrame, buckets: int, targets: int, text: str = "text") -> DataFrame:
+    """``set_id`` and ``shared``: counted tokens that other sets have as well (repeated sets may count twice).
+
+    Tokens are dealt to ``buckets``; what a bucket finds is added up per task and dealt, packed again, to ``targets``.
+    """
 
     def pack(tokens: list[np.ndarray], ids: list[int]):
         token = np.concatenate(tokens)
@@ -102,7 +109,7 @@ def shared_tokens(docs: DataFrame, buckets: int, text: str = "text") -> DataFram
         token, owner = token[start], np.where(several, MANY, owner[start])
         target = (mix(token) % np.uint64(buckets)).astype(np.int64)
         yield from parcels(target, (token >> np.uint64(16)).astype(np.uint32), owner)
-        yield from parcels(buckets + (mix(sets.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), known.astype(np.uint32), sets)
+        yield from parcels(-1 - (mix(sets.astype(np.uint64)) % np.uint64(targets)).astype(np.int64), known.astype(np.uint32), sets)
 
     def parcels(target, number, owner):
         order = np.argsort(target, kind="stable")
@@ -130,37 +137,62 @@ def shared_tokens(docs: DataFrame, buckets: int, text: str = "text") -> DataFram
         if size:
             yield out(list(pack(tokens, ids)))
 
-    def settle(bucket: int, numbers: list[bytes], owners: list[bytes]):
-        number, owner = np.frombuffer(b"".join(numbers), np.uint32), np.frombuffer(b"".join(owners), np.int64)
-        if bucket < buckets:
-            order = np.lexsort((owner, number))
-            number, owner = number[order], owner[order]
-            new = np.concatenate(([True], (number[1:] != number[:-1]) | (owner[1:] != owner[:-1])))
-            number, owner = number[new], owner[new]
-            start = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
-            counts = np.diff(np.concatenate((start, [len(number)])))
-            owner = owner[np.repeat(counts > 1, counts)]
-            sets, known = np.unique(owner[owner != MANY], return_counts=True)
-        else:
-            sets, known = owner, number
-        return pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(known.astype(np.int64), pa.int64())], ["set_id", "shared"])
-
-    def gather(batches):
+    def settle(bucket: int, number: np.ndarray, owner: np.ndarray):
+        """Sets with a count each: of tokens that are not alone in a bucket, or as counted before."""
+        if bucket < 0:
+            return owner, number
+        order = np.lexsort((owner, number))
+        number, owner = number[order], owner[order]
+        new = np.concatenate(([True], (number[1:] != number[:-1]) | (owner[1:] != owner[:-1])))
+        number, owner = number[new], owner[new]
+        start = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
+        counts = np.diff(np.concatenate((start, [len(number)])))
+        owner = owner[np.repeat(counts > 1, counts)]
+        return np.unique(owner[owner != MANY], return_counts=True)
+
+    def added(parts):
+        sets, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return sets, np.bincount(place, np.concatenate([p[1] for p in parts]), len(sets)).astype(np.int64)
+
+    def runs(batches):
+        """Each bucket of a sorted partition with its numbers and owners."""
         now, numbers, owners = None, [], []
         for batch in batches:
             for bucket, number, owner in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if bucket != now and numbers:
-                    yield settle(now, numbers, owners)
+                    yield now, np.frombuffer(b"".join(numbers), np.uint32), np.frombuffer(b"".join(owners), np.int64)
                     numbers, owners = [], []
                 now = bucket
                 numbers.append(number)
                 owners.append(owner)
         if numbers:
-            yield settle(now, numbers, owners)
+            yield now, np.frombuffer(b"".join(numbers), np.uint32), np.frombuffer(b"".join(owners), np.int64)
+
+    def gather(batches):
+        held, size = [], 0
 
-    packed = arrow_pass(docs.select(text), emit, "bucket bigint, number binary, owner binary")
-    dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
-    return arrow_pass(dealt, gather, "set_id bigint, shared bigint").groupBy("set_id").agg(F.sum("shared").alias("shared"))
+        def flush():
+            sets, counts = added(held)
+            return out(list(parcels((mix(sets.astype(np.uint64)) % np.uint64(targets)).astype(np.int64), counts.astype(np.uint32), sets)))
+
+        for run in runs(batches):
+            held.append(settle(*run))
+            size += len(held[-1][0])
+            if size > PACK_TOKENS:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    def total(batches):
+        for _, number, owner in runs(batches):
+            sets, counts = added([(owner, number)])
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(counts, pa.int64())], ["set_id", "shared"])
+
+    packed = "bucket bigint, number binary, owner binary"
+    for step in (emit, gather):
+        docs = arrow_pass(docs.select(text) if step is emit else docs, step, packed).repartition("bucket").sortWithinPartitions("bucket")
+    return arrow_pass(docs, total, "set_id bigint, shared bigint")
 
 
 def band_keys(tokens: np.ndarray) -> np.ndarray:
@@ -209,8 +241,17 @@ def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
     return arrow_pass(docs.select(text), run, "set_id bigint, n bigint, tokens array<bigint>, keys array<bigint>, sketch array<bigint>")
 
 
-def similar_sizes(a: str, b: str) -> Column:
-    return (4 * F.col(a) >= 3 * F.col(b)) & (4 * F.col(b) >= 3 * F.col(a))
+def near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``a``, ``b`` within the size and Hamming bounds; neither rules out a link."""
+    marks = sets.select("set_id", "n", "sketch")
+    both = join_checked(pairs, marks.withColumnsRenamed({"set_id": "a", "n": "na", "sketch": "sa"}), ["a"], "inner", BROADCAST_SKETCHES)
+    both = join_checked(both, marks.withColumnsRenamed({"set_id": "b", "n": "nb", "sketch": "sb"}), ["b"], "inner", BROADCAST_SKETCHES)
+    return both.where(bounded("na", "nb", "sa", "sb")).select("a", "b")
+
+
+def bounded(na: str, nb: str, sa: str, sb: str) -> Column:
+    apart = sum((F.bit_count(F.col(sa)[k].bitwiseXOR(F.col(sb)[k])) for k in range(DENSE)), F.lit(0))
+    return (4 * F.col(na) >= 3 * F.col(nb)) & (4 * F.col(nb) >= 3 * F.col(na)) & (7 * apart <= F.col(na) + F.col(nb))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -225,37 +266,40 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def linked_sets(sets: DataFrame) -> DataFrame:
     """``node`` and ``label``: components of the links among written sketches of distinct sets."""
-    entries = sets.select("set_id", "n", F.explode("keys").alias("key"))
-    hubs = entries.groupBy("key").agg(F.min(F.struct("set_id", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1").drop("m")
-    star = entries.join(hubs, "key").select(F.col("hub.set_id").alias("a"), F.col("hub.n").alias("na"), F.col("set_id").alias("b"), F.col("n").alias("nb"))
-    star = cut(star.where((F.col("a") != F.col("b")) & similar_sizes("na", "nb")).select("a", "b").distinct(), "near-stars")
-    first = cut(verified(star, sets), "near-links")
-    labels = components(first)
-    named = entries.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    split = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-    open_ = cut(named.join(split, "key", "left_semi").join(sets.select("set_id", "sketch"), "set_id"), "near-open")
-    left = open_.select("key", *(F.col(c).alias(f"{c}_a") for c in ("set_id", "n", "label", "sketch")))
-    right = open_.select("key", *(F.col(c).alias(f"{c}_b") for c in ("set_id", "n", "label", "sketch")))
-    apart = sum((F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(DENSE)), F.lit(0))
-    near = (F.col("left.key") == F.col("right.key")) & (F.col("set_id_a") < F.col("set_id_b")) & (F.col("label_a") != F.col("label_b"))
-    near &= similar_sizes("n_a", "n_b") & (7 * apart <= F.col("n_a") + F.col("n_b"))
-    rest = left.alias("left").join(right.alias("right"), near).select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")).distinct()
-    rest = rest.join(star, ["a", "b"], "left_anti")
-    return components(first.union(verified(rest, sets)))
+    entries = sets.select(F.explode("keys").alias("key"), F.col("set_id").alias("b"))
+    hubs = entries.groupBy("key").agg(F.min("b").alias("a"), F.max("b").alias("high")).where("a != high").drop("high")
+    star = cut(entries.join(hubs, "key"), "near-stars")  # each set of a key with the key's smallest set
+    pairs = cut(near(star.where("a != b").select("a", "b").distinct(), sets), "near-pairs")
+    first = cut(verified(pairs, sets), "near-links")
+    labels = cut(components(first), "near-labels")
+    named = star
+    for end in ("a", "b"):
+        named = join_checked(named, labels.withColumnsRenamed({"node": end, "label": f"label_{end}"}), [end], "left")
+        named = named.withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
+    # A key whose sets are not all in the component of its smallest set may hide further links.
+    split = cut(named.where("label_a != label_b").select("key").distinct(), "near-split")
+    held = join_checked(named, split, ["key"], "left_semi").select("key", F.col("b").alias("set_id"), F.col("label_b").alias("label"))
+    held = cut(join_checked(held, sets.select("set_id", "n", "sketch"), ["set_id"], "inner", BROADCAST_SKETCHES), "near-open")
+    left, right = (held.select("key", *(F.col(c).alias(f"{c}_{end}") for c in ("set_id", "n", "label", "sketch"))).alias(end) for end in ("a", "b"))
+    apart = (F.col("a.key") == F.col("b.key")) & (F.col("set_id_a") < F.col("set_id_b")) & (F.col("label_a") != F.col("label_b"))
+    rest = left.join(right, apart & bounded("n_a", "n_b", "sketch_a", "sketch_b")).select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")).distinct()
+    return components(first.union(verified(cut(rest.join(pairs, ["a", "b"], "left_anti"), "near-rest"), sets)))
 
 
 def cluster(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, ``text_key``, ``n_shingles``, ``set_id`` and ``component_id``, the group's smallest doc_id."""
     rows = cut(measure(docs, text), "near-sets")
+    first = F.struct(F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.col("text_key").alias("__key"))
     classes = cut(rows.where("set_id IS NOT NULL").groupBy("set_id").agg(
-        F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("counted").alias("counted")), "near-classes")
-    tokens = classes.agg(F.sum("counted")).first()[0] or 0
-    buckets = max(1, int(tokens // BUCKET_TOKENS))
-    shared = shared_tokens(docs, buckets, text)
+        F.min("doc_id").alias("first"), F.min(first).alias("row"), F.first("n").alias("n"), F.first("counted").alias("counted")), "near-classes")
+    tokens, found = classes.agg(F.coalesce(F.sum("counted"), F.lit(0)), F.count("*")).first()
+    shared = shared_tokens(docs, 1 + tokens // BUCKET_TOKENS, 1 + found // TARGET_SETS, text)
     possible = classes.join(shared, "set_id", "left").where(F.col("counted") - F.coalesce("shared", F.lit(0)) <= F.floor(F.col("n") / 4))
-    possible = cut(possible.select("set_id", F.coalesce("first", F.lit(-1)).alias("__first")), "near-possible")
-    some = join_checked(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("__first"), text), possible.select("__first").distinct(), ["__first"], "left_semi")
-    sets = cut(sketch(some, text).join(possible.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]), "near-sketches")
+    possible = cut(possible.select("set_id", "row.*"), "near-possible")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("__id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__key"), text)
+    sets = cut(sketch(join_checked(keyed, possible.select("__id", "__key").distinct(), ["__id", "__key"], "left_semi"), text), "near-sketches")
+    if sets.count() != possible.count():  # repeated rows
+        sets = cut(sets.dropDuplicates(["set_id"]), "near-sketches")
     labels = linked_sets(sets)
     named = classes.select("set_id", "first").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
     least = named.where("label IS NOT NULL").groupBy("label").agg(F.min("first").alias("least"))
