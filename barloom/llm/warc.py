@@ -221,9 +221,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [c.split()[0] for c in schema.split(", ")])
 
+    # Files are packed into tasks by bytes, so a batch holds no more than a task's share of compressed files.
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a file at a time
-    return files.mapInArrow(run, schema)
+    return arrow_pass(files, run, schema)
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
