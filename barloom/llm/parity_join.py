@@ -48,6 +48,7 @@ SPARE_BANDS = 0.2
 DENSE = 8
 #: Sketches (about 100 bytes each) are broadcast up to this many.
 BROADCAST_SKETCHES = 200_000
+LAST_ID = 2**63 - 1  # stands for a null doc_id, which comes after all others
 MANY = 0  # stands for several sets in a packed bucket
 
 _LIMIT = np.uint64(int(COUNTED * 2**64))
@@ -286,8 +287,8 @@ def linked_sets(sets: DataFrame) -> DataFrame:
     return components(first.union(verified(cut(rest.join(pairs, ["a", "b"], "left_anti"), "near-rest"), sets)))
 
 
-def cluster(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, ``text_key``, ``n_shingles``, ``set_id`` and ``component_id``, the group's smallest doc_id."""
+def grouped(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``cluster`` with ``label``, the group's own key: numbered or not, two groups never share one."""
     rows = cut(measure(docs, text), "near-sets")
     first = F.struct(F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.col("text_key").alias("__key"))
     classes = cut(rows.where("set_id IS NOT NULL").groupBy("set_id").agg(
@@ -303,20 +304,26 @@ def cluster(docs: DataFrame, text: str = "text") -> DataFrame:
     labels = linked_sets(sets)
     named = classes.select("set_id", "first").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
     least = named.where("label IS NOT NULL").groupBy("label").agg(F.min("first").alias("least"))
-    group = named.join(least, "label", "left").select("set_id", F.coalesce("least", "first").alias("group"))
+    group = named.join(least, "label", "left").select("set_id", F.coalesce("label", "set_id").alias("label"), F.coalesce("least", "first").alias("group"))
     return rows.join(group, "set_id", "left").select(
-        "doc_id", "text_key", F.col("n").alias("n_shingles"), "set_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("group")).alias("component_id"))
+        "doc_id", "text_key", F.col("n").alias("n_shingles"), "set_id", "label", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("group")).alias("component_id"))
+
+
+def cluster(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Per row of ``docs``: doc_id, ``text_key``, ``n_shingles``, ``set_id`` and ``component_id``, the group's smallest doc_id."""
+    return grouped(docs, text).drop("label")
 
 
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of ``docs``; of each group of linked documents one stays, that with the smallest doc_id."""
-    rows = cut(cluster(docs, text).where("set_id IS NOT NULL").withColumn("group", F.coalesce(F.col("component_id"), F.lit(-1))), "near-groups")
-    row = F.struct(F.coalesce(F.col("doc_id"), F.lit(-1)).alias("__id"), F.col("text_key").alias("__key"))
+    """All columns of ``docs``; of each group of linked documents one stays, that with the smallest doc_id (null last)."""
+    rows = cut(grouped(docs, text).where("set_id IS NOT NULL").withColumnRenamed("label", "group"), "near-groups")
+    # Rows of one text are in one group, so a null id may share its stand-in with a real one.
+    row = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("__id"), F.col("text_key").alias("__key"))
     best = rows.groupBy("group", "set_id", row.alias("row")).agg(F.count("*").alias("copies")).groupBy("group").agg(F.min(F.struct("row", "copies")).alias("best"))
     each = rows.groupBy("group", row.alias("row")).agg(F.count("*").alias("copies")).join(best, "group")
     gone = cut(each.where(F.col("row") != F.col("best.row")).select("row.*").distinct(), "near-gone")
     again = cut(each.where((F.col("row") == F.col("best.row")) & (F.col("copies") > 1)).select("row.*").withColumn("__again", F.lit(True)).distinct(), "near-again")
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "__key": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "__key": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
     left = join_checked(join_checked(keyed, gone, ["__id", "__key"], "left_anti"), again, ["__id", "__key"], "left")
     once = left.where("__again IS NULL").union(left.where("__again").dropDuplicates(["__id", "__key"]))
     return once.select(*docs.columns)

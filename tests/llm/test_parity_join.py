@@ -91,6 +91,15 @@ def test_one_of_each_group_stays(spark, documents):
     assert sorted(kept) == sorted([*want, 900, 901, 901])
 
 
+def test_groups_without_ids_stay_apart(spark, documents):
+    texts = {c: " ".join(f"{c}{i}" for i in range(40)) for c in "abcde"}
+    near = texts["a"] + " a40"
+    rows = [(None, texts["a"]), (None, near), (None, texts["b"]), (None, texts["b"]), (-1, texts["c"]), (None, texts["d"]), (5, texts["d"]), (None, texts["e"]), (-1, texts["e"])]
+    kept = parity_join.keep_one(documents(rows)).collect()
+    assert sorted(r.text[0] for r in kept) == list("abcde")
+    assert {r.text[0]: r.doc_id for r in kept if r.text[0] in "cd"} == {"c": -1, "d": 5}
+
+
 def test_components(spark):
     random.seed(4)
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, 3), (3, 5), (8, 8), (7, 5)]
