@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from barloom.operators.rules import qualify_source
@@ -37,12 +39,18 @@ def tumbling_bars(ticks: DataFrame, interval: str) -> DataFrame:
         F.col("last.id").alias("close_trade_id"), F.col("last.time").alias("close_trade_time"))
 
 
-def run_to_table(stream: DataFrame, label: str) -> DataFrame:
-    """Drain a stream into a table of the shared folder (file sink with checkpoint) and read it back."""
+def run_to_table(stream: DataFrame, label: str, finish: Callable[[], None] | None = None) -> DataFrame:
+    """Drain a stream into a table of the shared folder (file sink with checkpoint) and read it back.
+
+    ``finish`` (of ``ending``) is called once all is read; the query then goes on from its checkpoint.
+    """
     spark = stream.sparkSession
     path = scratch(spark, label)
-    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+    for step in (None, finish) if finish else (None,):
+        if step:
+            step()
+        query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
@@ -149,6 +157,19 @@ def equity_snapshot(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return both.groupBy("time").agg(F.max(F.struct("_p", "equity")).alias("w")).select("time", "w.equity")
 
 
+def ending(events: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """A stream of events that can be finished, and the call that does so.
+
+    The call adds an event of the year 9999 that has no value: it is in no bar, but moves the watermark past every window.
+    """
+    spark = events.sparkSession
+    path = scratch(spark, "stream-end")
+    given = {"ts": F.lit("9999-01-01").cast("timestamp"), "event_type": F.lit("click")}
+    mark = spark.range(1).select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema])
+    mark.limit(0).write.parquet(path)
+    return events.unionByName(spark.readStream.schema(events.schema).parquet(path)), lambda: mark.write.mode("append").parquet(path)
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)

@@ -400,16 +400,17 @@ def _(spark, sf):
     f = mapped.fills(spark, sf)
     events = f.where("side = 'sell'").select(*TOKEN, F.col("id").alias("event_id"), F.col("decision_time").alias("event_time"))
     watches = events.where(F.substring("ca", 2, 10).cast("long") % 3 == 0).groupBy(*TOKEN).agg(F.min("event_time").alias("signal_time"))
-    return ledger.bought_pools(f.where("side = 'buy' and id % 10 = 3"), events, watches, 400 * DAY).drop("chain")
+    return ledger.bought_pools(f.where("side = 'buy'"), events, watches, 400 * DAY).drop("chain")
 
 
 @query("h6_compare_ledgers")
 def _(spark, sf):
     f = mapped.fills(spark, sf)
-    live = f.where("side = 'buy' and id % 10 in (1, 2)").select(
+    buys = f.where("side = 'buy'")  # both ledgers hold every buy
+    live = buys.select(
         *POOL, F.col("id").alias("cycle_id"), F.col("fill_time").alias("buy_time"), F.col("decision_time").alias("buy_decision"), (F.col("decision_time") + 5 * H4).alias("sell_decision"),
         F.lit("take_profit").alias("exit_reason"), (F.col("gross_amount") * 0.01).alias("net_pnl"))
-    replay = f.where("side = 'buy' and id % 10 in (3, 4)").select(
+    replay = buys.select(
         *POOL, F.col("id").alias("trade_id"), (F.floor(F.col("fill_time") / H4) * H4).alias("entry_time"), (F.floor(F.col("fill_time") / H4) * H4 + 5 * H4).alias("exit_time"),
         F.when(F.col("id") % 7 == 0, "end_of_backtest").otherwise("take_profit").alias("exit_reason"), (F.col("gross_amount") * 0.02).alias("net_pnl"))
     return ledger.compare_ledgers(live, replay, H4)

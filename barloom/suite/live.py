@@ -9,7 +9,7 @@ from barloom.session import prepare
 from barloom.sources import mapped
 from barloom.streaming import bars as live
 from barloom.suite import signals as s
-from barloom.suite.base import H4, SIGNALS, TICKS, bars_cte, query
+from barloom.suite.base import H4, ORACLES, SIGNALS, TICKS, bars_cte, query
 
 M = "WITH" + TICKS + "," + bars_cte() + "," + bars_cte(H4, "mcap", "cbars") + "," + SIGNALS
 K = "chain, ca, pair_id"
@@ -33,6 +33,14 @@ def _(spark, sf):
     return out.select(*POOL, "type", "time", *OHLCV, "trade_count", "close_trade_id")
 
 
+# The whole stream: an end mark closes the last windows, so the oracle needs no bound.
+@query("i2_tumbling_bars_stream_finished", ORACLES["i2_tumbling_bars_stream"].rsplit(" WHERE ", 1)[0])
+def _(spark, sf):
+    events, finish = live.ending(live.event_stream(prepare(spark), sf))
+    out = live.run_to_table(live.tumbling_bars(live.dedup_ticks(mapped.ticks_of(events)), "1 hour"), "bars", finish)
+    return out.select(*POOL, "type", "time", *OHLCV, "trade_count", "close_trade_id")
+
+
 @query("i2_tumbling_bars", M + f", u AS (SELECT *, 'price' AS type FROM bars UNION ALL SELECT *, 'mcap' FROM cbars) SELECT {K}, type, time, open, high, low, close, volume, trade_count FROM u")
 def _(spark, sf):
     return live.tumbling_bars(live.dedup_ticks(mapped.ticks(spark, sf)), "4 hours").select(*POOL, "type", "time", *OHLCV, "trade_count")

@@ -173,7 +173,7 @@ def _(spark, sf):
 SELECT {KEYS}, id, (SELECT min(time) FROM (SELECT time FROM bars b WHERE b.chain=an.chain AND b.ca=an.ca AND b.pair_id=an.pair_id AND b.time<=an.t ORDER BY time DESC LIMIT 5)) AS context_from,
  (SELECT max(time) FROM (SELECT time FROM bars b WHERE b.chain=an.chain AND b.ca=an.ca AND b.pair_id=an.pair_id AND b.time>=an.t ORDER BY time LIMIT 5)) AS context_to FROM an"""))
 def _(spark, sf):
-    anchors = mapped.ticks(spark, sf).where(F.col("id").cast("long") % 50 == 0).select(
+    anchors = mapped.ticks(spark, sf).select(
         *POOL, "id", F.col("time").alias("anchor_from"), F.col("time").alias("anchor_to"))
     return indicators.nearest_bars(bars(spark, sf), anchors, 5, H4 * BLOCK).select(*POOL, "id", "context_from", "context_to")
 
