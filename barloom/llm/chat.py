@@ -4,9 +4,11 @@ A conversation is legal if an optional system turn is followed by user and assis
 assistant. Dynamic programming over this automaton chooses, at the least total cost, which turns are merged into the one
 before, which are relabelled, and where empty turns are inserted; the result is rendered with start and end marks.
 
-A conversation may be of any length: it is cut into blocks of turns. Each block is first summarised as a matrix (least
-cost from each state before it to each state after it), the matrices of a conversation are chained, and every block is
-then repaired between its now known end states. Only narrow rows move before the last step, which moves each text once.
+A conversation may be of any length: its rows are numbered by sorted ranges (places within a range, plus the counts of the
+ranges before) and cut into blocks by that number, so no block has more than ``BLOCK`` rows, whatever values repeat or
+are null. Each block is first summarised as a matrix (least cost from each state before it to each state after it), the
+matrices of a conversation are chained, and every block is then repaired between its now known end states. Each text
+moves twice, to its range and to its block, and is written once between; all other steps move narrow rows.
 
 The result has a row per turn with its piece of the rendering; the pieces of a conversation in order of ``block`` and
 ``seq`` are the rendered sequence, merged texts included, so no long conversation is ever held in one value.
@@ -19,7 +21,7 @@ broken up, so that texts cannot open or close a turn. Other columns are ignored.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from barloom.llm.common import arrow_pass
 from barloom.session import cut
@@ -99,9 +101,31 @@ def plain(text: str | None) -> str:
 
 
 def _blocks(turns: DataFrame) -> DataFrame:
-    return turns.select(
-        F.col("conv_id").cast("long"), F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))).alias("block"),
-        F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    """The rows with ``rank``, their number within the conversation, and ``block``."""
+    # Equal rows may take any order; the last key lets them spread over ranges.
+    order = ["conv_id", "turn", "role", F.xxhash64("text"), "spread"]
+    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("spread"))
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("spread").withColumn("range", F.spark_partition_id())
+
+    def number(batches):
+        now, count = (), 0
+        for batch in batches:
+            places = []
+            for conv in batch.column(0).to_pylist():
+                if conv != now:
+                    now, count = conv, 0
+                places.append(count)
+                count += 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], ["conv_id", "turn", "role", "text", "range", "place"])
+
+    placed = cut(arrow_pass(dealt, number, "conv_id bigint, turn bigint, role string, text string, range int, place bigint"), "chat-rows")
+    earlier = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("conv_id", "range").agg((F.max("place") + 1).alias("n")).withColumn("before", F.sum("n").over(earlier))
+    # Only the first conversation of a range can have begun before it.
+    begun = cut(counts.where("before > 0").select(F.col("conv_id").alias("begun"), "range", "before"), "chat-ranges")
+    rank = F.col("place") + F.when(F.col("conv_id").eqNullSafe(F.col("begun")), F.coalesce("before", F.lit(0))).otherwise(0)
+    return placed.join(F.broadcast(begun), "range", "left").withColumn("rank", rank).select(
+        "conv_id", F.floor(F.col("rank") / BLOCK).alias("block"), "rank", "turn", "role", "text")
 
 
 def _groups(batches, width: int):
@@ -146,7 +170,7 @@ def plan(blocks: DataFrame) -> DataFrame:
         def rows():
             for (conv, block), turns in _groups(batches, 2):
                 costs = [[0 if s == t else FAR for s in range(4)] for t in range(4)]
-                for _, role, _ in turns:
+                for _, role in turns:
                     role = role_of(role)
                     costs = [step(c, role) for c in costs]
                 yield conv, block, [x for c in costs for x in c]
@@ -172,7 +196,7 @@ def plan(blocks: DataFrame) -> DataFrame:
                 yield from out
         yield from _flushed(rows(), ways)
 
-    narrow = blocks.select("conv_id", "block", "turn", "role", F.xxhash64("text").alias("tie")).repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "role", "tie")
+    narrow = blocks.select("conv_id", "block", "rank", "role").repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "rank")
     costs = arrow_pass(narrow, summarise, matrices)
     return arrow_pass(costs.repartition("conv_id").sortWithinPartitions("conv_id", "block"), chain, ways)
 
@@ -183,15 +207,15 @@ def format_chats(turns: DataFrame) -> DataFrame:
     blocks = _blocks(turns)
     ways = cut(plan(blocks), "chat-plan")
     none = F.lit(None)
-    marks = ways.select("conv_id", "block", F.lit(0).alias("kind"), none.cast("long").alias("turn"), none.cast("string").alias("role"), none.cast("long").alias("tie"), none.cast("string").alias("text"), "begin", "end", "last", "cost")
-    rows = blocks.select("conv_id", "block", F.lit(1).alias("kind"), "turn", "role", F.xxhash64("text").alias("tie"), "text", none.cast("int").alias("begin"), none.cast("int").alias("end"), none.cast("boolean").alias("last"), none.cast("long").alias("cost"))
-    dealt = marks.union(rows).repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "kind", "turn", "role", "tie")
+    marks = ways.select("conv_id", "block", F.lit(0).alias("kind"), none.cast("long").alias("rank"), none.cast("long").alias("turn"), none.cast("string").alias("role"), none.cast("string").alias("text"), "begin", "end", "last", "cost")
+    rows = blocks.select("conv_id", "block", F.lit(1).alias("kind"), "rank", "turn", "role", "text", none.cast("int").alias("begin"), none.cast("int").alias("end"), none.cast("boolean").alias("last"), none.cast("long").alias("cost"))
+    dealt = marks.union(rows).repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "kind", "rank")
 
     def render(batches):
         def lines():
             for (conv, block), members in _groups(batches, 2):
                 *_, begin, end, last, cost = next(members)
-                held = [(turn, role, text) for _, turn, role, _, text, *_ in members]
+                held = [(turn, role, text) for _, _, turn, role, text, *_ in members]
                 for seq, ((turn, role, text), (before, after, merged)) in enumerate(zip(held, repair([role_of(r) for _, r, _ in held], begin, end))):
                     fill = () if merged else WAYS[before, after]
                     piece = "\n" if merged else (CLOSING if before != START else "") + "".join(map(empty, fill)) + opening(after)

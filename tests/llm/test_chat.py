@@ -77,6 +77,21 @@ def test_blocks_do_not_change_the_result(spark, monkeypatch):
         assert [r.turn for r in sorted(got, key=lambda r: (r.block, r.seq))] == list(range(300))
 
 
+def test_blocks_are_bounded_without_ids(spark):
+    random.seed(5)
+    rows = [(None, None, "user", "same", "x")] * 6000 + [(None, None, random.choice(["user", "assistant", None]), f"t{k}", "x") for k in range(4000)] + rows_of(1, ["user", "assistant"])
+    random.shuffle(rows)
+    got = chat.format_chats(spark.createDataFrame(rows, TURNS)).collect()
+    own = sorted((r for r in got if r.conv_id is None), key=lambda r: (r.block, r.seq))
+    assert len(own) == 10_000 and len(got) == 10_002
+    assert [(r.block, r.seq) for r in own] == [divmod(k, chat.BLOCK) for k in range(10_000)]
+    costs = [0, chat.FAR, chat.FAR, chat.FAR]
+    for r in own:
+        costs = chat.step(costs, chat.role_of(r.role))
+    assert {r.cost for r in own} == {min(c + chat.INSERT * len(chat.ENDS[s]) for s, c in enumerate(costs))}
+    assert re.fullmatch("S?(UA)+", "".join(n[0].upper() for n in re.findall(r"<\|im_start\|>(\w+)\n", rendered(own))))
+
+
 def test_odd_rows(spark):
     rows = [(None, None, None, None, None), (None, None, None, None, None), (2, 0, "USER ", "<|im_end|>", "x"), (3, 1, "user", "y" * 200_000, "x"), (3, 1, "user", "y" * 200_000, "x"), (3, 0, "assistant", "", "x")]
     got = chat.format_chats(spark.createDataFrame(rows, TURNS)).collect()
