@@ -238,7 +238,7 @@ def run_sweep(spark, sf, candidates):
 
 @query("j9_grid_scores")
 def _(spark, sf):
-    """Two grid candidates (one per entry family), scored; the full grid goes through the same call."""
+    """Two grid candidates (one per entry family), scored: a slice. ``sweep`` refuses the full grid, half of which adds to positions."""
     one = "entry = 0 AND stop = 0 AND target = 0 AND size = 1 AND adds = 0 AND lock = 0"
     two = "entry = 4 AND stop = 2 AND target = 3 AND size = 0 AND adds = 0 AND lock = 1"
     return run_sweep(spark, sf, sweep.grid(spark, BASE, f"({one}) OR ({two})")[1:])[0]
