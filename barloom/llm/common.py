@@ -34,6 +34,22 @@ def join_checked(wide: DataFrame, narrow: DataFrame, on: Sequence[str], how: str
     return wide.join(narrow, list(on), how)
 
 
+def join_split(wide: DataFrame, narrow: DataFrame, on: Sequence[str], weight: str, how: str = "inner", cells: str | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Join a wide table with a written one of unique keys whose ``weight`` says how many wide rows each key has.
+
+    Up to ``limit`` cells (rows, or the sum of ``cells``) the narrow side is broadcast. Beyond, keys that hold a
+    thousandth of all weight or more, a thousand at most, are broadcast and all other rows meet by a shuffle, so a hot
+    key never gathers in one task.
+    """
+    size, total = narrow.agg(F.coalesce(F.sum(cells) if cells else F.count("*"), F.lit(0)), F.coalesce(F.sum(weight), F.lit(0))).first()
+    if size <= limit:
+        return wide.join(F.broadcast(narrow.drop(weight)), list(on), how)
+    hot = F.col(weight) * 1000 >= total
+    often, seldom = narrow.where(hot).drop(weight), narrow.where(~hot).drop(weight)
+    rest = wide.join(F.broadcast(often.select(*on)), list(on), "left_anti").join(seldom, list(on), how)
+    return wide.join(F.broadcast(often), list(on)).unionByName(rest, allowMissingColumns=True)
+
+
 def digest(column, algorithm_bits: int = 256):
     """Lowercase hex SHA-2 of a string's UTF-8 bytes or of binary data."""
     return F.sha2(column.cast("binary"), algorithm_bits)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from barloom.llm import bpe, chat, fingerprints, parity_join, secrets, tiling, token_counts, toxicity, url_filter, warc
+from barloom.llm import bpe, chat, fingerprints, parity_join, repeats, secrets, tiling, token_counts, toxicity, url_filter, warc
 from barloom.llm.common import digest, table
 
 QUERIES: dict = {}
@@ -117,3 +117,20 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op11_substring_dedup"] = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT r, i, sha256(array_to_string(w[i:i + 34], ' ')) AS s FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+again AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT DISTINCT r, i + unnest(range(0, 35)) AS i FROM win SEMI JOIN again USING (s)),
+word AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM d),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS k FROM word ANTI JOIN hit USING (r, i) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(k, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)"""
+
+
+@query
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.remove(docs).select("doc_id", "n_words", "n_removed", digest(F.col("text")).alias("kept_sha256"))

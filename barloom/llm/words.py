@@ -49,9 +49,11 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 PLAIN = bytes(i if i > 127 or chr(i).isalnum() else 32 for i in range(256))
 
 
-def words(text: str | None, table: bytes | None = None) -> np.ndarray:
-    """One number per word, in order; ``table`` first replaces bytes."""
-    raw = (text or "").encode("utf-8", "replace").lower()  # bytes: only A-Z change
+def words(text: str | None, table: bytes | None = None, fold: bool = True) -> np.ndarray:
+    """One number per word, in order; ``table`` first replaces bytes; without ``fold`` letters keep their case."""
+    raw = (text or "").encode("utf-8", "replace")
+    if fold:
+        raw = raw.lower()  # bytes: only A-Z change
     if table is not None:
         raw = raw.translate(table)
     if len(raw) <= PART:
@@ -92,6 +94,18 @@ def windows(numbers: np.ndarray, size: int) -> np.ndarray:
     return mix(total + np.uint64(size))
 
 
+class Spans:
+    """Numbers for any runs of neighbours, from prefix sums, whatever their length."""
+
+    def __init__(self, numbers: np.ndarray) -> None:
+        up, self._down = powers(len(numbers) + 1)
+        self._sums = np.zeros(len(numbers) + 1, np.uint64)
+        np.cumsum(numbers * up[:len(numbers)], out=self._sums[1:])
+
+    def __call__(self, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        return mix((self._sums[start + size] - self._sums[start]) * self._down[start] + np.asarray(size).astype(np.uint64))
+
+
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """The sorted distinct shingles; with fewer words the whole sequence as one; nothing without words."""
     found = words(text)
