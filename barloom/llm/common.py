@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 BATCH_ROWS = 500
 #: A side of at most this many narrow rows is broadcast; above it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: The same for ``join_split``, whose narrow rows hold lists: a few megabytes.
+BROADCAST_CELLS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +36,7 @@ def join_checked(wide: DataFrame, narrow: DataFrame, on: Sequence[str], how: str
     return wide.join(narrow, list(on), how)
 
 
-def join_split(wide: DataFrame, narrow: DataFrame, on: Sequence[str], weight: str, how: str = "inner", cells: str | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+def join_split(wide: DataFrame, narrow: DataFrame, on: Sequence[str], weight: str, how: str = "inner", cells: str | None = None, limit: int = BROADCAST_CELLS) -> DataFrame:
     """Join a wide table with a written one of unique keys whose ``weight`` says how many wide rows each key has.
 
     Up to ``limit`` cells (rows, or the sum of ``cells``) the narrow side is broadcast. Beyond, keys that hold a
