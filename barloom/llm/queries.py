@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from barloom.llm import bpe, chat, fingerprints, parity_join, repeats, secrets, tiling, token_counts, toxicity, url_filter, warc
+from barloom.llm import bpe, chat, fingerprints, parity_join, repeats, secrets, spelling, tiling, token_counts, toxicity, url_filter, warc, whitening
 from barloom.llm.common import digest, table
 
 QUERIES: dict = {}
@@ -134,3 +134,13 @@ FROM d LEFT JOIN kept USING (r)"""
 def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return repeats.remove(docs).select("doc_id", "n_words", "n_removed", digest(F.col("text")).alias("kept_sha256"))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
