@@ -9,7 +9,8 @@
 4. *Choice.* Which two is a dynamic program over positions: the first pivot costs the entries of the index that start
    alike, the second those that end alike; the running minimum of first pivots meets every second one.
 5. *Join.* Pivots meet prefixes by bigram, position and the text on the intact side, all one key, and by lengths at most one
-   apart. The edit distance is verified in the join. A key is met by few words, as rarer pivots have shorter lists.
+   apart. What lies between the pivots belongs to the dearer side: it must read alike there, too, which a byte comparison
+   tells before the edit distance is verified. A key is met by few words, as rarer pivots have shorter lists.
 6. *Forms.* Each word points to its commonest near word if that is ten times as frequent; chains are followed by pointer
    doubling. Their length is at most the decimal logarithm of the largest count.
 
@@ -132,24 +133,28 @@ def indexed(words: DataFrame) -> DataFrame:
 
 
 def chosen(entries: DataFrame) -> DataFrame:
-    """Per word its two keys: ``head`` of the first pivot and ``tail`` of the second."""
+    """Per word its two keys, ``head`` of the first pivot and ``tail`` of the second, and the two parts ``left`` and
+    ``right`` it falls into between them: an edit leaves one of the parts as it is."""
 
     def run(batches):
         for batch in batches:
             words, sizes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            heads, tails = [], []
+            heads, tails, cuts = [], [], []
             for word, entries in zip(words, batch.column(3).to_pylist()):
                 entries.sort(key=lambda e: e["place"])
                 first, second = pivots(*([e[c] for e in entries] for c in ("place", "h", "t")))
                 heads.append(word[:first + 2])
                 tails.append(word[second:])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(heads), pa.array(tails)], ["word", "n", "size", "head", "tail"])
+                cost = {e["place"]: e for e in entries}
+                cuts.append(second if cost[first]["h"] >= cost[second]["t"] else first + 2)
+            text = [pa.array(c, pa.string()) for c in (heads, tails, [w[:k] for w, k in zip(words, cuts)], [w[k:] for w, k in zip(words, cuts)])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), *text], ["word", "n", "size", "head", "tail", "left", "right"])
 
     priced = entries
     for side, cost in (("head", "h"), ("tail", "t")):
         priced = priced.join(entries.groupBy(side, "size").agg(F.count("*").alias(cost)), [side, "size"])
     per_word = priced.groupBy("word", "n", "size").agg(F.collect_list(F.struct("place", "h", "t")).alias("entries"))
-    return per_word.mapInArrow(run, "word string, n bigint, size int, head string, tail string")
+    return per_word.mapInArrow(run, "word string, n bigint, size int, head string, tail string, left string, right string")
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -157,10 +162,10 @@ def near_words(words: DataFrame) -> DataFrame:
     entries = cut(indexed(words), "spelling-prefixes")
     keys = cut(chosen(entries), "spelling-pivots")
     found = None
-    for side in ("head", "tail"):
-        pivot = keys.select(F.col("word").alias("p"), F.col("n").alias("n_p"), side, F.explode(F.array(*(F.col("size") + k for k in (-1, 0, 1)))).alias("size"))
+    for side, part, alike in (("head", "left", F.startswith), ("tail", "right", F.endswith)):
+        pivot = keys.select(F.col("word").alias("p"), F.col("n").alias("n_p"), side, part, F.explode(F.array(*(F.col("size") + k for k in (-1, 0, 1)))).alias("size"))
         other = entries.select(F.col("word").alias("q"), F.col("n").alias("n_q"), side, "size").distinct()
-        both = pivot.join(other, (pivot[side] == other[side]) & (pivot["size"] == other["size"]) & (F.levenshtein("p", "q", 1) == 1))
+        both = pivot.join(other, (pivot[side] == other[side]) & (pivot["size"] == other["size"]) & alike(F.col("q"), F.col(part)) & (F.levenshtein("p", "q", 1) == 1))
         rows = both.select(
             F.least("p", "q").alias("a"), F.when(F.col("p") < F.col("q"), F.col("n_p")).otherwise(F.col("n_q")).alias("n_a"),
             F.greatest("p", "q").alias("b"), F.when(F.col("p") < F.col("q"), F.col("n_q")).otherwise(F.col("n_p")).alias("n_b"))
