@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import replace
 from functools import reduce
@@ -23,6 +24,9 @@ from barloom.plans.blocks import BLOCK
 from barloom.schemas import POOL, TOKEN
 from barloom.session import cut, reuse
 
+# The costs a finished study is rechecked with, whatever its candidates were scored with.
+FIXED_COSTS = {"feePercent": 1.0, "slippagePercent": 1.0, "buyTaxPercent": 1.0, "sellTaxPercent": 1.0}
+
 # Fixed values of the published 864-candidate grid.
 FIB = {"type": "fib_retracement", "zoneLow": 0.618, "zoneHigh": 0.786}
 PERCENT = {"type": "percent_retracement", "minPercent": 30, "maxPercent": 50}
@@ -95,6 +99,18 @@ def grid(spark: SparkSession, base: Mapping, where: str = "true") -> list[dict]:
     return [{**base, "id": "CONTROL"}, *chosen(base, axes, axis_frame(spark, axes).where(where).orderBy("candidate_id").collect())]
 
 
+def whole_grid(base: Mapping) -> list[dict]:
+    """The base as a control and every combination of the grid: 865 rows of configuration, numbered as in ``axis_frame``."""
+    axes = grid_axes(base)
+    total, made = math.prod(map(len, axes.values())), []
+    for number in range(total):
+        rest, row = number, {"candidate_id": f"G{number:05d}"}
+        for name, options in axes.items():
+            rest, row[name] = divmod(rest, len(options))
+        made += chosen(base, axes, [row])
+    return [{**base, "id": "CONTROL"}, *made]
+
+
 def plain(candidate: Mapping) -> dict:
     return {k: (v.as_dict() if isinstance(v, SwingRule) else v) for k, v in candidate.items()}
 
@@ -197,6 +213,11 @@ def stress_variants(candidate: Mapping) -> list[dict]:
         {**candidate, "id": f"{candidate['id']}~hold", "exits": {**exits, "maxHoldingBars": max(1, int(exits["maxHoldingBars"] * 0.8))}}]
 
 
+def recheck(candidates: Sequence[Mapping]) -> list[dict]:
+    """The candidates under the fixed costs."""
+    return [{**c, "id": f"{c['id']}~recheck", "costs": FIXED_COSTS} for c in candidates]
+
+
 def labelled_candidates(bars: DataFrame, gate: DataFrame, candidates: Sequence[Mapping], step: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(labelled entries of every candidate, prepared bars). Work is shared wherever configurations agree."""
     parts, frames = [], {}

@@ -236,27 +236,6 @@ def run_sweep(spark, sf, candidates):
     return sweep.sweep(s.bars(spark, sf), earliest_signals(mapped.signals(spark, sf)), _cohort_frame(spark, sf), candidates, H4, block=s.BLOCK)
 
 
-@query("j9_grid_scores")
-def _(spark, sf):
-    """Two grid candidates (one per entry family), scored: a slice. ``sweep`` refuses the full grid, half of which adds to positions."""
-    one = "entry = 0 AND stop = 0 AND target = 0 AND size = 1 AND adds = 0 AND lock = 0"
-    two = "entry = 4 AND stop = 2 AND target = 3 AND size = 0 AND adds = 0 AND lock = 1"
-    return run_sweep(spark, sf, sweep.grid(spark, BASE, f"({one}) OR ({two})")[1:])[0]
-
-
-@query("j11_derived_candidates")
-def _(spark, sf):
-    """A delay variant and an exit-grid variant of the base, scored next to it."""
-    picks = sweep.delay_variants({**BASE, "id": "d"}, [60])[:1] + sweep.exit_grid({**BASE, "id": "x"}, s.sweep_stops(), [{"type": "previous_high"}], [10])
-    return run_sweep(spark, sf, sweep.rotate_invalidations(picks, 1))[0]
-
-
-@query("j10_neighborhood_scores")
-def _(spark, sf):
-    picks = [c for c in sweep.neighbours(BASE) if c["id"] in ("N-entry-3", "N-entry-4")]
-    return run_sweep(spark, sf, picks)[0]
-
-
 @query("j12_sweep")
 def _(spark, sf):
     return run_sweep(spark, sf, study_candidates())[0]
