@@ -10,8 +10,9 @@ Two documents link when the Jaccard similarity of their shingle sets reaches the
    is at most the symmetric difference, which for linked sets of sizes a and b is at most D = (a + b) / 7. Per size band
    (sizes within 4/3) the sketch is cut into more than D bands, so linked sets agree in at least one band; a band is kept
    sparse and stands as the XOR of the codes of its odd bits. Sets with so many empty bands that agreement could fall on
-   empty ones alone also join by single tokens.
-4. *Pigeonhole join.* Every band key first links its sets to the smallest set that has the key (a star, so work is linear
+   empty ones alone also join by single tokens. With spare bands linked sets agree in several, so of a set's keys only the
+   rarest are kept: enough to hold the first key of any linked pair. What common passages share falls away here.
+4. *Pigeonhole join.* Every key kept first links its sets to the smallest set that has the key (a star, so work is linear
    in the size of a group). Pairs are verified by exact intersection and gathered into components. Keys that still hold
    sets of different components are joined with each other under the size and Hamming bounds; those pairs are verified,
    too. Pairs within one component need no further look.
@@ -27,7 +28,7 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.llm.common import arrow_pass, join_checked
 from barloom.llm.components import components
@@ -196,11 +197,15 @@ def shared_tokens(docs: DataFrame, buckets: int, targets: int, text: str = "text
     return arrow_pass(docs, total, "set_id bigint, shared bigint")
 
 
-def band_keys(tokens: np.ndarray) -> np.ndarray:
-    """The band keys of a set in every size band where it may meet a partner."""
+def band_keys(tokens: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """The keys of a set, a list for every size band where it may meet a partner, each with how many of them to keep.
+
+    Two linked sets of a band share at least r keys of a list: all bands but those that differ, less the empty ones. Taken
+    in one order, rare keys first, the first key they share is then among the first ``K - r + 1`` of either list of K.
+    """
     size = len(tokens)
     codes = mix(tokens ^ np.uint64(0x5851F42D4C957F2D))
-    keys = []
+    lists = []
     band = bisect_right(_BANDS, size) - 1
     while 3 * _BANDS[band] <= 4 * size:
         largest = _BANDS[band + 1] - 1
@@ -211,12 +216,15 @@ def band_keys(tokens: np.ndarray) -> np.ndarray:
         part = part[order]
         start = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         odd = np.bitwise_xor.reduceat(codes[order], start)
-        keys.append(mix(odd ^ mix(part[start] + np.uint64(band << 40))))
+        keys = np.unique(mix(odd ^ mix(part[start] + np.uint64(band << 40))))
         apart = (size + min(largest, 4 * size // 3)) // 7  # the most two linked sets differ here
-        if count - len(start) > count - 1 - apart:
-            keys.append(mix(tokens + np.uint64(0x632BE59BD9B4E019 + band)))
+        alike = len(keys) - apart  # at least so many bands that are not empty agree
+        lists.append((len(keys) - max(alike, 1) + 1, keys.view(np.int64)))
+        if alike < 1:  # agreement may fall on empty bands alone: single tokens, of which three quarters are shared
+            keys = np.unique(mix(tokens + np.uint64(0x632BE59BD9B4E019 + band)))
+            lists.append((len(keys) - -(-3 * size // 4) + 1, keys.view(np.int64)))
         band += 1
-    return np.unique(np.concatenate(keys)).view(np.int64)
+    return lists
 
 
 def dense_sketch(tokens: np.ndarray) -> np.ndarray:
@@ -226,7 +234,7 @@ def dense_sketch(tokens: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Per row with a set: ``set_id``, ``n``, sorted ``tokens``, ``keys`` and the dense ``sketch``."""
+    """Per row with a set: ``set_id``, ``n``, sorted ``tokens``, ``lists`` of keys and the dense ``sketch``."""
 
     def run(batches):
         for batch in batches:
@@ -234,12 +242,16 @@ def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
             def lists(arrays):
                 ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
                 return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *arrays]), pa.int64()))
+            banded = [band_keys(s) for s in sets]
+            flat = [x for own in banded for x in own]
+            inner = pa.StructArray.from_arrays([pa.array([k for k, _ in flat], pa.int32()), lists([x for _, x in flat])], ["keep", "keys"])
+            outer = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, banded)]).astype(np.int32)), inner)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists([s.view(np.int64) for s in sets]),
-                 lists([band_keys(s) for s in sets]), lists([dense_sketch(s) for s in sets])],
-                ["set_id", "n", "tokens", "keys", "sketch"])
+                 outer, lists([dense_sketch(s) for s in sets])],
+                ["set_id", "n", "tokens", "lists", "sketch"])
 
-    return arrow_pass(docs.select(text), run, "set_id bigint, n bigint, tokens array<bigint>, keys array<bigint>, sketch array<bigint>")
+    return arrow_pass(docs.select(text), run, "set_id bigint, n bigint, tokens array<bigint>, lists array<struct<keep:int,keys:array<bigint>>>, sketch array<bigint>")
 
 
 def near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -267,9 +279,15 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def linked_sets(sets: DataFrame) -> DataFrame:
     """``node`` and ``label``: components of the links among written sketches of distinct sets."""
-    entries = sets.select(F.explode("keys").alias("key"), F.col("set_id").alias("b"))
-    hubs = entries.groupBy("key").agg(F.min("b").alias("a"), F.max("b").alias("high")).where("a != high").drop("high")
-    star = cut(entries.join(hubs, "key"), "near-stars")  # each set of a key with the key's smallest set
+    each = sets.select("set_id", F.posexplode("lists").alias("list", "own"))
+    entries = each.select(F.explode("own.keys").alias("key"), F.col("set_id").alias("b"), "list", "own.keep", F.size("own.keys").alias("of"))
+    often = entries.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
+    # Keys that a set alone has come first in its order and meet nobody; of the shared ones only the rarest are kept.
+    own = Window.partitionBy("b", "list")
+    shared = entries.join(often, "key").withColumns({"place": F.row_number().over(own.orderBy("often", "key")), "shared": F.count("*").over(own)})
+    kept = cut(shared.where(F.col("place") + F.col("of") - F.col("shared") <= F.col("keep")).select("key", "b"), "near-keys")
+    hubs = kept.groupBy("key").agg(F.min("b").alias("a"), F.max("b").alias("high")).where("a != high").drop("high")
+    star = cut(kept.join(hubs, "key"), "near-stars")  # each set of a key with the key's smallest set
     pairs = cut(near(star.where("a != b").select("a", "b").distinct(), sets), "near-pairs")
     first = cut(verified(pairs, sets), "near-links")
     labels = cut(components(first), "near-labels")
