@@ -12,6 +12,7 @@ that an input has beside those named are ignored by ``encode`` with ``keep`` uns
 from __future__ import annotations
 
 import base64
+import hashlib
 from heapq import heappop, heappush
 
 import numpy as np
@@ -21,12 +22,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barloom.llm.common import arrow_pass
 
-#: Pre-tokens remembered by one worker; a cache only, refilled when full.
-CACHE_SIZE = 1_200_000
+#: Pre-tokens remembered by one worker, about 200 bytes each; a cache only, refilled when full.
+CACHE_SIZE = 600_000
 CACHE_CHARS = 40
 #: Characters encoded together; one text may be longer and is then taken alone.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
+#: Vocabularies kept broadcast; an older one is sent again when it is used again.
+KEPT = 4
 NONE = 1 << 30
+_SENT: dict = {}
 
 
 class Vocabulary:
@@ -153,15 +157,16 @@ class Vocabulary:
             found.append(ids)
         return found
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text as 32-bit numbers."""
+    def pieces(self, texts: list[str | None]):
+        """The pre-tokens of each text, all of them known while the caller looks them up."""
         self.prepare()
         known, ranks = self.known, self.ranks
-        if len(known) > CACHE_SIZE:
-            known.clear()
         split = regex.compile(self.pattern).findall
         found = [split(text or "") for text in texts]
         fresh = set().union(*found) - known.keys()
+        if len(known) + len(fresh) > CACHE_SIZE:
+            known.clear()
+            fresh = set().union(*found)
         rest = []
         for piece in fresh:
             raw = piece.encode("utf-8", "replace")
@@ -172,11 +177,18 @@ class Vocabulary:
                 known[piece] = rank.to_bytes(4, "little")
         for (piece, _), ids in zip(rest, self.merge([raw for _, raw in rest])):
             known[piece] = b"".join([x.to_bytes(4, "little") for x in ids])
-        out = [np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<i4") for pieces in found]
+        yield from found
         for piece in fresh:
             if len(piece) > CACHE_CHARS:
                 del known[piece]
-        return out
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text as 32-bit numbers."""
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), "<i4") for pieces in self.pieces(texts)]
+
+    def count(self, texts: list[str | None]) -> list[int]:
+        """Number of ids of each text."""
+        return [sum(map(len, map(self.known.__getitem__, pieces))) // 4 for pieces in self.pieces(texts)]
 
 
 def chunks(texts: pa.Array):
@@ -200,7 +212,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def _shared(spark: SparkSession, ranks: dict[bytes, int], pattern: str = ""):
-    return spark.sparkContext.broadcast(Vocabulary(ranks, pattern))
+    """One broadcast per vocabulary and application: repeated calls share what a worker has merged."""
+    key = spark.sparkContext.applicationId, pattern, hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
+    if key not in _SENT:
+        while len(_SENT) >= KEPT:
+            _SENT.pop(next(iter(_SENT))).unpersist()
+        _SENT[key] = spark.sparkContext.broadcast(Vocabulary(ranks, pattern))
+    return _SENT[key]
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "ids") -> DataFrame:
@@ -258,7 +276,7 @@ def count(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "t
 
     def run(batches):
         for batch in batches:
-            sizes = [len(ids) for _, texts in chunks(batch.column(len(keep))) for ids in sent.value.encode(texts)]
+            sizes = [n for _, texts in chunks(batch.column(len(keep))) for n in sent.value.count(texts)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(sizes, pa.int64())], names)
 
     types = dict(docs.dtypes)

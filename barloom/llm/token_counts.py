@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.llm.bpe import count
+from barloom.session import cut
 
 #: Lengths of one block of the two-level suffix sum; a window never holds more rows than this.
 BLOCK = 1024
@@ -25,7 +26,7 @@ def histogram(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str
 
 def suffix_sums(hist: DataFrame) -> DataFrame:
     """One row per length: documents and tokens at or above it, totals when cut there, and the share within it."""
-    hist = hist.select("length", "docs", (F.col("length") * F.col("docs")).alias("tokens"), F.floor(F.col("length") / BLOCK).alias("block"))
+    hist = cut(hist, "token-counts").select("length", "docs", (F.col("length") * F.col("docs")).alias("tokens"), F.floor(F.col("length") / BLOCK).alias("block"))
     blocks = hist.groupBy("block").agg(F.sum("docs").alias("b_docs"), F.sum("tokens").alias("b_tokens"))
     over = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()

@@ -9,7 +9,7 @@ import numpy as np
 
 SHINGLE = 5
 #: Bytes hashed at once; longer texts are cut at a blank.
-PART = 1 << 22
+PART = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _state: dict = {}
 
