@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions.levels import bar_exit, stop_level, target_level
+from barloom.operators.chain import candidate_chain
 from barloom.operators.rules import compile_rule, explain_rule, features_of, primary_cause, rising_edge
 from barloom.operators.indicators import add_features, feature_back
 from barloom.operators.quality import fill_gaps, index_bars, only_valid
@@ -48,16 +49,18 @@ def mark_entries(
     """Bars that have a swing, with ``met`` (rule true while allowed) and ``edge`` (true now, not one bar before).
 
     Bars without a swing can never be met, so only covered bars are joined. The bar before a block is recomputed
-    from the halo, which lets the edge look back across the block border.
+    from the halo, which lets the edge look back across the block border. Under the stricter swing rule the candidate is
+    locked (``candidate_chain``), and where it changes the edge is armed again.
     """
-    if rule.version != "legacy-v1":
-        raise ValueError(f"entries of swing rule {rule.version} need a locked candidate chain, which is not available")
+    locked = rule.version != "legacy-v1"
     allowed = gate_open(delay_minutes) if gated else F.lit(True)
-    swings = swing_asof(frame, rule, block, overlap=1)
+    swings = candidate_chain(frame, rule, block) if locked else swing_asof(frame, rule, block, overlap=1)
     met = F.coalesce(allowed & compile_rule(entry_rule, F.col("swing")), F.lit(False))
     covered = frame.join(swings, [*POOL, "blk", "idx"]).withColumn("met", met)
     order = bar_order()
     before = (F.lag("idx").over(order) == F.col("idx") - 1) & F.lag("met").over(order)
+    if locked:
+        before = before & (F.col("chosen_idx") < F.col("idx"))
     return covered.withColumn("edge", rising_edge(F.col("met"), before)).where("core").drop("core")
 
 

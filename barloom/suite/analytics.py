@@ -393,7 +393,7 @@ def _(spark, sf):
     return ledger.audit_orders(bad, gates, H4)
 
 
-@query("h5_bought_pools", F_SQL + """, b AS (SELECT ca, min(decision_time) AS decision_time FROM fl WHERE side='buy' AND l_linenumber=3 GROUP BY 1), e AS (SELECT ca, id AS event_id, decision_time AS event_time FROM fl WHERE side='sell'), w AS (SELECT ca, min(event_time) AS wt FROM e WHERE CAST(substr(ca,2) AS BIGINT)%3=0 GROUP BY 1)
+@query("h5_bought_pools", F_SQL + """, b AS (SELECT ca, min(decision_time) AS decision_time FROM fl WHERE side='buy' GROUP BY 1), e AS (SELECT ca, id AS event_id, decision_time AS event_time FROM fl WHERE side='sell'), w AS (SELECT ca, min(event_time) AS wt FROM e WHERE CAST(substr(ca,2) AS BIGINT)%3=0 GROUP BY 1)
 SELECT ca, decision_time, CASE WHEN wt<=decision_time THEN (SELECT min(event_id) FROM e WHERE e.ca=b.ca AND event_time=wt) ELSE (SELECT last(event_id ORDER BY event_time, CAST(event_id AS VARCHAR)) FROM e WHERE e.ca=b.ca AND event_time<=decision_time) END AS event_id,
  CASE WHEN wt<=decision_time THEN wt ELSE (SELECT max(event_time) FROM e WHERE e.ca=b.ca AND event_time<=decision_time) END AS signal_time FROM b LEFT JOIN w USING (ca)""")
 def _(spark, sf):

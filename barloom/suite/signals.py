@@ -110,6 +110,29 @@ def _(spark, sf):
     return out.select(*POOL, "idx", "swing.high_idx", "swing.low_idx")
 
 
+# Per bar with a selectable pair the best one; then by recursion the choices that are reached one after the other.
+_CHAIN = pairs_cte(V2_EXTRA, V2_ENDS) + f""", best AS MATERIALIZED (SELECT f.chain, f.ca, f.pair_id, f.idx, max(p.high_idx*1000000+p.low_idx) AS hl, arg_max(p.ends_at, p.high_idx*1000000+p.low_idx) AS ends_at
+  FROM filled f JOIN prs p USING ({KEYS}) WHERE f.idx BETWEEN p.confirmed_idx AND p.ends_at GROUP BY ALL),
+nx AS MATERIALIZED (SELECT b.chain, b.ca, b.pair_id, b.idx, b.hl, b.ends_at, (SELECT min(c.idx) FROM best c WHERE c.chain=b.chain AND c.ca=b.ca AND c.pair_id=b.pair_id AND c.idx>b.ends_at) AS nxt FROM best b),
+ob AS (SELECT {KEYS}, min(idx) AS idx FROM best GROUP BY ALL UNION ALL SELECT nx.chain, nx.ca, nx.pair_id, nx.nxt FROM ob JOIN nx USING ({KEYS}, idx) WHERE nx.nxt IS NOT NULL),
+lk AS (SELECT nx.chain, nx.ca, nx.pair_id, nx.idx AS chosen_idx, hl, unnest(range(nx.idx, nx.ends_at+1)) AS idx FROM ob JOIN nx USING ({KEYS}, idx))"""
+
+
+@query("d5_candidate_chain", D + _CHAIN + f" SELECT {KEYS}, idx, CAST(hl//1000000 AS BIGINT) AS high_idx, CAST(hl%1000000 AS BIGINT) AS low_idx, chosen_idx FROM lk JOIN filled USING ({KEYS}, idx)")
+def _(spark, sf):
+    from barloom.operators.chain import candidate_chain
+
+    own = F.floor(F.col("idx") / BLOCK) == F.col("blk")
+    return candidate_chain(framed(spark, sf, STRICT), STRICT, BLOCK, size=BLOCK, fan=2).where(own).select(*POOL, "idx", "swing.high_idx", "swing.low_idx", "chosen_idx")
+
+
+@query("d5_locked_entries", D + _CHAIN + f""", lp AS (SELECT lk.*, p.low AS s_low, p.high AS s_high FROM lk JOIN prs p ON p.chain=lk.chain AND p.ca=lk.ca AND p.pair_id=lk.pair_id AND p.high_idx=hl//1000000 AND p.low_idx=hl%1000000),
+m AS (SELECT f.chain, f.ca, f.pair_id, f.idx, chosen_idx, coalesce(time>signal_time,false) AND coalesce((s_high-close)/(s_high-s_low) BETWEEN 0.382 AND 0.886,false) AS met FROM filled f LEFT JOIN lp USING ({KEYS}, idx) LEFT JOIN gate USING (chain, ca))
+SELECT {KEYS}, idx, chosen_idx FROM (SELECT *, lag(met) OVER (PARTITION BY {KEYS} ORDER BY idx) AS was FROM m) WHERE met AND (chosen_idx=idx OR NOT coalesce(was,false))""")
+def _(spark, sf):
+    return mark_entries(framed(spark, sf, STRICT, gated=True), STRICT, backtest.DEFAULT["entry"], BLOCK).where("edge").select(*POOL, "idx", "chosen_idx")
+
+
 @query("d6_mean_volume", D + f" SELECT {KEYS}, idx, round(avg(volume) OVER {W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW),6) AS mean_now, round(avg(volume) OVER {W} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING),6) AS mean_before FROM filled")
 def _(spark, sf):
     f = halo(filled(spark, sf), 12, 0, BLOCK)
@@ -169,9 +192,11 @@ def _(spark, sf):
     return first_breach(one, filled(spark, sf), 60, BLOCK).select(*POOL, "high_idx", "low_idx", "breach_idx")
 
 
-@query("d12_nearest_bars", D + f""", an AS (SELECT {KEYS}, id, time AS t FROM ticks WHERE CAST(id AS BIGINT)%50=0 AND event_t IS NOT NULL) SELECT 1""".replace("AND event_t IS NOT NULL", "") .replace(" SELECT 1", f"""
-SELECT {KEYS}, id, (SELECT min(time) FROM (SELECT time FROM bars b WHERE b.chain=an.chain AND b.ca=an.ca AND b.pair_id=an.pair_id AND b.time<=an.t ORDER BY time DESC LIMIT 5)) AS context_from,
- (SELECT max(time) FROM (SELECT time FROM bars b WHERE b.chain=an.chain AND b.ca=an.ca AND b.pair_id=an.pair_id AND b.time>=an.t ORDER BY time LIMIT 5)) AS context_to FROM an"""))
+@query("d12_nearest_bars", D + f""", rb AS (SELECT {KEYS}, time, row_number() OVER (PARTITION BY {KEYS} ORDER BY time) AS rn FROM bars), nb AS (SELECT {KEYS}, max(rn) AS n FROM rb GROUP BY ALL),
+an AS (SELECT {KEYS}, id, time AS t FROM ticks), lo AS (SELECT an.*, rb.rn AS r0 FROM an ASOF LEFT JOIN rb ON an.chain=rb.chain AND an.ca=rb.ca AND an.pair_id=rb.pair_id AND an.t>=rb.time),
+hi AS (SELECT lo.*, rb.rn AS r1 FROM lo ASOF LEFT JOIN rb ON lo.chain=rb.chain AND lo.ca=rb.ca AND lo.pair_id=rb.pair_id AND lo.t<=rb.time)
+SELECT hi.chain, hi.ca, hi.pair_id, id, f.time AS context_from, g.time AS context_to FROM hi LEFT JOIN nb ON hi.chain=nb.chain AND hi.ca=nb.ca AND hi.pair_id=nb.pair_id
+LEFT JOIN rb f ON f.chain=hi.chain AND f.ca=hi.ca AND f.pair_id=hi.pair_id AND f.rn=CASE WHEN r0>4 THEN r0-4 ELSE r0-r0+1 END LEFT JOIN rb g ON g.chain=hi.chain AND g.ca=hi.ca AND g.pair_id=hi.pair_id AND g.rn=CASE WHEN r1+4>n THEN n ELSE r1+4 END""")
 def _(spark, sf):
     anchors = mapped.ticks(spark, sf).select(
         *POOL, "id", F.col("time").alias("anchor_from"), F.col("time").alias("anchor_to"))

@@ -110,7 +110,7 @@ def _(spark, sf):
     return out.select(*POOL, "trades", F.round("net_pnl", 4).alias("net_pnl"), F.round("win_rate", 8).alias("win_rate"))
 
 
-@query("f14_open_positions", ONE_SQL + f", lc AS (SELECT {K}, last(close ORDER BY time) AS lp, max(time) AS time FROM filled GROUP BY 1,2,3) SELECT {K}, entry_idx, round(quantity,6) AS quantity, round(lp,6) AS last_price, round(amount*0.03,6) AS fees, round((lp-entry_price)*quantity-amount*0.03,4) AS net_pnl, time FROM ac JOIN lc USING ({K}) WHERE entry_idx%4=0")
+@query("f14_open_positions", ONE_SQL + f", lc AS (SELECT {K}, last(close ORDER BY time) AS lp, max(time) AS time FROM filled GROUP BY 1,2,3) SELECT {K}, entry_idx, round(quantity,6) AS quantity, round(lp,6) AS last_price, round(amount*0.03,6) AS fees, round((lp-entry_price)*quantity-amount*0.03,4) AS net_pnl, time FROM ac JOIN lc USING ({K})")
 def _(spark, sf):
     opened = account.with_money(accepted(spark, sf)).withColumn("exit_time", F.lit(None).cast("long"))
     out = account.open_positions(opened, s.filled(spark, sf))
