@@ -12,14 +12,14 @@ from barloom.sources import mapped
 from barloom.suite.base import H4, SIGNALS, TICKS, bars_cte, query
 
 DAY = 86_400_000
-T = """WITH RECURSIVE tr AS (SELECT ((l_partkey*1000+l_suppkey%1000)*100+CAST(l_quantity AS BIGINT))*100000000+l_orderkey*10+l_linenumber AS id, 'r'||(l_orderkey%2) AS run_id, 'c'||(l_suppkey%2) AS chain, 't'||l_suppkey AS ca, CASE WHEN l_linenumber%2=0 THEN 'a' ELSE 'b' END AS pair_id,
+T = """WITH RECURSIVE tr AS MATERIALIZED (SELECT ((l_partkey*1000+l_suppkey%1000)*100+CAST(l_quantity AS BIGINT))*100000000+l_orderkey*10+l_linenumber AS id, 'r'||(l_orderkey%2) AS run_id, 'c'||(l_suppkey%2) AS chain, 't'||l_suppkey AS ca, CASE WHEN l_linenumber%2=0 THEN 'a' ELSE 'b' END AS pair_id,
   epoch_us(l_shipdate)//1000+l_partkey*60000 AS entry_time, l_extendedprice/l_quantity AS entry_price, l_quantity AS quantity, l_partkey%11=0 AS opened, l_linenumber, l_partkey,
   l_extendedprice/l_quantity*(1+l_tax-l_discount) AS op, CASE WHEN l_partkey%13=0 THEN 'mystery' ELSE ['take_profit','stop_loss','profit_lock','invalidation','timeout','end_of_backtest'][l_orderkey%6+1] END AS rs, l_quantity*(l_extendedprice/l_quantity)*0.01 AS fees FROM lineitem),
-tr2 AS (SELECT *, CASE WHEN NOT opened THEN entry_time+l_linenumber*3600000-CASE WHEN l_partkey%17=0 THEN 8*3600000 ELSE 0 END END AS exit_time, CASE WHEN NOT opened THEN op END AS exit_price, CASE WHEN NOT opened THEN rs END AS exit_reason,
+tr2 AS MATERIALIZED (SELECT *, CASE WHEN NOT opened THEN entry_time+l_linenumber*3600000-CASE WHEN l_partkey%17=0 THEN 8*3600000 ELSE 0 END END AS exit_time, CASE WHEN NOT opened THEN op END AS exit_price, CASE WHEN NOT opened THEN rs END AS exit_reason,
   CASE WHEN NOT opened AND l_partkey%19<>0 THEN (op-entry_price)*quantity-fees*1.5 END AS net_pnl, CASE WHEN l_linenumber>=4 THEN 1 ELSE 0 END AS n_adds FROM tr),
-cl AS (SELECT *, CASE WHEN exit_reason='end_of_backtest' THEN 'end_of_backtest' WHEN exit_time IS NULL THEN 'open' WHEN exit_reason='mystery' THEN 'incomplete' WHEN exit_time<entry_time THEN 'incomplete' WHEN net_pnl IS NULL THEN 'incomplete' ELSE 'normal_closed' END AS trade_class,
+cl AS MATERIALIZED (SELECT *, CASE WHEN exit_reason='end_of_backtest' THEN 'end_of_backtest' WHEN exit_time IS NULL THEN 'open' WHEN exit_reason='mystery' THEN 'incomplete' WHEN exit_time<entry_time THEN 'incomplete' WHEN net_pnl IS NULL THEN 'incomplete' ELSE 'normal_closed' END AS trade_class,
   CASE WHEN exit_reason='end_of_backtest' THEN 'forced end' WHEN exit_time IS NULL THEN 'not closed' WHEN exit_reason='mystery' THEN 'exit reason' WHEN exit_time<entry_time THEN 'times' WHEN net_pnl IS NULL THEN 'net pnl' END AS exclusion FROM tr2),
-nb AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY run_id,chain,ca,pair_id,entry_time)=1 THEN row_number() OVER (PARTITION BY run_id,chain,ca,pair_id ORDER BY entry_time,id) END AS trade_no FROM cl)"""
+nb AS MATERIALIZED (SELECT *, CASE WHEN count(*) OVER (PARTITION BY run_id,chain,ca,pair_id,entry_time)=1 THEN row_number() OVER (PARTITION BY run_id,chain,ca,pair_id ORDER BY entry_time,id) END AS trade_no FROM cl)"""
 
 
 def trades(spark, sf):
@@ -44,7 +44,7 @@ def _(spark, sf):
     return numbered(spark, sf).select("id", "trade_no")
 
 
-E = T + """, ev AS (SELECT id*10+1 AS event_id, run_id, chain, ca, pair_id, entry_time AS time, entry_price AS price, quantity, 'entry' AS signal_type FROM tr2
+E = T + """, ev AS MATERIALIZED (SELECT id*10+1 AS event_id, run_id, chain, ca, pair_id, entry_time AS time, entry_price AS price, quantity, 'entry' AS signal_type FROM tr2
  UNION ALL SELECT id*10+2, run_id, chain, ca, pair_id, entry_time+1800000, entry_price*1.01, quantity*0.5, 'add' FROM tr2 WHERE n_adds=1
  UNION ALL SELECT id*10+9, run_id, chain, ca, pair_id, exit_time, exit_price, quantity, exit_reason FROM tr2 WHERE exit_time IS NOT NULL),
 j AS (SELECT 'entry' AS kind, 0 AS k, id AS tid, trade_no, n_adds, run_id, chain, ca, pair_id, entry_time AS time, NULL AS price, NULL AS quantity FROM nb
@@ -53,7 +53,7 @@ j AS (SELECT 'entry' AS kind, 0 AS k, id AS tid, trade_no, n_adds, run_id, chain
 m AS (SELECT e.event_id, j.tid, j.trade_no, j.n_adds FROM ev e JOIN j ON e.run_id=j.run_id AND e.chain=j.chain AND e.ca=j.ca AND e.pair_id=j.pair_id AND e.time=j.time AND e.signal_type=j.kind
  WHERE j.k=0 OR (abs(j.price-e.price)<=1e-9*greatest(1,abs(e.price)) AND abs(j.quantity-e.quantity)<=1e-9*greatest(1,abs(e.quantity)))),
 u AS (SELECT event_id, any_value(tid) AS trade_id, any_value(trade_no) AS trade_no, any_value(n_adds) AS n_adds FROM m GROUP BY event_id HAVING count(*)=1),
-ln AS (SELECT ev.*, u.trade_id, u.trade_no, CASE WHEN u.trade_id IS NOT NULL THEN CASE WHEN signal_type='entry' THEN 1 WHEN signal_type='add' THEN 2 WHEN signal_type<>'mystery' THEN n_adds+2 END END AS event_order FROM ev LEFT JOIN u USING (event_id))"""
+ln AS MATERIALIZED (SELECT ev.*, u.trade_id, u.trade_no, CASE WHEN u.trade_id IS NOT NULL THEN CASE WHEN signal_type='entry' THEN 1 WHEN signal_type='add' THEN 2 WHEN signal_type<>'mystery' THEN n_adds+2 END END AS event_order FROM ev LEFT JOIN u USING (event_id))"""
 
 
 def linked(spark, sf):
