@@ -36,7 +36,7 @@ def store(spark, sf):
 
 
 STORE = "WITH" + TICKS + "," + ",".join([bars_cte(H4, "price", "b1"), bars_cte(H4, "mcap", "b2"), bars_cte(3 * H4, "price", "b3")]) + """,
-store AS (SELECT *, '4h' AS interval, 'price' AS type FROM b1 UNION ALL SELECT *, '4h', 'mcap' FROM b2 UNION ALL SELECT *, '12h', 'price' FROM b3),""" + SIGNALS
+store AS MATERIALIZED (SELECT *, '4h' AS interval, 'price' AS type FROM b1 UNION ALL SELECT *, '4h', 'mcap' FROM b2 UNION ALL SELECT *, '12h', 'price' FROM b3),""" + SIGNALS
 
 KEYS = "chain, ca, pair_id"
 
