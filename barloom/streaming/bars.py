@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from barloom.operators.rules import qualify_source
 from barloom.plans.blocks import scan
@@ -14,6 +18,7 @@ from barloom.sources.ingest import BASE58_ADDRESS
 
 MARKET = ["chain", "pair_id"]
 DAY = 86_400_000
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def dedup_ticks(ticks: DataFrame, watermark: str = "5 minutes") -> DataFrame:
@@ -39,12 +44,20 @@ def tumbling_bars(ticks: DataFrame, interval: str) -> DataFrame:
         F.col("last.id").alias("close_trade_id"), F.col("last.time").alias("close_trade_time"))
 
 
+def keyed_state(spark: SparkSession) -> SparkSession:
+    """Let streams started from now on keep state per key on disk, as stateful processors need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if spark.conf.get(name) != ROCKS:
+        spark.conf.set(name, ROCKS)
+    return spark
+
+
 def run_to_table(stream: DataFrame, label: str, finish: Callable[[], None] | None = None) -> DataFrame:
     """Drain a stream into a table of the shared folder (file sink with checkpoint) and read it back.
 
     ``finish`` (of ``ending``) is called once all is read; the query then goes on from its checkpoint.
     """
-    spark = stream.sparkSession
+    spark = keyed_state(stream.sparkSession)
     path = scratch(spark, label)
     for step in (None, finish) if finish else (None,):
         if step:
@@ -65,6 +78,90 @@ def late_policy(ticks: DataFrame, arrival: str, width: int) -> DataFrame:
     return seen.withColumn("verdict", F.when(F.coalesce(old, F.lit(False)), "too_old").when(behind > 0, "late").otherwise("on_time"))
 
 
+def sound_trade() -> Column:
+    """Named, timed, with a positive finite price and a finite volume that is not negative."""
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
+    named = [F.col(c).isNotNull() & (F.col(c) != "") for c in (*POOL, "id")]
+    tests = [*named, F.col("time") >= 0, finite("price"), F.col("price") > 0, finite("volume_usd"), F.col("volume_usd") >= 0]
+    return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
+
+
+def has_cap() -> Column:
+    return F.coalesce((F.col("mcap") > 0) & ~F.isnan("mcap") & (F.col("mcap") != F.lit(float("inf"))), F.lit(False))
+
+
+def judge_trades(ticks: DataFrame, arrival: str, width: int) -> DataFrame:
+    """``verdict`` per tick (see ``dedup_ticks`` for repeats) in order of arrival, then id, on a stored table.
+
+    * invalid: not a ``sound_trade``; it changes nothing;
+    * too_old: 30 s or more behind its market's latest trade and in another minute; it changes nothing;
+    * closed: no candle takes it, as in each series that it has a value for a later minute of its pool is open;
+    * late, on_time: taken; late if behind the latest.
+
+    A minute closes when a later one opens, not by the clock. The half-minute candles need no look: one that is open lies
+    in an open minute. ``judge_stream`` gives the same verdicts on a stream.
+    """
+    order, bucket = [arrival, "id"], F.floor(F.col(arrival) / width)
+    seen = scan(ticks.withColumn("_ok", sound_trade()), MARKET, order, bucket, {"_latest": ("max", F.when(F.col("_ok"), F.col("time")))}, exclusive=True)
+    minute, behind = F.floor(F.col("time") / 60_000), F.col("_latest") - F.col("time")
+    old = F.coalesce((behind >= 30_000) & (minute != F.floor(F.col("_latest") / 60_000)), F.lit(False))
+    fresh = seen.withColumn("_fresh", F.col("_ok") & ~old)
+    opened = scan(fresh, POOL, order, bucket, {
+        "_price": ("max", F.when(F.col("_fresh"), minute)), "_mcap": ("max", F.when(F.col("_fresh") & has_cap(), minute))}, exclusive=True)
+    taken = (minute >= F.coalesce("_price", F.lit(-1))) | (has_cap() & (minute >= F.coalesce("_mcap", F.lit(-1))))
+    verdict = F.when(~F.col("_ok"), "invalid").when(~F.col("_fresh"), "too_old").when(~taken, "closed").when(behind > 0, "late").otherwise("on_time")
+    return opened.withColumn("verdict", verdict).drop("_ok", "_fresh", "_latest", "_price", "_mcap")
+
+
+def judge_stream(ticks: DataFrame, arrival: str) -> DataFrame:
+    """``judge_trades`` on a stream: chain, pair_id, ca, id, ``arrival``, time and ``verdict``, whatever the micro-batches.
+
+    Each market keeps its latest trade time and, per token, the open minute of both series. Ticks of one micro-batch may
+    come in any order; a tick of an earlier micro-batch must not have a larger ``arrival``. A task holds the ticks of one
+    market in one micro-batch, which the source bounds (``maxFilesPerTrigger``, ``maxBytesPerTrigger``).
+    """
+    key = {"chain": "string", "pair_id": "string"}
+    schema = f"chain string, pair_id string, ca string, id string, {arrival} bigint, time bigint, verdict string"
+    slim = ticks.select(*MARKET, "ca", "id", F.col(arrival).cast("long").alias(arrival), F.col("time").cast("long").alias("time"),
+                        sound_trade().alias("ok"), has_cap().alias("capped"))
+    return slim.groupBy(*key).transformWithStateInPandas(Lateness(arrival), schema, "Append", "None")
+
+
+class Lateness(StatefulProcessor):
+    """The state of one market behind ``judge_stream``; times and minutes are -1 before the first trade."""
+
+    def __init__(self, arrival: str) -> None:
+        self.arrival = arrival
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.latest = handle.getValueState("latest", "time bigint")
+        self.minutes = handle.getMapState("minutes", "ca string", "price bigint, mcap bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        ticks = pd.concat(list(rows)).sort_values([self.arrival, "id"], kind="stable").reset_index(drop=True)
+        ok, capped = ticks["ok"].to_numpy(bool), ticks["capped"].to_numpy(bool)
+        time = ticks["time"].fillna(-1).to_numpy(np.int64)
+        minute = time // 60_000
+        known = np.maximum.accumulate(np.r_[self.latest.get()[0] if self.latest.exists() else -1, np.where(ok, time, -1)])
+        before = known[:-1]
+        fresh = ok & ~((before - time >= 30_000) & (minute != before // 60_000))
+        verdict = np.where(time < before, "late", "on_time").astype(object)
+        for ca, at in ticks[fresh].groupby("ca").groups.items():
+            price, mcap = self.minutes.getValue((ca,)) if self.minutes.containsKey((ca,)) else (-1, -1)
+            prices = np.maximum.accumulate(np.r_[price, minute[at]])
+            caps = np.maximum.accumulate(np.r_[mcap, np.where(capped[at], minute[at], -1)])
+            verdict[at[~((minute[at] >= prices[:-1]) | (capped[at] & (minute[at] >= caps[:-1])))]] = "closed"
+            self.minutes.updateValue((ca,), (int(prices[-1]), int(caps[-1])))
+        verdict[~fresh] = "too_old"
+        verdict[~ok] = "invalid"
+        self.latest.update((int(known[-1]),))
+        ticks["verdict"] = verdict
+        yield ticks[["chain", "pair_id", "ca", "id", self.arrival, "time", "verdict"]]
+
+    def close(self) -> None:
+        pass
+
+
 def flush_and_fill(bars: DataFrame, now: int, step: int, connected: DataFrame) -> DataFrame:
     """Bars closed by ``now`` plus the idle bars after a real one, up to the first that no connection covers.
 

@@ -60,6 +60,31 @@ def _(spark, sf):
     return live.late_policy(arrivals(spark, sf), "arrival", 500).select("id", "verdict")
 
 
+# Minutes are taken once per trade, so that the frames hold integers.
+JUDGED = M + """, a AS (SELECT chain, ca, pair_id, id, CAST(id AS BIGINT) AS arrival, price, volume_usd, mcap, time-CASE WHEN CAST(id AS BIGINT)%7=0 THEN 20000000 WHEN CAST(id AS BIGINT)%5=0 THEN 25000 ELSE 0 END AS time FROM ticks),
+b AS (SELECT *, time//60000 AS minute, coalesce(price>0 AND volume_usd>=0 AND time>=0, false) AS ok, coalesce(mcap>0, false) AS capped FROM a),
+c AS (SELECT *, max(CASE WHEN ok THEN time END) OVER (PARTITION BY chain, pair_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM b),
+d AS (SELECT *, ok AND NOT coalesce(latest-time>=30000 AND minute<>latest//60000, false) AS fresh FROM c),
+e AS (SELECT *, max(CASE WHEN fresh THEN minute END) OVER w AS p, max(CASE WHEN fresh AND capped THEN minute END) OVER w AS m FROM d
+      WINDOW w AS (PARTITION BY chain, ca, pair_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT id, CASE WHEN NOT ok THEN 'invalid' WHEN NOT fresh THEN 'too_old' WHEN NOT (minute>=coalesce(p,-1) OR (capped AND minute>=coalesce(m,-1))) THEN 'closed' WHEN latest>time THEN 'late' ELSE 'on_time' END AS verdict FROM e"""
+
+
+def arriving(ticks):
+    n = F.col("id").cast("long")
+    return ticks.withColumn("arrival", n).withColumn("time", F.col("time") - F.when(n % 7 == 0, 20_000_000).when(n % 5 == 0, 25_000).otherwise(0))
+
+
+@query("i3_judge_trades", JUDGED)
+def _(spark, sf):
+    return live.judge_trades(arriving(mapped.ticks(spark, sf)), "arrival", 500).select("id", "verdict")
+
+
+@query("i3_judge_stream", JUDGED)
+def _(spark, sf):
+    return live.run_to_table(live.judge_stream(arriving(stream_ticks(spark, sf)), "arrival"), "verdicts").select("id", "verdict")
+
+
 NOW = 1_706_486_400_000
 
 
