@@ -6,13 +6,14 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barloom.operators import crossings
 from barloom.functions.levels import bar_exit, stop_level, target_level
 from barloom.operators.chain import candidate_chain
-from barloom.operators.rules import compile_rule, explain_rule, features_of, primary_cause, rising_edge
+from barloom.operators.rules import alternatives, broken_level, compile_rule, explain_rule, features_of, primary_cause, rising_edge
 from barloom.operators.indicators import add_features, feature_back
 from barloom.operators.quality import fill_gaps, index_bars, only_valid
 from barloom.operators.swings import SwingRule, bar_order, swing_asof, swing_inputs
-from barloom.session import reuse
+from barloom.session import cut, reuse
 from barloom.plans.blocks import BLOCK, block_of, cover, halo
 from barloom.schemas import OHLCV, POOL
 
@@ -84,17 +85,14 @@ def label_exits(
     """First exit of each entry: a range join on index blocks, then one minimum per entry.
 
     ``keys`` are extra entry keys (such as a candidate id). An entry meets at most ``maxHoldingBars`` bars, so the
-    joined size is bounded by the horizon and the join key carries the block, not only the pool.
+    joined size is bounded by the horizon and the join key carries the block, not only the pool. Without
+    ``maxHoldingBars`` the entries are searched by ``label_exits_unlimited``.
     """
+    if not exits.get("maxHoldingBars"):
+        return label_exits_unlimited(entries, bars, exits, invalidation, keys)
     horizon = int(exits["maxHoldingBars"])
     ident = [*keys, *POOL, "entry_idx"]
-    wanted = sorted(features_of(invalidation))
-    columns = [f"vmean_{n}" if k == "vmean" else f"vols_{n}" if k == "vols" else f"{k}_{n}" for k, n in wanted]
-    extra = [c for c in bars.columns if any(c == w or c.startswith(w + "_") or c == f"obv_change_{w.split('_')[-1]}" for w in columns)]
-    slim = bars.select(
-        *POOL, "idx", "time", "open", "high", "low", "close", "volume", "is_last", "prev_open", "prev_close",
-        *extra, block_of(F.col("idx"), block).alias("_xb"),
-    )
+    slim = _exit_bars(bars, invalidation).withColumn("_xb", block_of(F.col("idx"), block))
     spread = entries.select(
         *ident, "entry_price", "stop", "target", "swing",
         cover(F.col("entry_idx") + 1, F.col("entry_idx") + horizon, block).alias("_xb"),
@@ -129,6 +127,74 @@ def label_exits(
             "idx", F.col("time").alias("time"), F.col("_out.type").alias("type"), F.col("_out.price").alias("price"), cause.alias("cause"),
         )).alias("_exit"))
     )
+    return _with_exit(entries, firsts, ident, exits)
+
+
+def label_exits_unlimited(
+    entries: DataFrame, bars: DataFrame, exits: Mapping, invalidation: Mapping | None, keys: Sequence[str] = (),
+    block: int = crossings.BLOCK, fan: int = crossings.FAN,
+) -> DataFrame:
+    """``label_exits`` without a holding limit: an entry stays until a level is met or, if ``closeAtEnd``, the pool ends.
+
+    Stop, target, each invalidation and each lock tier is a search for a first crossing; a tier's floor is searched from
+    the bar that arms it. The earliest hit is the exit bar, and only that bar is judged. An entry that nothing meets has a
+    null exit. Invalidations must be alternatives (any of), not combinations.
+    """
+    ident, price, swing = [*keys, *POOL, "entry_idx"], F.col("entry_price"), F.col("swing")
+    slim = _exit_bars(bars, invalidation)
+    metrics = {"fall": -F.least("open", "low"), "rise": F.greatest("open", "high"), "close_fall": -F.col("close"), "close_rise": F.col("close"),
+               "last": F.when(F.col("is_last"), F.lit(1.0))}
+    wanted = [("fall", -F.col("stop"), False), ("rise", F.when(F.col("target") > price, F.col("target")), False)]
+    for leaf in alternatives(invalidation):
+        level = broken_level(leaf, swing)
+        if level is not None:
+            wanted.append(("close_fall", -level, True))
+        elif leaf["type"] == "bearish_volume_invalidation":
+            name = f"bear_{len(metrics)}"
+            metrics[name] = F.when(compile_rule(leaf, None), F.lit(1.0))
+            wanted.append((name, F.lit(1.0), False))
+        else:
+            raise ValueError(f"{leaf['type']} needs a holding limit")
+    if exits.get("closeAtEnd"):
+        wanted.append(("last", F.lit(1.0), False))
+    lock = exits.get("profitLock") or {}
+    tiers = lock["tiers"] if lock.get("enabled") else []
+    wanted += [("close_rise", price * (1 + t["activationPercent"] / 100), False) for t in tiers]
+    first_tier = len(wanted) - len(tiers)
+    search = lambda k, metric, threshold, strict: F.struct(
+        F.lit(k).alias("search"), F.lit(metric).alias("metric"), threshold.cast("double").alias("threshold"), F.lit(strict).alias("strict"))
+    cells = crossings.extremes(slim, metrics, block, fan)
+    seek = lambda rows: crossings.first_crossings(rows, cells, list(metrics), [*ident, "search"], block, fan)
+    found = seek(entries.select(*ident, "entry_price", F.col("entry_idx").alias("after"), F.explode(F.array(*[search(k, *w) for k, w in enumerate(wanted)])).alias("_w")).select(
+        *ident, "after", "_w.*"))
+    armed = []
+    if tiers:
+        found = cut(found, "crossings")
+        floors = [F.when(F.col("search") == first_tier + k, price * (1 + t["floorPercent"] / 100)) for k, t in enumerate(tiers)]
+        broken = seek(found.where(F.col("search") >= first_tier).join(entries.select(*ident, "entry_price"), ident).select(
+            *ident, "search", F.col("hit").alias("after"), F.lit("fall").alias("metric"), (-F.coalesce(*floors)).alias("threshold"), F.lit(False).alias("strict")))
+        found = found.select(*ident, "search", "hit").unionByName(broken.select(*ident, F.lit(-1).alias("search"), "hit"))
+        armed = [F.min(F.when(F.col("search") == first_tier + k, F.col("hit"))).alias(f"_arm_{k}") for k in range(len(tiers))]
+    exit_at = found.groupBy(*ident).agg(F.min(F.when(F.col("search") < first_tier, F.col("hit"))).alias("idx"), *armed)
+    levels = [F.when(F.col(f"_arm_{k}") < F.col("idx"), price * (1 + t["floorPercent"] / 100)) for k, t in enumerate(tiers)]
+    end = F.lit(bool(exits.get("closeAtEnd"))) & F.col("is_last")
+    outcome = bar_exit(price, F.col("stop"), F.col("target"), compile_rule(invalidation, swing), F.lit(False), end,
+                       F.greatest(*levels) if len(levels) > 1 else levels[0] if levels else None)
+    cause = F.when(outcome["type"] == "invalidation", primary_cause(explain_rule(invalidation, swing))) if invalidation else F.lit(None).cast("string")
+    held = entries.select(*ident, "entry_price", "stop", "target", "swing").join(exit_at.where("idx IS NOT NULL"), ident).join(slim, [*POOL, "idx"])
+    firsts = held.withColumn("_out", outcome).select(*ident, F.struct(
+        "idx", F.col("time").alias("time"), F.col("_out.type").alias("type"), F.col("_out.price").alias("price"), cause.alias("cause")).alias("_exit"))
+    return _with_exit(entries, firsts, ident, exits)
+
+
+def _exit_bars(bars: DataFrame, invalidation: Mapping | None) -> DataFrame:
+    wanted = sorted(features_of(invalidation))
+    columns = [f"vmean_{n}" if k == "vmean" else f"vols_{n}" if k == "vols" else f"{k}_{n}" for k, n in wanted]
+    extra = [c for c in bars.columns if any(c == w or c.startswith(w + "_") or c == f"obv_change_{w.split('_')[-1]}" for w in columns)]
+    return bars.select(*POOL, "idx", "time", "open", "high", "low", "close", "volume", "is_last", "prev_open", "prev_close", *extra)
+
+
+def _with_exit(entries: DataFrame, firsts: DataFrame, ident: Sequence[str], exits: Mapping) -> DataFrame:
     at_end = F.lit(bool(exits.get("closeAtEnd"))) & F.col("entry_is_last")
     return entries.join(firsts, ident, "left").select(
         *entries.columns,

@@ -100,6 +100,25 @@ def _break_low(node, swing):
     return F.col("close") < _buffered(swing["low"], node)
 
 
+def broken_level(node: Node, swing: Column) -> Column | None:
+    """The level a close must fall below for this condition; None for conditions of another kind."""
+    if node["type"] == "break_fib_invalidation":
+        return _buffered(fib_level(swing, node["ratio"]), node)
+    return _buffered(swing["low"], node) if node["type"] == "break_swing_low_invalidation" else None
+
+
+def alternatives(node: Node | None) -> list[Node]:
+    """The conditions of a rule that any one of them meets; ValueError for rules that combine conditions."""
+    if not node or not is_on(node):
+        return []
+    if "conditions" not in node:
+        return [node] if node["type"] in REGISTRY else []
+    children = [c for c in node["conditions"] if is_on(c)]
+    if len(children) > 1 and node["mode"] != "any" and (node["mode"] == "all" or int(node.get("minMatches") or 1) > 1):
+        raise ValueError("without a holding limit an invalidation must not combine conditions")
+    return [leaf for c in children for leaf in alternatives(c)]
+
+
 def _body_percent() -> Column:
     return F.when(F.col("open") > 0, (F.col("open") - F.col("close")) / F.col("open") * 100).otherwise(0.0)
 

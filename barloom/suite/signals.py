@@ -357,6 +357,24 @@ def _(spark, sf):
     return _label_out(labelled(spark, sf))
 
 
+def _unlimited(sql: str) -> str:
+    return sql.replace(" AND f.idx<=l.entry_idx+20", "").replace(" WHEN idx-entry_idx>=20 THEN 'timeout'", "")
+
+
+def without_limit(exits):
+    return {k: v for k, v in exits.items() if k != "maxHoldingBars"}
+
+
+@query("f4_label_exits_unlimited", _unlimited(D + _exit_sql(False) + _LABELS))
+def _(spark, sf):
+    return _label_out(labelled(spark, sf, without_limit(EXITS)))
+
+
+@query("f5_profit_lock_unlimited", _unlimited(D + _exit_sql(True) + _LABELS))
+def _(spark, sf):
+    return _label_out(labelled(spark, sf, without_limit(LOCKED)))
+
+
 @query("f3_bar_exit_reasons", D + _exit_sql(False) + " SELECT exit_reason, count(*) AS entries, CAST(sum(exit_idx-entry_idx) AS BIGINT) AS bars_held FROM lb GROUP BY ALL")
 def _(spark, sf):
     return labelled(spark, sf).groupBy("exit_reason").agg(F.count(F.lit(1)).alias("entries"), F.sum("holding_bars").alias("bars_held"))
