@@ -14,7 +14,6 @@ from barloom.plans.blocks import block_of, cover, scan
 from barloom.schemas import POOL
 from barloom.session import reuse
 
-DAY = 86_400_000
 PROVISIONAL_STOP = 0.9  # fixed value: the first risk-sized entry assumes a stop ten percent below
 
 
@@ -129,7 +128,7 @@ def scale_in(buys: DataFrame, key: Sequence[str], max_entries: int) -> DataFrame
         F.sum("cost").alias("costs"), F.min_by("price", "time").alias("first_entry_price"), F.count(F.lit(1)).alias("entries"))
 
 
-def equity_curve(trades: DataFrame, bars: DataFrame, capital: float, keys: Sequence[str] = (), costs: Mapping = COSTS, width: int = DAY, block: int = 512) -> DataFrame:
+def equity_curve(trades: DataFrame, bars: DataFrame, capital: float, keys: Sequence[str] = (), costs: Mapping = COSTS, block: int = 512) -> DataFrame:
     """Cash, equity and unrealized value of each account.
 
     Everything is a running sum of changes: money that flows, and what each held position gains from one bar of its pool
@@ -165,14 +164,14 @@ def equity_curve(trades: DataFrame, bars: DataFrame, capital: float, keys: Seque
         changes = changes.unionByName(bars.select("time", zero.alias("flow"), zero.alias("value"), zero.alias("unrealized")))
     names = ["flow", "value", "unrealized"]
     grid = changes.groupBy(*account, "time").agg(*[F.sum(n).alias(n) for n in names]).withColumn("_one", F.lit(1))
-    run = scan(grid, [*account, "_one"], ["time"], F.floor(F.col("time") / width), {f"_{n}": ("sum", F.col(n)) for n in names})
+    run = scan(grid, [*account, "_one"], ["time"], None, {f"_{n}": ("sum", F.col(n)) for n in names})
     cash = F.lit(float(capital)) + F.col("_flow")
     return run.select(*account, "time", cash.alias("cash"), (cash + F.col("_value")).alias("equity"), F.col("_unrealized").alias("unrealized"))
 
 
-def account_drawdown(curve: DataFrame, capital: float, keys: Sequence[str] = (), width: int = DAY) -> DataFrame:
+def account_drawdown(curve: DataFrame, capital: float, keys: Sequence[str] = ()) -> DataFrame:
     staged = curve.withColumn("_one", F.lit(1))
-    return drawdown(staged, [*keys, "_one"], "equity", capital, width).drop("_one")
+    return drawdown(staged, [*keys, "_one"], "equity", capital).drop("_one")
 
 
 def report(trades: DataFrame, capital: float, keys: Sequence[str] = (), curve: DataFrame | None = None) -> DataFrame:
@@ -185,7 +184,7 @@ def report(trades: DataFrame, capital: float, keys: Sequence[str] = (), curve: D
     closed = reuse(trades.where("exit_time is not null").withColumn("_one", F.lit(1)))
     net, win = F.col("net_pnl"), F.col("net_pnl") > 0
     order = ["exit_time", *POOL, "entry_idx"]
-    islands = scan(closed, account, order, F.floor(F.col("exit_time") / (30 * DAY)), {"_wins": ("count", F.when(win, F.lit(1)))})
+    islands = scan(closed, account, order, None, {"_wins": ("count", F.when(win, F.lit(1)))})
     streak = islands.groupBy(*account, "_wins").agg(F.count_if(~win).alias("n")).groupBy(*account).agg(F.max("n").alias("max_losing_streak"))
     gain, loss = F.sum(F.when(win, net).otherwise(0.0)), -F.sum(F.when(win, 0.0).otherwise(net))
     main = closed.groupBy(*account).agg(

@@ -42,8 +42,7 @@ def split_by_time(signals: DataFrame, ratio: float, distinct_times: bool = False
     The rank is a carried count; only the one cut value is broadcast.
     """
     base = signals.select("signal_time").distinct() if distinct_times else signals
-    ranked = scan(base.withColumn("_one", F.lit(1)), ["_one"], ["signal_time", *([] if distinct_times else TOKEN)],
-                  F.floor(F.col("signal_time") / (30 * DAY)), {"_rn": ("count", F.lit(1))})
+    ranked = scan(base.withColumn("_one", F.lit(1)), ["_one"], ["signal_time", *([] if distinct_times else TOKEN)], None, {"_rn": ("count", F.lit(1))})
     n = base.agg(F.count(F.lit(1)).alias("_n"))
     at = F.least(F.col("_n") - 1, F.greatest(F.lit(1), F.floor(F.col("_n") * ratio))) + 1
     cut = ranked.crossJoin(F.broadcast(n)).where(F.col("_rn") == at).agg(F.max("signal_time").alias("cutoff"))
@@ -53,7 +52,7 @@ def split_by_time(signals: DataFrame, ratio: float, distinct_times: bool = False
 
 def split_positional(signals: DataFrame, ratio: float = 0.6) -> DataFrame:
     """First part by position in time order, ties broken by token."""
-    ranked = scan(signals.withColumn("_one", F.lit(1)), ["_one"], ["signal_time", *TOKEN], F.floor(F.col("signal_time") / (30 * DAY)), {"_rn": ("count", F.lit(1))})
+    ranked = scan(signals.withColumn("_one", F.lit(1)), ["_one"], ["signal_time", *TOKEN], None, {"_rn": ("count", F.lit(1))})
     n = signals.agg(F.count(F.lit(1)).alias("_n"))
     return ranked.crossJoin(F.broadcast(n)).withColumn(
         "part", F.when(F.col("_rn") <= F.floor(F.col("_n") * ratio), "development").otherwise("validation")).drop("_one", "_rn", "_n")

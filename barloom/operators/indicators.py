@@ -2,38 +2,23 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.operators.swings import bar_order
-from barloom.plans.blocks import asof, scan
+from barloom.plans.blocks import affine, asof, scan
 from barloom.schemas import POOL
 
 
-def ema_warmup(period: int) -> int:
-    """Rows after which older closes weigh less than the rounding of a double."""
-    decay = 1 - 2 / (period + 1)
-    return 1 if decay <= 0 else math.ceil(math.log(1e-18) / math.log(decay))
-
-
-def ema(period: int, block: int) -> Column:
-    """Seeded with the first close of the pool. Uses a running weighted sum relative to the block start.
-
-    Where the weights of one block would leave the double range (short periods), the few bars that still matter
-    are folded directly.
-    """
-    k = 2 / (period + 1)
-    if k >= 1:
-        return F.col("close")
-    rate = -math.log(1 - k)
-    if rate * (block + 2) < 690:
-        place = (F.col("idx") - F.col("blk") * F.lit(block)).cast("double")
-        weight = F.when(F.col("idx") == 0, F.lit(1.0)).otherwise(F.lit(k))
-        grown = F.sum(F.col("close") * weight * F.exp(place * rate)).over(bar_order().rowsBetween(Window.unboundedPreceding, 0))
-        return grown * F.exp(-place * rate)
-    recent = F.collect_list("close").over(bar_order().rowsBetween(-ema_warmup(period), 0))
-    return F.aggregate(recent, F.lit(None).cast("double"), lambda acc, c: F.coalesce(c * k + acc * (1 - k), c))
+def with_ema(filled: DataFrame, periods: Iterable[int], block: int) -> DataFrame:
+    """Columns ``ema_<period>`` from the first close of each pool on, over all its bars; ``idx`` is dense from 0."""
+    close, maps = F.col("close"), {}
+    for period in sorted(set(periods)):
+        k = 2 / (period + 1)
+        first = F.col("idx") == 0
+        maps[f"ema_{period}"] = (F.when(first, 0.0).otherwise(1 - k), F.when(first, close).otherwise(close * k))
+    return affine(filled, POOL, "idx", maps, block) if maps else filled
 
 
 def rsi(period: int) -> Column:
@@ -68,17 +53,17 @@ Feature = tuple[str, int]
 
 def feature_back(feature: Feature) -> int:
     kind, period = feature
-    return ema_warmup(period) if kind == "ema" else period + 2
+    return 2 if kind == "ema" else period + 2
 
 
-def add_features(frame: DataFrame, features: set[Feature], block: int) -> DataFrame:
-    """One column per distinct (indicator, period), shared by all rules and candidates that use it."""
+def add_features(frame: DataFrame, features: set[Feature]) -> DataFrame:
+    """One column per distinct (indicator, period), shared by all rules and candidates that use it. ``with_ema`` comes before."""
     out = frame.withColumn("prev_close", F.lag("close").over(bar_order())).withColumn("prev_open", F.lag("open").over(bar_order()))
     for kind, n in sorted(features):
         if kind == "rsi":
             out = out.withColumn(f"rsi_{n}", rsi(n)).withColumn(f"rsi_{n}_prev", F.lag(f"rsi_{n}").over(bar_order()))
         elif kind == "ema":
-            out = out.withColumn(f"ema_{n}", ema(n, block)).withColumn(f"ema_{n}_prev", F.lag(f"ema_{n}").over(bar_order()))
+            out = out.withColumn(f"ema_{n}_prev", F.lag(f"ema_{n}").over(bar_order()))
         elif kind == "vmean":
             out = out.withColumn(f"vmean_{n}", mean_volume(n, include_current=False))
         elif kind == "vols":

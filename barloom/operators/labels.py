@@ -10,7 +10,7 @@ from barloom.operators import crossings
 from barloom.functions.levels import bar_exit, stop_level, target_level
 from barloom.operators.chain import candidate_chain
 from barloom.operators.rules import alternatives, broken_level, compile_rule, explain_rule, features_of, primary_cause, rising_edge
-from barloom.operators.indicators import add_features, feature_back
+from barloom.operators.indicators import add_features, feature_back, with_ema
 from barloom.operators.quality import fill_gaps, index_bars, only_valid
 from barloom.operators.swings import SwingRule, bar_order, swing_asof, swing_inputs
 from barloom.session import cut, reuse
@@ -33,8 +33,9 @@ def framed_bars(
     """
     slim = only_valid(bars).select(*POOL, "time", *OHLCV)
     filled = fill_gaps(index_bars(slim, step, block, gate), step).drop("close_time")
+    filled = with_ema(filled, [n for kind, n in features if kind == "ema"], block)
     back = max([rule.back, *[feature_back(f) + 1 for f in features]])
-    return reuse(swing_inputs(add_features(halo(filled, back, 0, block), features, block), rule))
+    return reuse(swing_inputs(add_features(halo(filled, back, 0, block), features), rule))
 
 
 def gate_open(delay_minutes: int = 0) -> Column:

@@ -11,18 +11,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.functions.candles import finite
 from barloom.functions.levels import stop_level, target_level
-from barloom.plans.blocks import asof, scan
+from barloom.plans.blocks import BLOCK, affine, asof, block_of, scan
 from barloom.schemas import POOL, TOKEN
 from barloom.session import reuse
 
 # Reasons decided from the bar that just closed, and the quantity tolerance.
 CLOSE_REASONS = ["entry", "add", "invalidation", "timeout"]
 TINY = Decimal("1e-9")
-# Quantities are walked as decimals: their sums are exact in any order, so blocks of any width agree.
+# Quantities are walked as decimals: their sums are exact in any order, so blocks of any size agree.
 QUANTITY = "decimal(38,12)"
 NOTHING = Decimal(0)
 ORDER = ["fill_time", "decision_time", "id"]
-DAY = 86_400_000
 
 
 def decision_bucket(time: Column, reason: Column, step: int) -> Column:
@@ -47,107 +46,130 @@ def step_holding(held: Decimal, quantity: Decimal, buy: bool) -> tuple[Decimal,
     return (NOTHING, "close") if left <= TINY else (left, "partial")
 
 
-def _summarize(rows: pd.DataFrame) -> list[tuple[Decimal, Decimal | None, Decimal]]:
-    """How a block of fills maps an unknown incoming holding: pieces ``(from, constant, shift)`` by ascending bound.
+def step_cycle(held: Decimal, cycle: str | None, quantity: Decimal, buy: bool, fill: str, position: str | None) -> tuple[Decimal, str | None, str, bool]:
+    """One fill applied to a holding and the id of its open cycle: both after it, the kind, and whether a buy broke the cycle.
 
-    Above the last bound nothing contradicts and the holding only shifts; below it some sell did, after which the
-    outcome no longer depends on what came in.
+    A cycle is named by the ``position_id`` of the fill that opens it, without one by the fill's own id. A fill that names
+    another cycle contradicts the open one: a sell ends both, a buy opens its own.
     """
-    pieces: list[list] = []  # [lower bound, constant]
-    need, shift = NOTHING, NOTHING
-    for quantity, buy, cut in zip(rows["quantity"], rows["side"] == "buy", rows["cut"]):
-        if cut:
-            pieces, need, shift = [[NOTHING, NOTHING]], Decimal("inf"), NOTHING
+    clash = held > 0 and position is not None and position != cycle
+    if clash and not buy:
+        return NOTHING, None, "contradiction", False
+    after, kind = step_holding(NOTHING if clash else held, quantity, buy)
+    if kind == "open":
+        cycle = position or fill
+    return after, cycle if after > 0 else None, kind, clash
+
+
+def _summarize(rows: list[tuple], first: str | None) -> list[tuple]:
+    """How a block of fills maps an unknown incoming holding: pieces ``(up to, held, cycle, shift)`` by rising bound.
+
+    ``rows`` are (quantity, buy, fill, position); ``first`` is the position that the incoming cycle is taken to carry, None if
+    it carries none that the block names. A holding up to a bound ends flat at some sell, after which the outcome no longer
+    depends on what came in; above the last bound (None) it survives, shifted (held None), or a fill of another cycle ends it.
+    """
+    pieces: list[list] = [[NOTHING, NOTHING, None]]
+    rest, shift, alive = None, NOTHING, True
+    for quantity, buy, fill, position in rows:
         for piece in pieces:
-            piece[1] = step_holding(piece[1], quantity, buy)[0]
-        if buy:
+            piece[1:] = step_cycle(piece[1], piece[2], quantity, buy, fill, position)[:2]
+        if not alive:
+            rest = step_cycle(*rest, quantity, buy, fill, position)[:2]
+        elif position is not None and position != first:
+            alive, rest = False, (quantity, position) if buy else (NOTHING, None)
+        elif buy:
             shift += quantity
         else:
-            bound = quantity - shift - TINY
-            if bound > need:
-                pieces.append([need, NOTHING])
-                need = bound
+            bound = quantity - shift + TINY
+            if bound > pieces[-1][0]:
+                pieces.append([bound, NOTHING, None])
             shift -= quantity
         merged: list[list] = []
         for piece in pieces:
-            if not merged or merged[-1][1] != piece[1]:
+            if merged and merged[-1][1:] == piece[1:]:
+                merged[-1][0] = piece[0]
+            else:
                 merged.append(piece)
         pieces = merged
-    out = [(low, value, NOTHING) for low, value in pieces]
-    return out if need == Decimal("inf") else [*out, (need, None, shift)]
+    last = (None, None, None, shift) if alive else (None, *rest, NOTHING)
+    return [*((up, held, cycle, NOTHING) for up, held, cycle in pieces), last]
 
 
-def _apply(pieces, held: Decimal) -> Decimal:
-    chosen = None
-    for low, value, shift in pieces:
-        if held >= low:
-            chosen = (value, shift)
-    value, shift = chosen if chosen else (NOTHING, NOTHING)
-    result = value if value is not None else held + shift
-    return NOTHING if result <= TINY else result
+def _apply(pieces, held: Decimal, cycle: str | None) -> tuple[Decimal, str | None]:
+    for up, value, name, shift in pieces:
+        if up is None or held <= up:
+            return (held + shift, cycle) if value is None else (value, name)
+    raise ValueError("the last piece has no bound")
 
 
-def holdings(fills: DataFrame, width: int = 90 * DAY) -> DataFrame:
-    """``held_before`` and ``kind`` (open, add, partial, close, contradiction, orphan) of each usable fill.
+def holdings(fills: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``held_before``, ``kind`` (open, add, partial, close, contradiction, orphan), ``broke`` and ``rn`` of each usable fill.
 
-    A token's fills depend on each other, so they are walked in time blocks: every block is first summarised for
-    any incoming holding, the summaries (one row per block) are folded per token, and every block is then walked
-    once from its known start. A task holds one block of a token.
+    A token's fills depend on each other. They are numbered and cut into blocks of ``block`` fills, whatever their times.
+    Each block is summarised for any incoming holding, twice: for a cycle of the first position it names, and for any other.
+    The summaries are folded per token (one row per block), and every block is walked once from its known start.
     """
-    rows = reuse(fills).where(usable_fill()).withColumn("blk", F.floor(F.col("fill_time") / width).cast("long"))
-    if "position_id" in fills.columns:
-        rows = scan(rows, TOKEN, ORDER, F.col("blk"), {"_pos": ("last", F.col("position_id"))}, exclusive=True)
-        rows = rows.withColumn("cut", F.coalesce(F.col("position_id") != F.col("_pos"), F.lit(False))).drop("_pos")
-    else:
-        rows = rows.withColumn("cut", F.lit(False))
+    rows = scan(fills.where(usable_fill()), TOKEN, ORDER, None, {"rn": ("count", F.lit(1))}).withColumn("rn", F.col("rn") - 1)
+    rows = reuse(rows.withColumn("blk", block_of(F.col("rn"), block)))
+    position = F.nullif(F.col("position_id").cast("string"), F.lit("")) if "position_id" in fills.columns else F.lit(None).cast("string")
     key = [*TOKEN, "blk"]
-    slim = rows.select(*key, *ORDER, F.col("quantity").cast(QUANTITY).alias("quantity"), "side", "cut")
+    slim = rows.select(*key, "rn", F.col("quantity").cast(QUANTITY).alias("quantity"), "side", F.col("id").cast("string").alias("fill"), position.alias("position"))
+
+    def ordered(pdf: pd.DataFrame) -> list[tuple]:
+        pdf = pdf.sort_values("rn")
+        names = pdf["position"].astype(object).where(pdf["position"].notna(), None)
+        return list(zip(pdf["quantity"], pdf["side"] == "buy", pdf["fill"], names))
 
     def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
-        pieces = _summarize(pdf.sort_values(ORDER))
-        head = pdf.iloc[0]
-        return pd.DataFrame({
-            "chain": [head["chain"]], "ca": [head["ca"]], "blk": [head["blk"]], "low": [[p[0] for p in pieces]],
-            "value": [[p[1] for p in pieces]], "shift": [[p[2] for p in pieces]]})
+        steps, head = ordered(pdf), pdf.iloc[0]
+        first = next((s[3] for s in steps if s[3] is not None), None)
+        out = {"chain": [head["chain"]], "ca": [head["ca"]], "blk": [head["blk"]], "first": [first]}
+        for side, carried in (("same", first), ("other", None)):
+            pieces = _summarize(steps, carried)
+            out |= {f"{side}_{n}": [[p[k] for p in pieces]] for k, n in enumerate(("up", "held", "cycle", "shift"))}
+        return pd.DataFrame(out)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held, starts = NOTHING, []
+        held, cycle, starts = NOTHING, None, []
         pdf = pdf.sort_values("blk")
-        for low, value, shift in zip(pdf["low"], pdf["value"], pdf["shift"]):
-            starts.append(held)
-            held = _apply(list(zip(low, value, shift)), held)
-        return pd.DataFrame({"chain": pdf["chain"], "ca": pdf["ca"], "blk": pdf["blk"], "start": starts})
+        for row in pdf.to_dict("records"):
+            starts.append((held, cycle))
+            side = "same" if cycle is not None and cycle == row["first"] else "other"
+            held, cycle = _apply(zip(*(row[f"{side}_{n}"] for n in ("up", "held", "cycle", "shift"))), held, cycle)
+        return pd.DataFrame({"chain": pdf["chain"], "ca": pdf["ca"], "blk": pdf["blk"], "start": [s[0] for s in starts], "cycle": [s[1] for s in starts]})
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rn")
+        held, cycle, out = pdf["start"].iloc[0], pdf["cycle"].iloc[0], []
+        for quantity, buy, fill, name in ordered(pdf):
+            before = held
+            held, cycle, kind, broke = step_cycle(held, cycle, quantity, buy, fill, name)
+            out.append((NOTHING if broke else before, kind, broke))
+        return pd.DataFrame({
+            "chain": pdf["chain"], "ca": pdf["ca"], "rn": pdf["rn"], "held_before": [o[0] for o in out], "kind": [o[1] for o in out], "broke": [o[2] for o in out]})
 
     schema = "chain string, ca string, blk long"
-    pieces = slim.groupBy(*key).applyInPandas(summarize, f"{schema}, low array<{QUANTITY}>, value array<{QUANTITY}>, shift array<{QUANTITY}>")
-    starts = pieces.groupBy(*TOKEN).applyInPandas(fold, f"{schema}, start {QUANTITY}")
+    parts = ", ".join(f"{s}_up array<{QUANTITY}>, {s}_held array<{QUANTITY}>, {s}_cycle array<string>, {s}_shift array<{QUANTITY}>" for s in ("same", "other"))
+    pieces = slim.groupBy(*key).applyInPandas(summarize, f"{schema}, first string, {parts}")
+    starts = pieces.groupBy(*TOKEN).applyInPandas(fold, f"{schema}, start {QUANTITY}, cycle string")
+    walked = slim.join(starts, key).groupBy(*key).applyInPandas(walk, f"chain string, ca string, rn long, held_before {QUANTITY}, kind string, broke boolean")
+    return reuse(rows.join(walked.withColumn("held_before", F.col("held_before").cast("double")), [*TOKEN, "rn"]))
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ORDER)
-        held, before, kinds, broken = pdf["start"].iloc[0], [], [], []
-        for quantity, side, cut in zip(pdf["quantity"], pdf["side"], pdf["cut"]):
-            broken.append(bool(cut) and held > 0)
-            held = NOTHING if cut else held
-            before.append(held)
-            held, kind = step_holding(held, quantity, side == "buy")
-            kinds.append(kind)
-        return pd.DataFrame({"chain": pdf["chain"], "ca": pdf["ca"], "id": pdf["id"], "held_before": before, "kind": kinds, "broke": broken})
-
-    id_type = slim.schema["id"].dataType.simpleString()
-    walked = slim.join(starts, key).groupBy(*key).applyInPandas(walk, f"chain string, ca string, id {id_type}, held_before {QUANTITY}, kind string, broke boolean")
-    return reuse(rows.drop("cut").join(walked.withColumn("held_before", F.col("held_before").cast("double")), [*TOKEN, "id"]))
-
-
-def position_cycles(fills: DataFrame, width: int = 90 * DAY) -> DataFrame:
-    """One row per cycle from flat to flat (or to a contradiction, which makes it incomplete)."""
-    staged = holdings(fills, width)
-    staged = scan(staged, TOKEN, ORDER, F.col("blk"), {"trade_no": ("count", F.when(F.col("kind") == "open", F.lit(1)))})
+
+def position_cycles(fills: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row per cycle from flat to flat (or to a contradiction, which makes it incomplete).
+
+    What a cycle's remaining quantity has cost is a recurrence: a buy adds its cost, a partial sale keeps a share.
+    """
     sold = F.col("kind").isin("partial", "close")
     bought = F.col("kind").isin("open", "add")
-    costs = F.col("fee") + F.col("slippage_cost") + F.col("tax_cost")
-    decay = F.when(F.col("kind") == "partial", F.log(1 - F.col("quantity") / F.col("held_before"))).otherwise(F.lit(0.0))
+    staged = holdings(fills, block).withColumn("_cost", F.col("fee") + F.col("slippage_cost") + F.col("tax_cost"))
+    paid = F.col("gross_amount") + F.col("_cost")
+    kept = F.when(F.col("kind") == "partial", 1 - F.col("quantity") / F.col("held_before")).when(F.col("kind").isin("open", "close"), 0.0).otherwise(1.0)
+    staged = affine(staged, TOKEN, "rn", {"_left": (kept, F.when(bought, paid).otherwise(0.0))}, block)
+    staged = scan(staged, TOKEN, ["rn"], block_of(F.col("rn"), block), {"trade_no": ("count", F.when(F.col("kind") == "open", F.lit(1)))})
     cycle = [*TOKEN, "trade_no"]
-    staged = reuse(scan(staged.where("trade_no > 0").withColumn("_cost", costs), cycle, ORDER, F.col("blk"), {"_kept": ("sum", decay)}))
+    staged = reuse(staged.where("trade_no > 0"))
     # A buy that replaces a running position marks the cycle before it as incomplete.
     broken = staged.where("broke").select(*TOKEN, (F.col("trade_no") - (F.col("kind") == "open").cast("int")).alias("trade_no")).distinct().withColumn("_broken", F.lit(True))
     last_sale = F.max(F.when(sold, F.struct(*ORDER, F.col("reason").alias("reason"), F.col("fill_value").alias("value"))))
@@ -162,13 +184,10 @@ def position_cycles(fills: DataFrame, width: int = 90 * DAY) -> DataFrame:
         F.coalesce(F.sum(F.when(sold, F.col("gross_amount") - F.col("_cost"))), F.lit(0.0)).alias("sell_amount"),
         F.coalesce(F.sum(F.when(sold, F.col("quantity"))), F.lit(0.0)).alias("sell_quantity"),
         last_sale.alias("_sale"), F.max(F.col("kind") == "close").alias("_closed"), F.max(F.col("kind") == "contradiction").alias("_bad"),
-        F.max(F.struct(*ORDER, "_kept"))["_kept"].alias("_end"),
+        F.max_by("_left", "rn").alias("remaining_cost"),
     ).join(broken, cycle, "left")
-    kept = staged.where(bought).join(totals.select(*cycle, "_end"), cycle).groupBy(*cycle).agg(
-        F.sum((F.col("gross_amount") + F.col("_cost")) * F.exp(F.col("_end") - F.col("_kept"))).alias("_left"))
     closed = F.col("_closed")
-    out = totals.join(kept, cycle).withColumn("remaining_cost", F.when(closed, F.lit(0.0)).otherwise(F.col("_left")))
-    return out.select(
+    return totals.select(
         *cycle, "buy_time", "buy_amount", "buy_cost", "buy_quantity", "buy_value", "buy_market_cap", "entry_count", "orders",
         F.col("_sale.fill_time").alias("sell_time"), F.col("_sale.reason").alias("sell_reason"), F.col("_sale.value").alias("sell_value"),
         "sell_amount", "sell_quantity", F.when(closed, F.lit(0.0)).otherwise(F.col("buy_quantity") - F.col("sell_quantity")).alias("quantity"), "remaining_cost",
@@ -177,9 +196,9 @@ def position_cycles(fills: DataFrame, width: int = 90 * DAY) -> DataFrame:
     )
 
 
-def ledger_problems(fills: DataFrame, width: int = 90 * DAY) -> DataFrame:
+def ledger_problems(fills: DataFrame, block: int = BLOCK) -> DataFrame:
     """Count of contradicting and unusable fills."""
-    walked = holdings(fills, width).agg(F.count_if(F.col("kind").isin("contradiction", "orphan") | F.col("broke")).alias("contradictions"))
+    walked = holdings(fills, block).agg(F.count_if(F.col("kind").isin("contradiction", "orphan") | F.col("broke")).alias("contradictions"))
     return walked.crossJoin(fills.agg(F.count_if(~usable_fill()).alias("unusable")))
 
 
@@ -219,10 +238,10 @@ def audit_orders(orders: DataFrame, gates: DataFrame, step: int) -> DataFrame:
     return rows.select("id", F.explode(F.filter(issues, lambda i: i.isNotNull())).alias("issue"))
 
 
-def bought_pools(buys: DataFrame, events: DataFrame, watches: DataFrame, width: int = 30 * DAY) -> DataFrame:
+def bought_pools(buys: DataFrame, events: DataFrame, watches: DataFrame) -> DataFrame:
     """Gate per bought token: the watch's own signal if it was known by then, else the latest signal at or before the first buy's decision."""
     first = buys.groupBy(*TOKEN).agg(F.min("decision_time").alias("decision_time"))
-    gated = asof(first, events, TOKEN, "decision_time", "event_time", ["event_id", "event_time"], width, tie=["event_id"])
+    gated = asof(first, events, TOKEN, "decision_time", "event_time", ["event_id", "event_time"], tie=["event_id"])
     own = watches.select(*TOKEN, F.col("signal_time").alias("event_time")).join(events, [*TOKEN, "event_time"]).groupBy(*TOKEN, "event_time").agg(
         F.min("event_id").alias("_own")).withColumnRenamed("event_time", "_own_time")
     usable = F.col("_own_time") <= F.col("decision_time")
@@ -286,14 +305,14 @@ def order_markers(orders: DataFrame, step: int) -> DataFrame:
     return orders.select("id", *POOL, bucket.alias("time"), F.coalesce("fill_time", "decision_time").alias("actual_time"), kind.alias("kind"))
 
 
-def cycle_labels(filled: DataFrame, width: int = 90 * DAY) -> DataFrame:
+def cycle_labels(filled: DataFrame) -> DataFrame:
     """Cycle and add numbers of filled orders that carry a ``position_id`` (per token, in fill order)."""
     key = [*TOKEN, "position_id"]
     firsts = filled.where("side = 'buy'").groupBy(*key).agg(F.min(F.struct(*ORDER)).alias("f")).select(*key, "f.*")
-    numbered = scan(firsts, TOKEN, ORDER, F.floor(F.col("fill_time") / width), {"cycle_no": ("count", F.lit(1))}).select(*key, "cycle_no", F.struct(*ORDER).alias("_first"))
+    numbered = scan(firsts, TOKEN, ORDER, None, {"cycle_no": ("count", F.lit(1))}).select(*key, "cycle_no", F.struct(*ORDER).alias("_first"))
     rows = filled.join(numbered, key).where(F.struct(*ORDER) >= F.col("_first"))
     added = F.when((F.col("side") == "buy") & (F.col("reason") == "add"), F.lit(1))
-    counted = scan(rows.drop("_first"), key, ORDER, F.floor(F.col("fill_time") / width), {"_adds": ("count", added)})
+    counted = scan(rows.drop("_first"), key, ORDER, None, {"_adds": ("count", added)})
     label = F.when(added.isNotNull(), F.concat(F.lit("加"), F.col("cycle_no").cast("string"), F.lit("."), F.col("_adds").cast("string"))).otherwise(
         F.concat(F.when(F.col("side") == "buy", "买").otherwise("卖"), F.col("cycle_no").cast("string")))
     return counted.withColumn("label", label).drop("_adds")

@@ -39,9 +39,9 @@ def same(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(a), F.abs(b))
 
 
-def number_trades(trades: DataFrame, width: int = 30 * DAY) -> DataFrame:
+def number_trades(trades: DataFrame) -> DataFrame:
     """Number per pool by entry time, stored number and id; only where the entry time is unique in the pool."""
-    placed = scan(trades, RUN_POOL, ["entry_time", F.asc_nulls_first("trade_no"), "id"], F.floor(F.col("entry_time") / width), {"_n": ("count", F.lit(1))})
+    placed = scan(trades, RUN_POOL, ["entry_time", F.asc_nulls_first("trade_no"), "id"], None, {"_n": ("count", F.lit(1))})
     alone = trades.groupBy(*RUN_POOL, "entry_time").agg(F.count(F.lit(1)).alias("_same"))
     return placed.join(alone, [*RUN_POOL, "entry_time"]).withColumn(
         "trade_no", F.coalesce(F.col("trade_no"), F.when(F.col("_same") == 1, F.col("_n")))
@@ -180,18 +180,18 @@ def excluded_counts(trades: DataFrame, keys: Sequence[str] = ("run_id",)) -> Dat
         F.round(F.coalesce(F.sum(F.when(known, F.col("net_pnl"))), F.lit(0.0)), 4).alias("net_pnl"), F.count_if(known).alias("known_pnl"))
 
 
-def drawdown(curve: DataFrame, keys: Sequence[str], value: str, capital: float, width: int) -> DataFrame:
+def drawdown(curve: DataFrame, keys: Sequence[str], value: str, capital: float) -> DataFrame:
     """``peak`` (starting at the capital), ``drawdown`` and ``drawdown_percent`` along ``time``."""
-    out = scan(curve, list(keys), ["time"], F.floor(F.col("time") / width), {"peak": ("max", F.greatest(F.lit(capital), F.col(value)))})
+    out = scan(curve, list(keys), ["time"], None, {"peak": ("max", F.greatest(F.lit(capital), F.col(value)))})
     fall = F.col("peak") - F.col(value)
     return out.withColumn("drawdown", fall).withColumn("drawdown_percent", F.when(F.col("peak") > 0, fall / F.col("peak") * 100).otherwise(0.0))
 
 
-def realized_curve(trades: DataFrame, keys: Sequence[str] = ("run_id",), capital: float = 10_000.0, width: int = 365 * DAY) -> DataFrame:
+def realized_curve(trades: DataFrame, keys: Sequence[str] = ("run_id",), capital: float = 10_000.0) -> DataFrame:
     """Net per exit time (one point even for several exits), running balance, peak and drawdown."""
     steps = trades.where("exit_time is not null and net_pnl is not null").groupBy(*keys, F.col("exit_time").alias("time")).agg(F.sum("net_pnl").alias("net"))
-    run = scan(steps, list(keys), ["time"], F.floor(F.col("time") / width), {"_sum": ("sum", F.col("net"))})
-    return drawdown(run.withColumn("equity", F.lit(capital) + F.col("_sum")).drop("_sum"), keys, "equity", capital, width)
+    run = scan(steps, list(keys), ["time"], None, {"_sum": ("sum", F.col("net"))})
+    return drawdown(run.withColumn("equity", F.lit(capital) + F.col("_sum")).drop("_sum"), keys, "equity", capital)
 
 
 def result_rows(enriched: DataFrame, start: int, end: int, time: str = "entry_time") -> DataFrame:
@@ -225,21 +225,21 @@ def rollup_summary(rollup: DataFrame) -> DataFrame:
         F.round(whole(F.sum("realized_pnl"), F.count_if(F.col("realized_pnl").isNull())), 3).alias("realized_pnl"))
 
 
-def _placed(curve: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
-    ranked = scan(curve, list(keys), ["time"], F.floor(F.col("time") / width), {"rn": ("count", F.lit(1))})
+def _placed(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
+    ranked = scan(curve, list(keys), ["time"], None, {"rn": ("count", F.lit(1))})
     return ranked.join(curve.groupBy(*keys).agg(F.count(F.lit(1)).alias("total")), list(keys))
 
 
-def downsample_every(curve: DataFrame, keys: Sequence[str], n: int, width: int = 365 * DAY) -> DataFrame:
+def downsample_every(curve: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     """First, last and every k-th point so that about ``n`` remain (a display report)."""
     step = F.greatest(F.lit(1), F.ceil(F.col("total") / n))
-    rows = _placed(curve, keys, width)
+    rows = _placed(curve, keys)
     return rows.where((F.col("rn") == 1) | (F.col("rn") == F.col("total")) | ((F.col("rn") - 1) % step == 0)).drop("rn", "total")
 
 
-def downsample_extrema(curve: DataFrame, keys: Sequence[str], buckets: int = 450, value: str = "equity", width: int = 365 * DAY) -> DataFrame:
+def downsample_extrema(curve: DataFrame, keys: Sequence[str], buckets: int = 450, value: str = "equity") -> DataFrame:
     """Per bucket the first, last, lowest and highest point (a display report)."""
-    rows = _placed(curve, keys, width)
+    rows = _placed(curve, keys)
     bucket = F.floor((F.col("rn") - 1) / F.greatest(F.lit(1), F.ceil(F.col("total") / buckets)))
     first, low, high = F.struct("time", value), F.struct(value, "time"), F.struct(value, (-F.col("time")).alias("time"))
     picked = rows.groupBy(*keys, bucket.alias("bucket")).agg(

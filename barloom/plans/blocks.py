@@ -6,7 +6,9 @@ into blocks of bounded size and stitched together in one of two ways:
 * ``halo``  - bounded look-back: the rows just before a block are copied into it, so a sliding frame sees
   everything it needs inside one partition of fixed size;
 * ``scan``  - unbounded look-back (running sum, running peak, last value): a local scan per block, a scan over
-  the per-block totals (smaller by the block size), and a join that adds the carried value back.
+  the per-block totals (smaller by the block size), and a join that adds the carried value back. Blocks are sorted
+  ranges of rows unless the caller has a dense position to cut by;
+* ``affine`` - recurrences x -> a x + b along a dense position, composed by doubling inside blocks and across them.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.schemas import POOL
+from barloom.session import reuse
 
 BLOCK = 2048
 
@@ -51,21 +54,31 @@ def _merge(kind: str, carried: Column, local: Column) -> Column:
     return F.coalesce(local, carried)
 
 
+def ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], parts: int | None = None) -> DataFrame:
+    """Add ``_range``, which never falls along (keys, order): the rows sorted and cut into ``parts`` about equal ranges.
+
+    A key of any size is spread over as many ranges as its share of all rows, however its rows lie in time; only rows
+    equal in all of (keys, order) stay together. Kept, as another evaluation would sample other bounds.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return reuse(df.repartitionByRange(parts, *keys, *order).withColumn("_range", F.spark_partition_id()))
+
+
 def scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str | Column],
-    bucket: Column,
+    bucket: Column | None,
     running: Mapping[str, tuple[str, Column]],
     exclusive: bool = False,
 ) -> DataFrame:
-    """Running aggregates per key. ``bucket`` must not decrease along ``order``; it bounds the rows per task.
+    """Running aggregates per key. ``bucket`` must not decrease along ``order``; it bounds the rows per task. None: ``ranges``.
 
     ``running`` maps an output name to ``(kind, value)`` with kind sum, count, max, min or last (non-null).
     ``exclusive`` leaves the current row out.
     """
     part = [*keys, "_bucket"]
-    staged = df.withColumn("_bucket", bucket)
+    staged = ranges(df, keys, order).withColumnRenamed("_range", "_bucket") if bucket is None else df.withColumn("_bucket", bucket)
     for name, (_, value) in running.items():
         staged = staged.withColumn(f"_in_{name}", value)
     here = Window.partitionBy(*part).orderBy(*order).rowsBetween(
@@ -99,6 +112,43 @@ def scan(
     return joined.drop(*drop)
 
 
+def _prefixes(maps: DataFrame, part: Sequence[str], position: str, names: Sequence[str], block: int) -> DataFrame:
+    """Compose the maps of each part, at most ``block`` of them, with all before: strides of 1, 2, 4, ... over one sorted window."""
+    window = Window.partitionBy(*part).orderBy(position)
+    stride = 1
+    while stride < block:
+        before = maps.select("*", *[F.lag(n, stride).over(window).alias(f"_b_{n}") for n in names])
+        maps = before.withColumns({n: F.when(F.col(f"_b_{n}").isNull(), F.col(n)).otherwise(F.struct(
+            (F.col(f"{n}.a") * F.col(f"_b_{n}.a")).alias("a"), (F.col(f"{n}.a") * F.col(f"_b_{n}.b") + F.col(f"{n}.b")).alias("b"))) for n in names}
+        ).drop(*[f"_b_{n}" for n in names])
+        stride *= 2
+    return maps
+
+
+def affine(df: DataFrame, keys: Sequence[str], position: str, maps: Mapping[str, tuple[Column, Column]], block: int = BLOCK) -> DataFrame:
+    """Columns x with ``x = a * (x of the row before) + b`` per key along a dense ``position`` from 0; before the first row x is 0.
+
+    A null a or b leaves x as it is. Maps of a block are composed by doubling, so are those of ``block`` blocks; what is
+    left, one map per ``block`` squared rows, is folded per key. Nothing is dropped and no weight is divided out.
+    """
+    names = list(maps)
+    whole = {n: F.when(a.isNull() | b.isNull(), F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))).otherwise(
+        F.struct(a.cast("double").alias("a"), b.cast("double").alias("b"))) for n, (a, b) in maps.items()}
+    staged = df.withColumns({**whole, "_blk": block_of(F.col(position), block)})
+    local = reuse(_prefixes(staged, [*keys, "_blk"], position, names, block))
+    last = lambda at: [F.max_by(n, at).alias(n) for n in names]
+    totals = local.groupBy(*keys, "_blk").agg(*last(position)).withColumn("_sup", block_of(F.col("_blk"), block))
+    totals = reuse(_prefixes(totals, [*keys, "_sup"], "_blk", names, block))
+    before = Window.partitionBy(*keys).orderBy("_sup").rowsBetween(Window.unboundedPreceding, -1)
+    fold = lambda n: F.aggregate(F.collect_list(n).over(before), F.lit(0.0), lambda x, m: m["a"] * x + m["b"])
+    tops = totals.groupBy(*keys, "_sup").agg(*last("_blk")).select(*keys, "_sup", *[fold(n).alias(f"_t_{n}") for n in names])
+    inside = Window.partitionBy(*keys, "_sup").orderBy("_blk")
+    starts = totals.select(*keys, "_sup", "_blk", *[F.lag(n).over(inside).alias(n) for n in names]).join(tops, [*keys, "_sup"]).select(
+        *keys, "_blk", *[F.coalesce(F.col(f"{n}.a") * F.col(f"_t_{n}") + F.col(f"{n}.b"), F.col(f"_t_{n}")).alias(f"_t_{n}") for n in names])
+    return local.join(starts, [*keys, "_blk"]).withColumns(
+        {n: F.col(f"{n}.a") * F.col(f"_t_{n}") + F.col(f"{n}.b") for n in names}).drop("_blk", *[f"_t_{n}" for n in names])
+
+
 def cover(first: Column, last: Column, block: int) -> Column:
     """Explode an index interval into the blocks it touches (the second equi-key of a range join)."""
     return F.explode(
@@ -112,12 +162,12 @@ def block_of(position: Column, block: int) -> Column:
 
 def asof(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str,
-    values: Sequence[str], width: int, tie: Sequence[str] = (), inclusive: bool = True,
+    values: Sequence[str], width: int | None = None, tie: Sequence[str] = (), inclusive: bool = True,
 ) -> DataFrame:
     """Latest right row at or before each left row, as columns ``values``.
 
     Both sides are interleaved and carried forward with ``scan``: no pair of rows is ever formed, and a hot key
-    is spread over time buckets of ``width``.
+    is spread over sorted ranges, or over time buckets where a ``width`` is known to bound their rows.
     """
     payload = F.struct(*values)
     tags = [F.col(c).cast("string") for c in tie]
@@ -127,5 +177,5 @@ def asof(
     b = right.where(F.col(right_at).isNotNull()).select(
         *keys, F.col(right_at).alias("_at"), F.lit(0).alias("_side"), order_tag.alias("_tie"), payload.alias("_val"))
     mixed = a.unionByName(b, allowMissingColumns=True)
-    carried = scan(mixed, keys, ["_at", "_side", "_tie"], F.floor(F.col("_at") / F.lit(width)), {"_hit": ("last", F.col("_val"))})
+    carried = scan(mixed, keys, ["_at", "_side", "_tie"], None if width is None else F.floor(F.col("_at") / F.lit(width)), {"_hit": ("last", F.col("_val"))})
     return carried.where("_side <> 0").select("_row.*", *[F.col("_hit")[v].alias(v) for v in values])

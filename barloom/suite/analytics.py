@@ -31,7 +31,7 @@ def classified(spark, sf):
 
 
 def numbered(spark, sf):
-    return results.number_trades(classified(spark, sf), 200 * DAY)
+    return results.number_trades(classified(spark, sf))
 
 
 @query("g1_classify_trade", T + " SELECT id, trade_class, exclusion FROM cl")
@@ -288,7 +288,7 @@ x AS (SELECT fp.*, n, sum(CASE WHEN side='buy' AND reason='add' THEN 1 ELSE 0 EN
 SELECT id, CASE WHEN side='buy' AND reason='add' THEN '加'||n||'.'||CAST(a AS BIGINT) WHEN side='buy' THEN '买'||n ELSE '卖'||n END AS label FROM x""")
 def _(spark, sf):
     f = mapped.fills(spark, sf).withColumn("position_id", F.concat(F.lit("p"), F.floor((F.col("id") % 100_000_000) / 40).cast("string")))
-    return ledger.cycle_labels(f, 400 * DAY).select("id", "label")
+    return ledger.cycle_labels(f).select("id", "label")
 
 
 @query("g20_run_counts", "SELECT o_orderpriority AS batch, o_orderstatus AS state, count(*) AS count FROM orders GROUP BY 1,2")
@@ -339,7 +339,7 @@ cy AS (SELECT ca, no AS trade_no, min(CASE WHEN kind='open' THEN fill_time END)
 
 
 def cycles(spark, sf):
-    return ledger.position_cycles(mapped.fills(spark, sf), 400 * DAY)
+    return ledger.position_cycles(mapped.fills(spark, sf))
 
 
 @query("h1_position_cycles", WALK + " SELECT ca, trade_no, buy_time, round(buy_amount,4) AS buy_amount, round(buy_market_cap,2) AS buy_market_cap, entry_count, sell_time, round(sell_amount,4) AS sell_amount, sell_quantity, status, round(remaining_cost,4) AS remaining_cost, round(sell_amount-(buy_amount+buy_cost-remaining_cost),3) AS realized_pnl FROM cy")
@@ -351,7 +351,7 @@ def _(spark, sf):
 
 @query("h1_ledger_problems", WALK + " SELECT count_if(kind IN ('contradiction','orphan')) AS contradictions, 0::BIGINT AS unusable FROM w")
 def _(spark, sf):
-    return ledger.ledger_problems(mapped.fills(spark, sf), 400 * DAY)
+    return ledger.ledger_problems(mapped.fills(spark, sf))
 
 
 NOW = 1_100_000_000_000
@@ -400,7 +400,7 @@ def _(spark, sf):
     f = mapped.fills(spark, sf)
     events = f.where("side = 'sell'").select(*TOKEN, F.col("id").alias("event_id"), F.col("decision_time").alias("event_time"))
     watches = events.where(F.substring("ca", 2, 10).cast("long") % 3 == 0).groupBy(*TOKEN).agg(F.min("event_time").alias("signal_time"))
-    return ledger.bought_pools(f.where("side = 'buy'"), events, watches, 400 * DAY).drop("chain")
+    return ledger.bought_pools(f.where("side = 'buy'"), events, watches).drop("chain")
 
 
 @query("h6_compare_ledgers")

@@ -147,8 +147,7 @@ def ema_cte(n: int) -> str:
 
 @query("d7_ema", D + ema_cte(9) + f" SELECT {KEYS}, idx, round(ema,6) AS ema FROM e9")
 def _(spark, sf):
-    f = halo(filled(spark, sf), indicators.ema_warmup(9), 0, BLOCK)
-    return f.select(*POOL, "idx", "core", F.round(indicators.ema(9, BLOCK), 6).alias("ema")).where("core").drop("core")
+    return indicators.with_ema(filled(spark, sf), [9], BLOCK).select(*POOL, "idx", F.round("ema_9", 6).alias("ema"))
 
 
 def _rsi_sql(n: int) -> str:
@@ -161,7 +160,7 @@ CHANGES = f", ch AS (SELECT *, close-lag(close) OVER {W}) AS d, lag(close) OVER
 
 @query("d8_rsi", D + CHANGES + f" SELECT {KEYS}, idx, round({_rsi_sql(14)},5) AS rsi FROM ch WINDOW w AS (PARTITION BY {KEYS} ORDER BY idx)")
 def _(spark, sf):
-    f = indicators.add_features(halo(filled(spark, sf), 17, 0, BLOCK), {("rsi", 14)}, BLOCK)
+    f = indicators.add_features(halo(filled(spark, sf), 17, 0, BLOCK), {("rsi", 14)})
     return f.where("core").select(*POOL, "idx", F.round("rsi_14", 5).alias("rsi"))
 
 
@@ -178,7 +177,7 @@ PATTERN_SQL = """coalesce(close>=open AND least(open,close)-low>=greatest(abs(cl
 
 @query("d10_candle_patterns", D + CHANGES + f" SELECT {KEYS}, idx, {PATTERN_SQL} FROM ch")
 def _(spark, sf):
-    f = indicators.add_features(halo(filled(spark, sf), 2, 0, BLOCK), set(), BLOCK)
+    f = indicators.add_features(halo(filled(spark, sf), 2, 0, BLOCK), set())
     return f.where("core").select(*POOL, "idx", *[candle_pattern(p).alias(p) for p in PATTERNS])
 
 

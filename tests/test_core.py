@@ -87,7 +87,7 @@ def test_holdings_blocks_match_a_plain_walk(spark):
     assert got == want
 
 
-def test_cycles_do_not_depend_on_the_block_width(spark):
+def test_cycles_do_not_depend_on_the_block_size(spark):
     """Forty round trips of fractional and very large quantities, each sold in three parts."""
     rng = random.Random(11)
     rows, at = [], 0
@@ -98,8 +98,8 @@ def test_cycles_do_not_depend_on_the_block_width(spark):
             rows.append(("c", "t", at, at, at, side, float(quantity), 1.0, 1.0, 0.0, 0.0, 0.0, side, 1.0))
     fills = "chain string, ca string, fill_time long, decision_time long, id long, side string, quantity double, gross_amount double, fill_value double, fee double, slippage_cost double, tax_cost double, reason string, market_cap double"
     df = spark.createDataFrame(rows, fills)
-    for width in (1, 3, 1000):
-        assert [tuple(r) for r in ledger.position_cycles(df, width).groupBy("status").count().collect()] == [("closed", 40)]
+    for block in (1, 3, 1000):
+        assert [tuple(r) for r in ledger.position_cycles(df, block).groupBy("status").count().collect()] == [("closed", 40)]
 
 
 def test_allocate_matches_brute_force(spark):
