@@ -12,7 +12,7 @@ from barloom.functions.levels import COSTS
 from barloom.operators.results import drawdown
 from barloom.plans.blocks import block_of, cover, scan
 from barloom.schemas import POOL
-from barloom.session import reuse
+from barloom.session import cut, reuse
 
 PROVISIONAL_STOP = 0.9  # fixed value: the first risk-sized entry assumes a stop ten percent below
 
@@ -72,10 +72,11 @@ def allocate(labelled: DataFrame, rules: Mapping, keys: Sequence[str] = (), over
 
     An account is sequential in its cash, so its *events* (never bars) are sorted by time inside one partition and
     streamed batch by batch; memory holds the open positions only, and accounts run in parallel. ``overrides``
-    replaces rules by the value of the first key (a candidate's own sizing or slots).
+    replaces rules by the value of the first key (a candidate's own sizing or slots). The labels are written before they are
+    read twice: the plan that made them would otherwise stand in the driver once per reader.
     """
     account = list(keys)
-    labelled = reuse(labelled)
+    labelled = cut(labelled, "account-labels")
     pool_key = F.concat_ws(":", *POOL)
     slim = labelled.select(
         *account, *POOL, "entry_idx", "entry_time", "entry_price", "exit_time", "exit_price", pool_key.alias("_pool"))
@@ -134,11 +135,13 @@ def equity_curve(trades: DataFrame, bars: DataFrame, capital: float, keys: Seque
     Everything is a running sum of changes: money that flows, and what each held position gains from one bar of its pool
     to the next. Between two bars, and after a pool's last one, a position keeps its last price. A single account has a
     row at every bar time; with ``keys`` the rows are the times at which an account changes, as equity is flat elsewhere.
+    Trades, bars and the changes per time are read several times, so each is written once and its plan ends there.
     """
     account = list(keys)
     buy_rate = (costs["feePercent"] + costs["slippagePercent"] + costs["buyTaxPercent"]) / 100
     sell_rate = (costs["feePercent"] + costs["slippagePercent"] + costs["sellTaxPercent"]) / 100
-    t = reuse(trades)
+    t = cut(trades, "account-trades")
+    bars = cut(bars.select(*POOL, "idx", "time", "close"), "account-bars")
     ident = [*account, *POOL, "entry_idx"]
     until = F.coalesce(F.col("exit_idx") - 1, F.lit(2**40))
     ends = bars.groupBy(*POOL).agg(F.max("idx").alias("_end"))
@@ -163,7 +166,7 @@ def equity_curve(trades: DataFrame, bars: DataFrame, capital: float, keys: Seque
     if not account:
         changes = changes.unionByName(bars.select("time", zero.alias("flow"), zero.alias("value"), zero.alias("unrealized")))
     names = ["flow", "value", "unrealized"]
-    grid = changes.groupBy(*account, "time").agg(*[F.sum(n).alias(n) for n in names]).withColumn("_one", F.lit(1))
+    grid = cut(changes.groupBy(*account, "time").agg(*[F.sum(n).alias(n) for n in names]).withColumn("_one", F.lit(1)), "account-changes")
     run = scan(grid, [*account, "_one"], ["time"], None, {f"_{n}": ("sum", F.col(n)) for n in names})
     cash = F.lit(float(capital)) + F.col("_flow")
     return run.select(*account, "time", cash.alias("cash"), (cash + F.col("_value")).alias("equity"), F.col("_unrealized").alias("unrealized"))
