@@ -256,6 +256,8 @@ def compare_ledgers(live: DataFrame, replay: DataFrame, step: int) -> DataFrame:
     Greedy matching is sequential within a pool, so the ledgers of one pool meet in one function call, with two
     sorted lists and a binary search; candles never take part.
     """
+    kinds = {n: df.schema[n].dataType.simpleString() for df, n in ((live, "cycle_id"), (replay, "trade_id"))}
+
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values(["entry_time", "trade_id"])
         times, ids = right["entry_time"].tolist(), right["trade_id"].tolist()
@@ -269,11 +271,12 @@ def compare_ledgers(live: DataFrame, replay: DataFrame, step: int) -> DataFrame:
             times.pop(at)
             out.append((cycle, ids.pop(at)))
         out += [(None, trade) for trade in ids]
-        return pd.DataFrame(out, columns=["cycle_id", "trade_id"]).astype("Int64")
+        made = pd.DataFrame(out, columns=["cycle_id", "trade_id"], dtype="object")
+        return made.astype({n: "Int64" for n, t in kinds.items() if t == "bigint"})
 
     l = live.withColumn("bucket", (F.floor((F.col("buy_decision") - 1) / step) * step).cast("long"))
     pairs = l.select(*POOL, "cycle_id", "buy_time", "bucket").groupBy(*POOL).cogroup(
-        replay.select(*POOL, "trade_id", "entry_time").groupBy(*POOL)).applyInPandas(match, "cycle_id long, trade_id long")
+        replay.select(*POOL, "trade_id", "entry_time").groupBy(*POOL)).applyInPandas(match, ", ".join(f"{n} {t}" for n, t in kinds.items()))
     a = l.select("cycle_id", "bucket", "sell_decision", F.col("exit_reason").alias("live_reason"), F.col("net_pnl").alias("live_net"))
     b = replay.select("trade_id", "entry_time", "exit_time", F.col("exit_reason").alias("replay_reason"), F.col("net_pnl").alias("replay_net"))
     joined = pairs.join(a, "cycle_id", "left").join(b, "trade_id", "left")

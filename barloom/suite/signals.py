@@ -206,8 +206,9 @@ def _(spark, sf):
 def _(spark, sf):
     from barloom.operators.ledger import decision_bucket
 
-    t = mapped.table(spark, sf, "lineitem").select(
-        mapped.line_id().alias("id"), mapped.epoch_ms("l_shipdate").alias("t"),
+    lines = mapped.table(spark, sf, "lineitem")
+    t = lines.select(
+        mapped.line_id(lines).alias("id"), mapped.epoch_ms("l_shipdate").alias("t"),
         F.when(F.col("l_returnflag") == "R", "stop_loss").otherwise("entry").alias("reason"))
     return t.select("id", (F.floor(F.col("t") / H4) * H4).alias("bucket"), decision_bucket(F.col("t"), F.col("reason"), H4).alias("decision"))
 
