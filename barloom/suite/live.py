@@ -14,6 +14,8 @@ from barloom.suite.base import H4, ORACLES, SIGNALS, TICKS, bars_cte, query
 M = "WITH" + TICKS + "," + bars_cte() + "," + bars_cte(H4, "mcap", "cbars") + "," + SIGNALS
 K = "chain, ca, pair_id"
 HOUR = 3_600_000
+# A trade without a positive value is in no candle of that series.
+PRICED, CAPPED = "CASE WHEN price>0 THEN price END", "CASE WHEN mcap>0 THEN mcap END"
 
 
 def stream_ticks(spark, sf):
@@ -26,7 +28,7 @@ def _(spark, sf):
     return live.dedup_ticks(t.unionByName(t.where("volume_usd > 50"))).select(*POOL, "id", "time")
 
 
-@query("i2_tumbling_bars_stream", "WITH" + TICKS + "," + bars_cte(HOUR, "price", "pb") + "," + bars_cte(HOUR, "mcap", "mb") + f""", u AS (SELECT *, 'price' AS type FROM pb WHERE open>0 UNION ALL SELECT *, 'mcap' FROM mb)
+@query("i2_tumbling_bars_stream", "WITH" + TICKS + "," + bars_cte(HOUR, PRICED, "pb") + "," + bars_cte(HOUR, CAPPED, "mb") + f""", u AS (SELECT *, 'price' AS type FROM pb UNION ALL SELECT *, 'mcap' FROM mb)
 SELECT {K}, type, time, open, high, low, close, volume, trade_count, close_trade_id FROM u WHERE close_time<=(SELECT max(time)-300000 FROM ticks)""")
 def _(spark, sf):
     out = live.run_to_table(live.tumbling_bars(live.dedup_ticks(stream_ticks(spark, sf)), "1 hour"), "bars")
@@ -41,7 +43,7 @@ def _(spark, sf):
     return out.select(*POOL, "type", "time", *OHLCV, "trade_count", "close_trade_id")
 
 
-@query("i2_tumbling_bars", M + f", u AS (SELECT *, 'price' AS type FROM bars UNION ALL SELECT *, 'mcap' FROM cbars) SELECT {K}, type, time, open, high, low, close, volume, trade_count FROM u")
+@query("i2_tumbling_bars", "WITH" + TICKS + "," + bars_cte(H4, PRICED, "pb") + "," + bars_cte(H4, CAPPED, "mb") + f", u AS (SELECT *, 'price' AS type FROM pb UNION ALL SELECT *, 'mcap' FROM mb) SELECT {K}, type, time, open, high, low, close, volume, trade_count FROM u")
 def _(spark, sf):
     return live.tumbling_bars(live.dedup_ticks(mapped.ticks(spark, sf)), "4 hours").select(*POOL, "type", "time", *OHLCV, "trade_count")
 
@@ -92,11 +94,11 @@ CONNECTED = [(1_704_844_800_000, 1_705_500_000_000), (1_705_400_000_000, 1_705_7
 _IN = " OR ".join(f"(time>={a} AND time+{H4}<={b})" for a, b in CONNECTED)
 
 
-@query("i4_flush_and_fill", M + f""", c AS (SELECT *, lead(time) OVER (PARTITION BY {K} ORDER BY time) AS nt FROM bars WHERE close_time<={NOW}), f AS (SELECT {K}, close, time AS base, k, time+k*{H4} AS time FROM (SELECT *, unnest(generate_series(0, greatest(1,(coalesce(nt,{(NOW // H4) * H4})-time)//{H4})-1)) AS k FROM c)),
+@query("i4_flush_and_fill", M + f""", c AS (SELECT *, lead(time) OVER (PARTITION BY {K} ORDER BY time) AS nt FROM bars WHERE low>0 AND close_time<={NOW}), f AS (SELECT {K}, close, time AS base, k, time+k*{H4} AS time FROM (SELECT *, unnest(generate_series(0, greatest(1,(coalesce(nt,{(NOW // H4) * H4})-time)//{H4})-1)) AS k FROM c)),
 h AS (SELECT *, sum(CASE WHEN k>0 AND pair_id='a' AND ({_IN}) THEN 1 ELSE 0 END) OVER (PARTITION BY {K}, base ORDER BY k) AS n FROM f)
 SELECT {K}, time, close, k>0 AS synthetic FROM h WHERE n=k""")
 def _(spark, sf):
-    """Three intervals of connection per market, two of them overlapping."""
+    """Bars with a low above zero; three intervals of connection per market, two of them overlapping."""
     b = mapped.bars(spark, sf, H4)
     spans = F.explode(F.array(*[F.struct(F.lit(x).alias("from_time"), F.lit(y).alias("to_time")) for x, y in CONNECTED]))
     connected = b.where("pair_id = 'a'").select("chain", "pair_id").distinct().select("*", spans.alias("s")).select("chain", "pair_id", "s.*")
