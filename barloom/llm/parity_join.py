@@ -12,10 +12,11 @@ Two documents link when the Jaccard similarity of their shingle sets reaches the
    sparse and stands as the XOR of the codes of its odd bits. Sets with so many empty bands that agreement could fall on
    empty ones alone also join by single tokens. With spare bands linked sets agree in several, so of a set's keys only the
    rarest are kept: enough to hold the first key of any linked pair. What common passages share falls away here.
-4. *Pigeonhole join.* Every key kept first links its sets to the smallest set that has the key (a star, so work is linear
-   in the size of a group). Pairs are verified by exact intersection and gathered into components. Keys that still hold
-   sets of different components are joined with each other under the size and Hamming bounds; those pairs are verified,
-   too. Pairs within one component need no further look.
+4. *Pigeonhole join.* Every key kept first links its sets to one of them, its hub (a star, so work is linear in the size of
+   a group). Keys choose their hubs by up to ``HUBS`` different orders, since sets that share one key mostly share many: a
+   group then meets several of its sets, not one that may be far from all. Pairs are verified by exact intersection and
+   gathered into components. Keys that still hold sets of different components are joined with each other under the size
+   and Hamming bounds; those pairs are verified, too. Pairs within one component need no further look.
 
 Null or empty texts, and texts without words, have no set: they link with nothing and are groups of their own. Repeated
 rows have equal sets and link. A null doc_id takes part, but a group's id is its smallest id that is not null. Other
@@ -42,13 +43,18 @@ BUCKET_TOKENS = 500_000
 #: Sets per target of its result.
 TARGET_SETS = 20_000
 #: Tokens packed together by one worker before they leave it.
-PACK_TOKENS = 3_000_000
+PACK_TOKENS = 1_000_000
 #: Bands beyond the pigeonhole's need, as a share of it.
 SPARE_BANDS = 0.2
-#: Words of 64 bits of the dense sketch for the Hamming bound.
-DENSE = 8
-#: Sketches (about 100 bytes each) are broadcast up to this many.
-BROADCAST_SKETCHES = 200_000
+#: Words of 64 bits of the dense sketch for the Hamming bound. It rules out what is well below the threshold while two sets
+#: together have fewer shingles than the sketch has bits, and less and less beyond.
+DENSE = 32
+#: Words of its fold, which is compared first.
+FOLD = 8
+#: Sketches (about 300 bytes each) are broadcast up to this many.
+BROADCAST_SKETCHES = 60_000
+#: Orders by which keys choose their hubs.
+HUBS = 8
 LAST_ID = 2**63 - 1  # stands for a null doc_id, which comes after all others
 MANY = 0  # stands for several sets in a packed bucket
 
@@ -233,8 +239,13 @@ def dense_sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def fold(words: np.ndarray) -> np.ndarray:
+    """The parity sketch of ``FOLD`` words that a dense sketch holds: bits that lie apart by its length meet in one."""
+    return np.bitwise_xor.reduce(words.reshape(-1, FOLD), axis=0)
+
+
 def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Per row with a set: ``set_id``, ``n``, sorted ``tokens``, ``lists`` of keys and the dense ``sketch``."""
+    """Per row with a set: ``set_id``, ``n``, sorted ``tokens``, ``lists`` of keys, the dense ``sketch`` and its ``fold``."""
 
     def run(batches):
         for batch in batches:
@@ -246,25 +257,30 @@ def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
             flat = [x for own in banded for x in own]
             inner = pa.StructArray.from_arrays([pa.array([k for k, _ in flat], pa.int32()), lists([x for _, x in flat])], ["keep", "keys"])
             outer = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, banded)]).astype(np.int32)), inner)
+            dense = [dense_sketch(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists([s.view(np.int64) for s in sets]),
-                 outer, lists([dense_sketch(s) for s in sets])],
-                ["set_id", "n", "tokens", "lists", "sketch"])
+                 outer, lists(dense), lists([fold(d) for d in dense])],
+                ["set_id", "n", "tokens", "lists", "sketch", "fold"])
 
-    return arrow_pass(docs.select(text), run, "set_id bigint, n bigint, tokens array<bigint>, lists array<struct<keep:int,keys:array<bigint>>>, sketch array<bigint>")
+    return arrow_pass(docs.select(text), run, "set_id bigint, n bigint, tokens array<bigint>, lists array<struct<keep:int,keys:array<bigint>>>, sketch array<bigint>, fold array<bigint>")
 
 
 def near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``a``, ``b`` within the size and Hamming bounds; neither rules out a link."""
-    marks = sets.select("set_id", "n", "sketch")
-    both = join_checked(pairs, marks.withColumnsRenamed({"set_id": "a", "n": "na", "sketch": "sa"}), ["a"], "inner", BROADCAST_SKETCHES)
-    both = join_checked(both, marks.withColumnsRenamed({"set_id": "b", "n": "nb", "sketch": "sb"}), ["b"], "inner", BROADCAST_SKETCHES)
-    return both.where(bounded("na", "nb", "sa", "sb")).select("a", "b")
+    both = pairs
+    for end in ("a", "b"):
+        marks = sets.select(F.col("set_id").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("n", "sketch", "fold")))
+        both = join_checked(both, marks, [end], "inner", BROADCAST_SKETCHES)
+    return both.where(bounded()).select("a", "b")
 
 
-def bounded(na: str, nb: str, sa: str, sb: str) -> Column:
-    apart = sum((F.bit_count(F.col(sa)[k].bitwiseXOR(F.col(sb)[k])) for k in range(DENSE)), F.lit(0))
-    return (4 * F.col(na) >= 3 * F.col(nb)) & (4 * F.col(nb) >= 3 * F.col(na)) & (7 * apart <= F.col(na) + F.col(nb))
+def bounded() -> Column:
+    """Whether sizes, folds and sketches, the columns that end in _a and _b, leave a link possible."""
+    n_a, n_b, left, right = (F.col(c) for c in ("n_a", "n_b", "fold_a", "fold_b"))
+    near = sum((F.bit_count(left[k].bitwiseXOR(right[k])) for k in range(FOLD)), F.lit(0))
+    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    return (4 * n_a >= 3 * n_b) & (4 * n_b >= 3 * n_a) & (7 * near <= n_a + n_b) & (7 * apart <= n_a + n_b)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -286,22 +302,23 @@ def linked_sets(sets: DataFrame) -> DataFrame:
     own = Window.partitionBy("b", "list")
     shared = entries.join(often, "key").withColumns({"place": F.row_number().over(own.orderBy("often", "key")), "shared": F.count("*").over(own)})
     kept = cut(shared.where(F.col("place") + F.col("of") - F.col("shared") <= F.col("keep")).select("key", "b"), "near-keys")
-    hubs = kept.groupBy("key").agg(F.min("b").alias("a"), F.max("b").alias("high")).where("a != high").drop("high")
-    star = cut(kept.join(hubs, "key"), "near-stars")  # each set of a key with the key's smallest set
-    pairs = cut(near(star.where("a != b").select("a", "b").distinct(), sets), "near-pairs")
+    turn = F.xxhash64("b", F.pmod("key", F.lit(HUBS)))
+    hubs = kept.groupBy("key").agg(F.min_by("b", turn).alias("a"), F.min("b").alias("low"), F.max("b").alias("high")).where("low != high").drop("low", "high")
+    star = cut(kept.join(hubs, "key"), "near-stars")  # each set of a key with the key's hub
+    pairs = cut(near(star.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets), "near-pairs")
     first = cut(verified(pairs, sets), "near-links")
     labels = cut(components(first), "near-labels")
     named = star
     for end in ("a", "b"):
         named = join_checked(named, labels.withColumnsRenamed({"node": end, "label": f"label_{end}"}), [end], "left")
         named = named.withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
-    # A key whose sets are not all in the component of its smallest set may hide further links.
+    # A key whose sets are not all in the component of its hub may hide further links.
     split = cut(named.where("label_a != label_b").select("key").distinct(), "near-split")
     held = join_checked(named, split, ["key"], "left_semi").select("key", F.col("b").alias("set_id"), F.col("label_b").alias("label"))
-    held = cut(join_checked(held, sets.select("set_id", "n", "sketch"), ["set_id"], "inner", BROADCAST_SKETCHES), "near-open")
-    left, right = (held.select("key", *(F.col(c).alias(f"{c}_{end}") for c in ("set_id", "n", "label", "sketch"))).alias(end) for end in ("a", "b"))
+    held = cut(join_checked(held, sets.select("set_id", "n", "sketch", "fold"), ["set_id"], "inner", BROADCAST_SKETCHES), "near-open")
+    left, right = (held.select("key", *(F.col(c).alias(f"{c}_{end}") for c in ("set_id", "n", "label", "sketch", "fold"))).alias(end) for end in ("a", "b"))
     apart = (F.col("a.key") == F.col("b.key")) & (F.col("set_id_a") < F.col("set_id_b")) & (F.col("label_a") != F.col("label_b"))
-    rest = left.join(right, apart & bounded("n_a", "n_b", "sketch_a", "sketch_b")).select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")).distinct()
+    rest = left.join(right, apart & bounded()).select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")).distinct()
     return components(first.union(verified(cut(rest.join(pairs, ["a", "b"], "left_anti"), "near-rest"), sets)))
 
 

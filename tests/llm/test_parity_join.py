@@ -79,6 +79,15 @@ def test_groups_equal_all_pairs(spark, documents):
         assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want
 
 
+def test_bound_rules_out_sets_well_below_the_threshold(spark, documents):
+    base = [f"w{i}" for i in range(399)]
+    rows = [(k, " ".join(base[:keep] + [f"x{k}-{i}" for i in range(399 - keep)])) for k, keep in enumerate((399, 350, 329))]  # likeness to the first: 0.78, 0.70
+    sets = parity_join.sketch(documents(rows)).cache()
+    ids = [parity_join.set_id(shingle_set(text)) for _, text in rows]
+    pairs = spark.createDataFrame([(ids[0], ids[1]), (ids[0], ids[2])], "a long, b long")
+    assert [tuple(r) for r in parity_join.near(pairs, sets).collect()] == [(ids[0], ids[1])]
+
+
 def test_one_of_each_group_stays(spark, documents):
     rows = [*enumerate(corpus(3)), (900, ""), (901, None), (901, None)]
     rows += [(0, rows[0][1]), (0, rows[0][1])]
