@@ -42,8 +42,8 @@ COUNTED = 0.6
 BUCKET_TOKENS = 500_000
 #: Sets per target of its result.
 TARGET_SETS = 20_000
-#: Tokens packed together by one worker before they leave it.
-PACK_TOKENS = 1_000_000
+#: Tokens packed together by one worker before they leave it: some 100 bytes each while they are sorted.
+PACK_TOKENS = 250_000
 #: Bands beyond the pigeonhole's need, as a share of it.
 SPARE_BANDS = 0.2
 #: Words of 64 bits of the dense sketch for the Hamming bound. It rules out what is well below the threshold while two sets
