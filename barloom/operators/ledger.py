@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import bisect
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from decimal import Decimal
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from barloom.functions.candles import finite
 from barloom.functions.levels import stop_level, target_level
-from barloom.plans.blocks import BLOCK, affine, asof, block_of, scan
+from barloom.plans.blocks import BLOCK, asof, block_of, scan
 from barloom.schemas import POOL, TOKEN
-from barloom.session import reuse
+from barloom.session import cut, reuse
 
 # Reasons decided from the bar that just closed, and the quantity tolerance.
 CLOSE_REASONS = ["entry", "add", "invalidation", "timeout"]
@@ -102,79 +106,142 @@ def _apply(pieces, held: Decimal, cycle: str | None) -> tuple[Decimal, str | Non
     raise ValueError("the last piece has no bound")
 
 
-def holdings(fills: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``held_before``, ``kind`` (open, add, partial, close, contradiction, orphan), ``broke`` and ``rn`` of each usable fill.
+def _steps(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    """Key, decimal quantity, side, own id and position of each fill, then the columns ``names``."""
+    for batch in batches:
+        yield from zip(*(batch.column(n).to_pylist() for n in (*TOKEN, "blk", "_quantity", "side", "_fill", "_position", *names)))
+
+
+def _walk(staged: DataFrame) -> DataFrame:
+    """Fills sorted by token and place, walked block by block from ``_start`` and ``_cycle`` (null: flat).
 
-    A token's fills depend on each other. They are numbered and cut into blocks of ``block`` fills, whatever their times.
-    Each block is summarised for any incoming holding, twice: for a cycle of the first position it names, and for any other.
-    The summaries are folded per token (one row per block), and every block is walked once from its known start.
+    Adds ``held_before``, ``kind`` and ``broke``; the number of cycles opened in the block up to here; and how a cost ``x`` at
+    the block's start has become ``_a x + _b``: a buy adds what it cost, a partial sale keeps a share.
     """
-    rows = scan(fills.where(usable_fill()), TOKEN, ORDER, None, {"rn": ("count", F.lit(1))}).withColumn("rn", F.col("rn") - 1)
-    rows = reuse(rows.withColumn("blk", block_of(F.col("rn"), block)))
-    position = F.nullif(F.col("position_id").cast("string"), F.lit("")) if "position_id" in fills.columns else F.lit(None).cast("string")
+    kept = [f for f in staged.schema.fields if f.name not in ("_quantity", "_fill", "_position", "_start", "_cycle", "_paid")]
+    added = {"held_before": pa.float64(), "kind": pa.string(), "broke": pa.bool_(), "_opened": pa.int64(), "_a": pa.float64(), "_b": pa.float64()}
+    types = StructType(list(kept))
+    for name, kind in (("held_before", "double"), ("kind", "string"), ("broke", "boolean"), ("_opened", "long"), ("_a", "double"), ("_b", "double")):
+        types = types.add(name, kind)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = held = cycle = opened = a = b = None
+        for batch in batches:
+            out = []
+            for chain, ca, blk, quantity, side, fill, name, start, running, paid, size in _steps([batch], "_start", "_cycle", "_paid", "quantity"):
+                if at != (chain, ca, blk):
+                    at, held, cycle, opened, a, b = (chain, ca, blk), NOTHING if start is None else start, running, 0, 1.0, 0.0
+                before = held
+                held, cycle, kind, broke = step_cycle(held, cycle, quantity, side == "buy", fill, name)
+                before = 0.0 if broke else float(before)
+                if kind == "open":
+                    opened, a, b = opened + 1, 0.0, paid
+                elif kind == "add":
+                    b += paid
+                elif kind == "partial":
+                    share = 1 - float(size) / before
+                    a, b = a * share, b * share
+                elif kind == "close":
+                    a = b = 0.0
+                out.append((before, kind, broke, opened, a, b))
+            if out:
+                columns = [batch.column(f.name) for f in kept] + [pa.array(v, t) for v, t in zip(zip(*out), added.values())]
+                yield pa.RecordBatch.from_arrays(columns, [f.name for f in kept] + list(added))
+
+    return staged.mapInArrow(walk, types)
+
+
+def holdings(fills: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``held_before``, ``kind`` (open, add, partial, close, contradiction, orphan), ``broke`` and ``rn`` of each usable fill,
+    its cycle's number ``trade_no`` (0 before the first) and what the holding after it has cost, ``left_cost``.
+
+    A token's fills depend on each other. Tokens of at most ``block`` fills are sorted and walked in one pass. Fills of the
+    others are numbered and cut into blocks of ``block`` fills, whatever their times. Each block is summarised for any
+    incoming holding, twice: for a cycle of the first position it names, and for any other. The summaries are folded per
+    token (one row per block), every block is walked once from its known start, and the numbers and costs of the blocks
+    before are added. Passes stream over sorted rows, so that many small tokens cost no call each; the folds are written,
+    so that no join waits for Python.
+    """
+    spark = fills.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = [*TOKEN, "blk"]
-    slim = rows.select(*key, "rn", F.col("quantity").cast(QUANTITY).alias("quantity"), "side", F.col("id").cast("string").alias("fill"), position.alias("position"))
-
-    def ordered(pdf: pd.DataFrame) -> list[tuple]:
-        pdf = pdf.sort_values("rn")
-        names = pdf["position"].astype(object).where(pdf["position"].notna(), None)
-        return list(zip(pdf["quantity"], pdf["side"] == "buy", pdf["fill"], names))
-
-    def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
-        steps, head = ordered(pdf), pdf.iloc[0]
-        first = next((s[3] for s in steps if s[3] is not None), None)
-        out = {"chain": [head["chain"]], "ca": [head["ca"]], "blk": [head["blk"]], "first": [first]}
-        for side, carried in (("same", first), ("other", None)):
-            pieces = _summarize(steps, carried)
-            out |= {f"{side}_{n}": [[p[k] for p in pieces]] for k, n in enumerate(("up", "held", "cycle", "shift"))}
-        return pd.DataFrame(out)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held, cycle, starts = NOTHING, None, []
-        pdf = pdf.sort_values("blk")
-        for row in pdf.to_dict("records"):
-            starts.append((held, cycle))
-            side = "same" if cycle is not None and cycle == row["first"] else "other"
-            held, cycle = _apply(zip(*(row[f"{side}_{n}"] for n in ("up", "held", "cycle", "shift"))), held, cycle)
-        return pd.DataFrame({"chain": pdf["chain"], "ca": pdf["ca"], "blk": pdf["blk"], "start": [s[0] for s in starts], "cycle": [s[1] for s in starts]})
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn")
-        held, cycle, out = pdf["start"].iloc[0], pdf["cycle"].iloc[0], []
-        for quantity, buy, fill, name in ordered(pdf):
-            before = held
-            held, cycle, kind, broke = step_cycle(held, cycle, quantity, buy, fill, name)
-            out.append((NOTHING if broke else before, kind, broke))
-        return pd.DataFrame({
-            "chain": pdf["chain"], "ca": pdf["ca"], "rn": pdf["rn"], "held_before": [o[0] for o in out], "kind": [o[1] for o in out], "broke": [o[2] for o in out]})
+    position = F.nullif(F.col("position_id").cast("string"), F.lit("")) if "position_id" in fills.columns else F.lit(None).cast("string")
+    usable = fills.where(usable_fill())
+    large = cut(usable.groupBy(*TOKEN).count().where(F.col("count") > block).select(*TOKEN), "large-tokens")
+
+    def steps(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({
+            "_quantity": F.col("quantity").cast(QUANTITY), "_fill": F.col("id").cast("string"), "_position": position,
+            "_paid": F.col("gross_amount") + (F.col("fee") + F.col("slippage_cost") + F.col("tax_cost"))})
+
+    def in_order(df: DataFrame, keys: list[str], place: str) -> DataFrame:
+        return df.repartition(parts, *keys).sortWithinPartitions(*TOKEN, place)
+
+    place = F.row_number().over(Window.partitionBy(*TOKEN).orderBy(*ORDER)).cast("long") - 1
+    small = usable.join(large, TOKEN, "left_anti").withColumn("rn", place).withColumn("blk", F.lit(0).cast("long"))
+    small = steps(small).withColumns({"_start": F.lit(None).cast(QUANTITY), "_cycle": F.lit(None).cast("string")})
+    small = _walk(small.sortWithinPartitions(*TOKEN, *ORDER)).withColumns({"trade_no": F.col("_opened"), "left_cost": F.col("_b")})
+
+    rows = scan(usable.join(large, TOKEN, "left_semi"), TOKEN, ORDER, None, {"rn": ("count", F.lit(1))}).withColumn("rn", F.col("rn") - 1)
+    rows = steps(reuse(rows.withColumn("blk", block_of(F.col("rn"), block))))
+
+    def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, texts = pa.list_(pa.decimal128(38, 12)), pa.list_(pa.string())
+        for (chain, ca, blk), run in groupby(_steps(batches), key=itemgetter(0, 1, 2)):
+            run = [(quantity, side == "buy", fill, name) for *_, quantity, side, fill, name in run]
+            first = next((r[3] for r in run if r[3] is not None), None)
+            out = {"chain": pa.array([chain], pa.string()), "ca": pa.array([ca], pa.string()), "blk": pa.array([blk], pa.int64()), "first": pa.array([first], pa.string())}
+            for side, carried in (("same", first), ("other", None)):
+                pieces = _summarize(run, carried)
+                out |= {f"{side}_{n}": pa.array([[p[k] for p in pieces]], texts if n == "cycle" else numbers) for k, n in enumerate(("up", "held", "cycle", "shift"))}
+            yield pa.RecordBatch.from_pydict(out)
+
+    def fold(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        token = held = cycle = None
+        for pdf in pdfs:
+            out = []
+            for row in pdf.to_dict("records"):
+                if token != (row["chain"], row["ca"]):
+                    token, held, cycle = (row["chain"], row["ca"]), NOTHING, None
+                out.append((*token, row["blk"], held, cycle))
+                side = "same" if cycle is not None and cycle == row["first"] else "other"
+                held, cycle = _apply(zip(*(row[f"{side}_{n}"] for n in ("up", "held", "cycle", "shift"))), held, cycle)
+            yield pd.DataFrame(out, columns=[*key, "_start", "_cycle"])
+
+    def carry(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        token = opened = left = None
+        for pdf in pdfs:
+            out = []
+            for chain, ca, blk, more, a, b in pdf.itertuples(index=False):
+                if token != (chain, ca):
+                    token, opened, left = (chain, ca), 0, 0.0
+                out.append((chain, ca, blk, opened, left))
+                opened, left = opened + more, a * left + b
+            yield pd.DataFrame(out, columns=[*key, "_before", "_left"])
 
     schema = "chain string, ca string, blk long"
-    parts = ", ".join(f"{s}_up array<{QUANTITY}>, {s}_held array<{QUANTITY}>, {s}_cycle array<string>, {s}_shift array<{QUANTITY}>" for s in ("same", "other"))
-    pieces = slim.groupBy(*key).applyInPandas(summarize, f"{schema}, first string, {parts}")
-    starts = pieces.groupBy(*TOKEN).applyInPandas(fold, f"{schema}, start {QUANTITY}, cycle string")
-    walked = slim.join(starts, key).groupBy(*key).applyInPandas(walk, f"chain string, ca string, rn long, held_before {QUANTITY}, kind string, broke boolean")
-    return reuse(rows.join(walked.withColumn("held_before", F.col("held_before").cast("double")), [*TOKEN, "rn"]))
+    lists = ", ".join(f"{s}_up array<{QUANTITY}>, {s}_held array<{QUANTITY}>, {s}_cycle array<string>, {s}_shift array<{QUANTITY}>" for s in ("same", "other"))
+    slim = rows.select(*key, "rn", "_quantity", "side", "_fill", "_position")
+    pieces = in_order(slim, key, "rn").mapInArrow(summarize, f"{schema}, first string, {lists}")
+    starts = cut(in_order(pieces, TOKEN, "blk").mapInPandas(fold, f"{schema}, _start {QUANTITY}, _cycle string"), "holding-starts")
+    walked = _walk(in_order(rows.join(starts, key), key, "rn"))
+    ends = walked.groupBy(*key).agg(F.max_by(F.struct("_opened", "_a", "_b"), "rn").alias("_end")).select(*key, "_end.*")
+    before = cut(in_order(ends, TOKEN, "blk").mapInPandas(carry, f"{schema}, _before long, _left double"), "holding-costs")
+    walked = walked.join(before, key).withColumns({"trade_no": F.col("_before") + F.col("_opened"), "left_cost": F.col("_a") * F.col("_left") + F.col("_b")})
+    return small.unionByName(walked.drop("_before", "_left")).drop("blk", "_opened", "_a", "_b")
 
 
 def position_cycles(fills: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row per cycle from flat to flat (or to a contradiction, which makes it incomplete).
-
-    What a cycle's remaining quantity has cost is a recurrence: a buy adds its cost, a partial sale keeps a share.
-    """
+    """One row per cycle from flat to flat (or to a contradiction, which makes it incomplete)."""
     sold = F.col("kind").isin("partial", "close")
     bought = F.col("kind").isin("open", "add")
-    staged = holdings(fills, block).withColumn("_cost", F.col("fee") + F.col("slippage_cost") + F.col("tax_cost"))
-    paid = F.col("gross_amount") + F.col("_cost")
-    kept = F.when(F.col("kind") == "partial", 1 - F.col("quantity") / F.col("held_before")).when(F.col("kind").isin("open", "close"), 0.0).otherwise(1.0)
-    staged = affine(staged, TOKEN, "rn", {"_left": (kept, F.when(bought, paid).otherwise(0.0))}, block)
-    staged = scan(staged, TOKEN, ["rn"], block_of(F.col("rn"), block), {"trade_no": ("count", F.when(F.col("kind") == "open", F.lit(1)))})
+    read = [*TOKEN, *ORDER, "position_id", "side", "reason", "quantity", "gross_amount", "fill_value", "market_cap", "fee", "slippage_cost", "tax_cost"]
+    staged = holdings(fills.select(*[c for c in read if c in fills.columns]), block)
+    staged = staged.where("trade_no > 0").withColumn("_cost", F.col("fee") + F.col("slippage_cost") + F.col("tax_cost"))
     cycle = [*TOKEN, "trade_no"]
-    staged = reuse(staged.where("trade_no > 0"))
-    # A buy that replaces a running position marks the cycle before it as incomplete.
-    broken = staged.where("broke").select(*TOKEN, (F.col("trade_no") - (F.col("kind") == "open").cast("int")).alias("trade_no")).distinct().withColumn("_broken", F.lit(True))
     last_sale = F.max(F.when(sold, F.struct(*ORDER, F.col("reason").alias("reason"), F.col("fill_value").alias("value"))))
     buy = lambda c: F.sum(F.when(bought, c))
-    totals = staged.groupBy(*cycle).agg(
+    totals = reuse(staged.groupBy(*cycle).agg(
         F.min(F.when(F.col("kind") == "open", F.col("fill_time"))).alias("buy_time"),
         buy(F.col("gross_amount")).alias("buy_amount"), buy(F.col("_cost")).alias("buy_cost"), buy(F.col("quantity")).alias("buy_quantity"),
         (buy(F.col("fill_value") * F.col("quantity")) / buy(F.col("quantity"))).alias("buy_value"),
@@ -184,8 +251,11 @@ def position_cycles(fills: DataFrame, block: int = BLOCK) -> DataFrame:
         F.coalesce(F.sum(F.when(sold, F.col("gross_amount") - F.col("_cost"))), F.lit(0.0)).alias("sell_amount"),
         F.coalesce(F.sum(F.when(sold, F.col("quantity"))), F.lit(0.0)).alias("sell_quantity"),
         last_sale.alias("_sale"), F.max(F.col("kind") == "close").alias("_closed"), F.max(F.col("kind") == "contradiction").alias("_bad"),
-        F.max_by("_left", "rn").alias("remaining_cost"),
-    ).join(broken, cycle, "left")
+        F.max_by("left_cost", "rn").alias("remaining_cost"), F.max("broke").alias("_broke"),
+    ))
+    # A buy that replaces a running position opens a cycle and marks the one before it as incomplete.
+    broken = totals.where("_broke").select(*TOKEN, (F.col("trade_no") - 1).alias("trade_no"), F.lit(True).alias("_broken"))
+    totals = totals.join(broken, cycle, "left")
     closed = F.col("_closed")
     return totals.select(
         *cycle, "buy_time", "buy_amount", "buy_cost", "buy_quantity", "buy_value", "buy_market_cap", "entry_count", "orders",
