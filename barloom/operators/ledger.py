@@ -378,14 +378,28 @@ def order_markers(orders: DataFrame, step: int) -> DataFrame:
     return orders.select("id", *POOL, bucket.alias("time"), F.coalesce("fill_time", "decision_time").alias("actual_time"), kind.alias("kind"))
 
 
-def cycle_labels(filled: DataFrame) -> DataFrame:
-    """Cycle and add numbers of filled orders that carry a ``position_id`` (per token, in fill order)."""
+def cycle_labels(filled: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Cycle and add numbers of filled orders that carry a ``position_id`` (per token, in fill order).
+
+    Tokens of at most ``block`` orders are shuffled once and numbered by windows; those of larger ones by sorted ranges.
+    """
     key = [*TOKEN, "position_id"]
-    firsts = filled.where("side = 'buy'").groupBy(*key).agg(F.min(F.struct(*ORDER)).alias("f")).select(*key, "f.*")
-    numbered = scan(firsts, TOKEN, ORDER, None, {"cycle_no": ("count", F.lit(1))}).select(*key, "cycle_no", F.struct(*ORDER).alias("_first"))
-    rows = filled.join(numbered, key).where(F.struct(*ORDER) >= F.col("_first"))
-    added = F.when((F.col("side") == "buy") & (F.col("reason") == "add"), F.lit(1))
-    counted = scan(rows.drop("_first"), key, ORDER, None, {"_adds": ("count", added)})
+    filled = filled.dropna(subset=key)
+    large = cut(filled.groupBy(*TOKEN).count().where(F.col("count") > block).select(*TOKEN), "large-tokens")
+    bought, at = F.col("side") == "buy", F.struct(*ORDER)
+    added = F.when(bought & (F.col("reason") == "add"), F.lit(1))
+
+    position = Window.partitionBy(*key).orderBy(*ORDER)
+    small = filled.join(large, TOKEN, "left_anti").repartition(*TOKEN).withColumns({
+        "_first": F.min(F.when(bought, at)).over(position.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        "_adds": F.count(added).over(position.rowsBetween(Window.unboundedPreceding, Window.currentRow))}).where(at >= F.col("_first"))
+    small = small.withColumn("cycle_no", F.dense_rank().over(Window.partitionBy(*TOKEN).orderBy("_first", "position_id")).cast("long")).drop("_first")
+
+    rest = filled.join(large, TOKEN, "left_semi")
+    firsts = rest.where(bought).groupBy(*key).agg(F.min(at).alias("f")).select(*key, "f.*")
+    numbered = scan(firsts, TOKEN, ORDER, None, {"cycle_no": ("count", F.lit(1))}).select(*key, "cycle_no", at.alias("_first"))
+    rows = rest.join(numbered, key).where(at >= F.col("_first"))
+    counted = small.unionByName(scan(rows.drop("_first"), key, ORDER, None, {"_adds": ("count", added)}))
     label = F.when(added.isNotNull(), F.concat(F.lit("加"), F.col("cycle_no").cast("string"), F.lit("."), F.col("_adds").cast("string"))).otherwise(
-        F.concat(F.when(F.col("side") == "buy", "买").otherwise("卖"), F.col("cycle_no").cast("string")))
+        F.concat(F.when(bought, "买").otherwise("卖"), F.col("cycle_no").cast("string")))
     return counted.withColumn("label", label).drop("_adds")
