@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from barloom.operators import ledger
 
 
@@ -58,3 +59,8 @@ def test_cycle_labels_match_the_rule_for_small_and_large_tokens(spark, block):
         else:
             want[i] = f"{'买' if side == 'buy' else '卖'}{n}"
     assert {r.id: r.label for r in ledger.cycle_labels(orders, block).collect()} == want
+
+
+def test_open_cycles_are_valued_without_a_call_per_token(spark):
+    valued = entry.queries()["h2_value_open"](spark, "/root/testdata/sf0.001")
+    assert "FlatMapGroupsInPandas" not in valued._jdf.queryExecution().toString()
