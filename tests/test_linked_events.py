@@ -109,7 +109,7 @@ def test_copies_of_an_event_meet_no_place_twice(spark):
         assert tuple(row) == (3000, 3000, 2)
 
 
-@pytest.mark.parametrize("name, shuffles", [("g3_associate_events", 2), ("g6_select_events", 2), ("g6_hidden_events", 2), ("g5_cost_basis", 3), ("g4_event_labels", 2)])
+@pytest.mark.parametrize("name, shuffles", [("g3_associate_events", 2), ("g6_select_trades_by_event", 3), ("g6_select_events", 2), ("g6_hidden_events", 2), ("g5_cost_basis", 3), ("g4_event_labels", 2)])
 def test_tables_are_shuffled_once_and_not_kept(spark, name, shuffles):
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
